@@ -1,6 +1,7 @@
 """Exact deduplication by a content sort, with DataFrame operations only.
 
-The texts' bytes and a salt are range-partitioned at sampled splitters, sorted externally within each range, and each row
+The texts' bytes (a prefix, then their hash) and a salt are range-partitioned at sampled splitters, sorted externally
+within each range, and each row
 is held against its neighbours of equal bytes; the row with the largest (or smallest) identifier of a run stays.  The
 salt is 0 but for texts that have more copies than a share of a partition: these are cut into several runs, whose heads
 (at most ``16 * partitions`` rows) are compared once more and sent back by broadcast.
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from tessel.llm.common import partitions, stored
 
 SHARE = 8
+#: Characters of a text that splitters hold.
+PREFIX = 24
 
 
 def content_sort(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", normalise=None, keep: str = "largest", carry: list[str] | None = None) -> DataFrame:
@@ -40,8 +43,10 @@ def content_sort(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     salted = plain.join(F.broadcast(hot), F.xxhash64("content") == F.col("hash"), "left").withColumn("salt", F.when(F.col("runs").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.col("runs"))).otherwise(F.lit(0)))
 
     rank = (F.col("doc_id") * sign).desc_nulls_last()
-    placed = salted.select("doc_id", "content", "salt", (F.col("runs").isNotNull()).alias("split"), *(["row"] if carry else [])).repartitionByRange("content", "salt")
-    run = Window.partitionBy("content", "salt")
+    placed = salted.select("doc_id", "content", "salt", (F.col("runs").isNotNull()).alias("split"), *(["row"] if carry else []))
+    # Splitters are sampled on a prefix of the bytes and their hash, so that what is sampled stays small.
+    placed = placed.withColumns({"prefix": F.substring("content", 1, PREFIX), "hash": F.xxhash64("content")}).repartitionByRange("prefix", "hash", "salt")
+    run = Window.partitionBy("prefix", "hash", "salt", "content")
     best = F.first("doc_id").over(run.orderBy(rank).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     ranked = placed.select("doc_id", *(["row"] if carry else []), "split", best.alias("head"), F.count("*").over(run).alias("n"), F.row_number().over(run.orderBy(rank)).alias("at"), F.sha2(F.col("content").cast("binary"), 256).alias("text_sha256"), F.when(F.col("split"), F.col("content")).alias("content"))
     runs = stored(ranked.select("doc_id", *(["row"] if carry else []), "split", "head", "n", "at", "text_sha256", F.when(F.col("at") == 1, F.col("content")).alias("content")), "content-sort")
