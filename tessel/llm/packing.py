@@ -25,9 +25,11 @@ from pyspark.sql import types as T
 SEQUENCE = 1024
 END_ID = 2
 #: Distinct chunks a worker remembers; beyond, chunks not yet known are encoded each time.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Longest chunk that is remembered.
 CHUNK_CHARS = 64
+#: Signs that often end a word; a run of them is a match of its own behind letters.
+SIGNS = ".,;:!?|"
 
 
 class ChunkEncoder:
@@ -42,6 +44,52 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def words(self, pieces: list[str]) -> list[bytes]:
+        """Ids of spaced words of letters only: many in one call, between line breaks, which are ids of their own."""
+        if len(self.line) != 1:
+            return self.raw(pieces)
+        groups = [pieces[k : k + 512] for k in range(0, len(pieces), 512)]
+        out: list[bytes] = []
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(["\n".join([*x, ""]) for x in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            stops = np.flatnonzero(ids == self.line[0])
+            if len(stops) != len(group):
+                out += self.raw(group)
+                continue
+            data, begins = ids.tobytes(), [0, *(4 * stops + 4).tolist()]
+            out += [data[a : b - 4] for a, b in zip(begins, begins[1:], strict=False)]
+        return out
+
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that aren't known.  A spaced word with signs behind it is that word and the signs."""
+        known, fresh = self.known, {}
+        plain: set[str] = set()
+        mixed, tailed = [], []
+        for c in new:
+            if c[0] != " ":
+                mixed.append(c)
+                continue
+            word = c.rstrip(SIGNS)
+            if not word[1:].isalpha() or len(c) > len(word) + 4:
+                mixed.append(c)
+                continue
+            if word not in known:
+                plain.add(word)
+            if len(word) < len(c):
+                tail = c[len(word) :]
+                tailed.append((c, word, tail))
+                if tail not in self.tails:
+                    self.tails[tail] = self.raw([tail])[0]
+        words = list(plain)
+        fresh.update(zip(words, self.words(words), strict=True))
+        for c, word, tail in tailed:
+            fresh[c] = (known.get(word) or fresh[word]) + self.tails[tail]
+        for k in range(0, len(mixed), 4096):
+            fresh.update(zip(mixed[k : k + 4096], self.raw(mixed[k : k + 4096]), strict=True))
+        return fresh
 
     def raw(self, pieces: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -85,16 +133,13 @@ class ChunkEncoder:
         known = self.known
         split = [self.fast(x) or self.chunks(x) for x in texts]
         new = list({c for chunks in split for c in chunks if c not in known})
-        fresh: dict[str, bytes] = {}
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            fresh.update(zip(part, self.raw(part), strict=True))
-        for c in new:
+        fresh = self.learn(new)
+        for c, ids in fresh.items():
             if len(known) >= REMEMBERED:
                 break
             if len(c) <= CHUNK_CHARS:
-                known[c] = fresh[c]
-        if len(known) < REMEMBERED and all(len(c) <= CHUNK_CHARS for c in new):
+                known[c] = ids
+        if len(known) < REMEMBERED and all(len(c) <= CHUNK_CHARS for c in fresh):
             return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
         return [b"".join([known.get(c) or fresh[c] for c in chunks]) for chunks in split]
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import exact_dedup, packing
+from tessel.llm import byte_bpe, exact_dedup, gif, packing, toxicity
+from tessel.llm.common import remainder
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,9 +23,41 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_sort(_read(spark, sf_dir, "documents"), keep="largest")
 
 
+def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = gif.text_media(_read(spark, sf_dir, "documents"))
+    read = gif.decoded_frames(media)
+    total = F.aggregate("frames", F.array_repeat(F.lit(0).cast("long"), 3 * gif.BINS), lambda a, f: F.zip_with(a, f["histogram"], lambda x, y: x + y))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(",", F.slice(total, 1, gif.BINS).cast("array<string>")).alias("feature"),
+        F.size("frames").alias("n_frames"),
+    )
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = byte_bpe.encode(_read(spark, sf_dir, "documents"), decoded=True)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    lexicon = toxicity.learn(docs, _read(spark, sf_dir, "labels"), train=remainder("doc_id", 3) != 1)
+    scored = toxicity.score(docs, lexicon)
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.LIMIT).cast("int").alias("predicted"), "hits")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_gif": op3_gif,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_toxicity": op5_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
