@@ -293,7 +293,7 @@ def histogram(pixels: np.ndarray) -> np.ndarray:
     """Counts of opaque pixels by BINS steps of red, of green and of blue."""
     shown = pixels.reshape(-1, 4)
     shown = shown[shown[:, 3] > 0]
-    return np.concatenate([np.bincount(shown[:, c] * BINS >> 8, minlength=BINS) for c in range(3)]) if len(shown) else np.zeros(3 * BINS, np.int64)
+    return np.concatenate([np.bincount(shown[:, c] >> 4, minlength=BINS) for c in range(3)]) if len(shown) else np.zeros(3 * BINS, np.int64)
 
 
 # ---------------------------------------------------------------------------------------------------------- operators

@@ -13,7 +13,9 @@ carried by :func:`pack`.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ REMEMBERED = 300_000
 CHUNK_CHARS = 64
 #: Signs that often end a word; a run of them is a match of its own behind letters.
 SIGNS = ".,;:!?|"
+#: A stop or comma that doesn't stand behind a letter or digit and so may be part of a longer match.
+LOOSE = re.compile(r"(?:^|[\W_])[.,]")
 
 
 class ChunkEncoder:
@@ -43,7 +47,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known = Memory()
         self.tails: dict[str, bytes] = {}
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
@@ -126,22 +130,34 @@ class ChunkEncoder:
             return None
         if not text or text[0] in " \n" or text[-1] in " \n":
             return None
-        return text.replace("\n", " \n").replace(" ", "\x00 ").replace("\x00 \n", "\x00\n").split("\x00")
+        cut = text.replace("\n", " \n").replace(" ", "\x00 ").replace("\x00 \n", "\x00\n")
+        if not LOOSE.search(text):
+            cut = cut.replace(".", "\x00.").replace(",", "\x00,")
+        return cut.split("\x00")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         known = self.known
         split = [self.fast(x) or self.chunks(x) for x in texts]
-        new = list({c for chunks in split for c in chunks if c not in known})
-        fresh = self.learn(new)
-        for c, ids in fresh.items():
-            if len(known) >= REMEMBERED:
-                break
-            if len(c) <= CHUNK_CHARS:
-                known[c] = ids
-        if len(known) < REMEMBERED and all(len(c) <= CHUNK_CHARS for c in fresh):
-            return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-        return [b"".join([known.get(c) or fresh[c] for c in chunks]) for chunks in split]
+        seen: set[str] = set()
+        for chunks in split:
+            seen.update(chunks)
+        fresh = known.fresh = self.learn([c for c in seen if c not in known])
+        room = REMEMBERED - len(known)
+        if room > 0:
+            known.update(kept if len(kept := {c: ids for c, ids in fresh.items() if len(c) <= CHUNK_CHARS}) <= room else dict(islice(kept.items(), room)))
+        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        known.fresh = {}
+        return out
+
+
+class Memory(dict):
+    """Ids of frequent chunks; what isn't there is looked up among those of the present call."""
+
+    fresh: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.fresh[chunk]
 
 
 _encoders: dict[str, ChunkEncoder] = {}
