@@ -1,10 +1,52 @@
-"""From raw documents to packed sequences, in stages that are each written and read again."""
+"""From raw documents to packed training sequences.
+
+Five stages, each written as Parquet and read again before the next: language identification, toxicity, exact
+deduplication, near-duplicate join, packing.  Every stage works on all rows that its predecessor kept, and all but the
+last return the columns of their input.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tessel.llm import exact_dedup, language_id, ngram_jaccard, packing, toxicity
+from tessel.llm.common import remainder, stored
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with a language; texts without a letter, and those of which no language has a fair share, go."""
+    return language_id.accepted(docs, language_id.learn(docs, train=remainder("doc_id", 4) != 2))
+
+
+def civility(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows below the limit of toxicity; the lexicon is learned from the rows' labels."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.clean(docs, toxicity.learn(docs, labels, train=remainder("doc_id", 3) != 1))
+
+
+def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id."""
+    return exact_dedup.deduplicate(docs, keep="largest")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that links of similarity 0.75 make, the row with the smallest doc_id."""
+    return ngram_jaccard.keep_one(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("language_id", language), ("toxicity", civility), ("exact_dedup", copies), ("ngram_jaccard_join", near_copies), ("best_fit_packing", packed)]
+
+#: SQL can't express the trained models of the first stages, nor the packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
