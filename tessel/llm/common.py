@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -31,24 +34,30 @@ def table_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage is cut, a lost executor costs nothing."""
-    path = table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes ``df`` to the shared folder and reads it back: lineage is cut, a lost executor costs nothing.
+
+    The shuffle files of the write are of no more use behind it, and Spark is asked to drop them then.
+    """
+    spark, path = df.sparkSession, table_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before or "false")
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes the files below frames made by :func:`stored` that are no longer read."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    base = f"{shared_dir(spark)}/tessel/"
     for frame in frames:
         for file in frame.inputFiles():
             folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
             if "/tessel/" in folder.toString():
                 folder.getFileSystem(conf).delete(folder, True)
                 break
-    del base
 
 
 def partitions(spark: SparkSession) -> int:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import byte_bpe, exact_dedup, gif, html_extract, language_id, ngram_jaccard, packing, toxicity, url_filter
+from tessel.llm import byte_bpe, exact_dedup, gif, html_extract, katz, language_id, ngram_jaccard, packing, toxicity, url_filter
 from tessel.llm.common import remainder
 
 
@@ -60,6 +60,10 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.join(_read(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(_read(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = html_extract.extract(_read(spark, sf_dir, "pages"))
     return rows.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_html_extraction": op9_html_extraction,
     "op10_language_id": op10_language_id,
 }
