@@ -14,7 +14,8 @@ one of least hash, mostly the same in all regions of a family of copies).  The n
 their distance; pairs that may lie within the radius are compared in full, and their links' components found.  Then the
 regions are joined again, between members of different components only: members of one component need no comparison,
 so a family of copies of any size never gives all its pairs.  Every pair of different components that meets in a region
-is counted; those whose count leaves a link possible are compared in full.  No pair is lost: two linked documents either
+is counted; of those whose count leaves a link possible, the
+likeliest are compared in full first, and then all whose components are still apart.  No pair is lost: two linked documents either
 are in one component already or are compared.
 
 Shingles are 64-bit hashes; sets are equal if 128-bit digests of them are.  Postings travel as binary blocks by ranges of
@@ -44,6 +45,11 @@ THRESHOLD = (3, 4)  # 0.75
 HEAVY, MOST_HEAVY = 48, 1_000_000
 #: How often a task must see a shingle to report it.
 REPORTED = 4
+#: Parts of the hash's range, at least; twice the shuffle partitions if that is more.
+PARTS = 128
+#: Pairs of two components that are compared before all of them are, and how often so.
+TRIED = 4
+ROUNDS = 2
 #: Identifiers that are broadcast at most (16 MB); longer lists are joined.
 BROADCAST_IDS = 1_000_000
 #: Shingles or postings that a task gathers before it gives them away.
@@ -165,9 +171,8 @@ def postings(docs: DataFrame, heavy, parts: int, words: int, t: tuple[int, int])
             cuts = np.flatnonzero(np.diff(part)) + 1
             numbers, data = [], []
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True):
-                members, place = np.unique(who[a:b], return_inverse=True)
                 numbers.append(int(part[a]))
-                data.append(np.array([len(members), b - a], np.int64).tobytes() + ids[members].tobytes() + counts[members].tobytes() + prints[members].tobytes() + hashes[a:b].tobytes() + place.astype(np.int32).tobytes())
+                data.append(_block(hashes[a:b], who[a:b], ids, counts, prints))
                 if len(data) == 16:
                     yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(data, pa.binary())], names=["part", "block"])
                     numbers, data = [], []
@@ -200,18 +205,30 @@ def postings(docs: DataFrame, heavy, parts: int, words: int, t: tuple[int, int])
     return docs.mapInArrow(run, "part int, block binary")
 
 
+def _place_kind(members: int) -> type:
+    return np.uint16 if members <= 1 << 16 else np.int32
+
+
+def _block(hashes: np.ndarray, who: np.ndarray, ids: np.ndarray, counts: np.ndarray, prints: np.ndarray) -> bytes:
+    """Postings and their members: numbers of both, then id, print and size of the members, hash and member of postings."""
+    members, place = np.unique(who, return_inverse=True)
+    head = np.array([len(members), len(hashes)], np.int64)
+    return b"".join(x.tobytes() for x in (head, ids[members], prints[members], counts[members].astype(np.int32), hashes, place.astype(_place_kind(len(members)))))
+
+
 def _unpack(data: list[bytes]) -> tuple[np.ndarray, ...]:
     """Postings of a part, sorted by hash: hash and member of each; id, size and print of the members."""
     ids, counts, prints, hashes, who = [], [], [], [], []
     base = 0
     for raw in data:
-        members, n = np.frombuffer(raw, np.int64, 2)
-        at = 16
-        for into, kind, k in ((ids, np.int64, members), (counts, np.int64, members), (prints, np.uint64, members), (hashes, np.uint64, n)):
-            into.append(np.frombuffer(raw, kind, k, at))
-            at += 8 * int(k)
-        who.append(np.frombuffer(raw, np.int32, n, at).astype(np.int64) + base)
-        base += int(members)
+        members, n = (int(x) for x in np.frombuffer(raw, np.int64, 2))
+        at, kind = 16, _place_kind(members)
+        for into, own, k in ((ids, np.int64, members), (prints, np.uint64, members), (counts, np.int32, members), (hashes, np.uint64, n), (who, kind, n)):
+            into.append(np.frombuffer(raw, own, k, at))
+            at += np.dtype(own).itemsize * k
+        who[-1] = who[-1].astype(np.int64) + base
+        counts[-1] = counts[-1].astype(np.int64)
+        base += members
     ids, counts, prints, hashes, who = (np.concatenate(x) for x in (ids, counts, prints, hashes, who))
     order = np.lexsort((ids[who], hashes))
     return hashes[order], who[order], ids, counts, prints
@@ -276,10 +293,8 @@ def pivots(posted: DataFrame, t: tuple[int, int]) -> DataFrame:
         # Regions whose members aren't all of one set are joined again.
         differ = np.logical_or.reduceat(prints[who] != prints[pivot], first)
         again = np.repeat(differ, size)
-        members, place = np.unique(who[again], return_inverse=True)
-        block = None
-        if len(members):
-            block = np.array([len(members), int(again.sum())], np.int64).tobytes() + ids[members].tobytes() + counts[members].tobytes() + prints[members].tobytes() + hashes[again].tobytes() + place.astype(np.int32).tobytes()
+        members = np.unique(who[again])
+        block = _block(hashes[again], who[again], ids, counts, prints) if len(members) else None
         pairs = _region_table(part, ids[a[near]], ids[b[near]], na[near], nb[near], met[near], same[near], block)
         alone = pa.Table.from_arrays([pa.array([part] * len(members), pa.int32()), pa.array(ids[members]), *[pa.nulls(len(members), f.type) for f in list(_REGIONS)[2:]]], schema=_REGIONS)
         return pa.concat_tables([pairs, alone])
@@ -288,10 +303,11 @@ def pivots(posted: DataFrame, t: tuple[int, int]) -> DataFrame:
 
 
 def across(blocks: DataFrame, known: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """a, b, na, nb, met of pairs of different components that meet in regions; ``known`` has part, id and least."""
+    """a, b, na, nb, la, lb (their components) and met of pairs of different components that meet in regions; ``known`` has
+    part, id and least."""
 
     def run(key, left, right):
-        names = ["a", "b", "na", "nb", "met"]
+        names = ["a", "b", "na", "nb", "la", "lb", "met"]
         nothing = pa.table({n: pa.array([], pa.int64()) for n in names})
         if not left.num_rows:
             return nothing
@@ -338,26 +354,27 @@ def across(blocks: DataFrame, known: DataFrame, t: tuple[int, int]) -> DataFrame
         a, b, met = (np.concatenate(x) for x in zip(*total, strict=True))
         swap = ids[a] > ids[b]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
-        return pa.table({n: pa.array(np.asarray(x, np.int64)) for n, x in zip(names, (ids[a], ids[b], counts[a], counts[b], met), strict=True)})
+        return pa.table({n: pa.array(np.asarray(x, np.int64)) for n, x in zip(names, (ids[a], ids[b], counts[a], counts[b], least[a], least[b], met), strict=True)})
 
-    return blocks.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(run, "a long, b long, na long, nb long, met long")
+    return blocks.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(run, "a long, b long, na long, nb long, la long, lb long, met long")
 
 
 def possible(pairs: DataFrame, t: tuple[int, int]) -> DataFrame:
     """Pairs whose meetings leave a link possible: of the window of one, as many must be in the other as the least overlap
     takes (the window that ends first in the order is wholly known to both)."""
-    summed = pairs.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("met").alias("met"))
+    more = [F.max(c).alias(c) for c in pairs.columns if c not in ("a", "b", "met")]
+    summed = pairs.groupBy("a", "b").agg(*more, F.sum("met").alias("met"))
 
     def spare(n: str) -> str:
         return f"({n} - cast(ceil({n} * {t[0]}D / {t[1]}) as long) + 1) - {n}"
 
     overlap = f"cast(ceil((na + nb) * {t[0]}D / {t[0] + t[1]}) as long)"
-    return summed.where(f"met >= least({spare('na')}, {spare('nb')}) + {overlap}").select("a", "b")
+    return summed.where(f"met >= least({spare('na')}, {spare('nb')}) + {overlap}")
 
 
 def compare(pairs: DataFrame, docs: DataFrame, words: int, t: tuple[int, int]) -> DataFrame:
     """The pairs that are linked, by their whole sets."""
-    pairs = stored(pairs, "pairs")
+    pairs = stored(pairs.select("a", "b"), "pairs")
     needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     if needed.count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)
@@ -383,7 +400,7 @@ def compare(pairs: DataFrame, docs: DataFrame, words: int, t: tuple[int, int]) -
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id that links lead to, its own included) of every row."""
     spark = docs.sparkSession
-    t, parts = threshold, 2 * partitions(spark)
+    t, parts = threshold, max(PARTS, 2 * partitions(spark))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     surveyed = stored(survey(rows, words), "survey")
     known = surveyed.where("n is not null")
@@ -399,8 +416,21 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
 
     blocks = first.where("block is not null").select("part", "block")
     members = stored(first.where("b is null and block is null").select("part", F.col("a").alias("id")).join(least, "id"), "members")
-    crossing = compare(possible(across(blocks, members, t), t), rows, words, t)
-    final = stored(components(least.select(F.col("id").alias("a"), F.col("least").alias("b")).unionByName(crossing)), "components")
+    crossing = stored(possible(across(blocks, members, t), t), "crossing")
+    # The likeliest pairs of each two components go first; what they join needs no more comparing.
+    edges = least.select(F.col("id").alias("a"), F.col("least").alias("b"))
+    left = crossing
+    for k in range(ROUNDS):
+        share = F.struct(F.col("met") / F.least("na", "nb"), -F.col("a"), -F.col("b"))
+        best = left.groupBy(F.least("la", "lb"), F.greatest("la", "lb"), F.pmod(F.xxhash64("a", "b", F.lit(k)), F.lit(TRIED))).agg(F.max_by(F.struct("a", "b"), share).alias("p")).select("p.a", "p.b")
+        best = stored(best, "likeliest")
+        edges = stored(edges.unionByName(compare(best, rows, words, t)), "more-links")
+        least = stored(components(edges), "more-components")
+        sides = left.select("la", "lb").distinct()
+        apart = sides.join(least.select(F.col("id").alias("la"), F.col("least").alias("ma")), "la", "left").join(least.select(F.col("id").alias("lb"), F.col("least").alias("mb")), "lb", "left").where(F.coalesce("ma", "la") != F.coalesce("mb", "lb")).select("la", "lb")
+        left = stored(left.join(apart, ["la", "lb"], "left_semi").join(best, ["a", "b"], "left_anti"), "apart")
+    # Between components that are still apart, every pair.
+    final = stored(components(edges.unionByName(compare(left, rows, words, t))), "components")
     return known.select("doc_id", F.col("n").alias("n_shingles")).join(final, known["doc_id"] == final["id"], "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
