@@ -40,7 +40,10 @@ from tessel.llm.common import partitions, stored
 TRUSTED = 5
 LEAST = 2
 #: Tokens and documents of a block.
-BLOCK, BLOCK_DOCS = 4_000_000, 60_000
+BLOCK, BLOCK_DOCS = 1_500_000, 60_000
+
+#: Parts of the tables, at least; twice the shuffle partitions if that is more.
+PARTS = 128
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,12 +72,17 @@ def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
 
+def blobs(table: pa.Table, name: str = "data") -> list[memoryview]:
+    """The values of a binary column, without copies."""
+    return [memoryview(v.as_buffer()) for v in table.column(name)]
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<3sq", a.dtype.str.encode(), len(a)) for a in arrays)
     return head + b"".join(a.tobytes() for a in arrays)
 
 
-def unpack(data: bytes) -> list[np.ndarray]:
+def unpack(data: bytes | memoryview) -> list[np.ndarray]:
     out, at = [], 1 + 11 * data[0]
     for k in range(data[0]):
         kind, n = struct.unpack_from("<3sq", data, 1 + 11 * k)
@@ -84,7 +92,7 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def joined(rows: list[bytes]) -> list[np.ndarray]:
+def joined(rows: list[bytes] | list[memoryview]) -> list[np.ndarray]:
     """The arrays of several packs, each behind one another."""
     return [np.concatenate(x) for x in zip(*map(unpack, rows), strict=True)]
 
@@ -135,8 +143,9 @@ def _counted(rows: DataFrame, parts: int, bigrams: bool) -> DataFrame:
     def count(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if bigrams:
             h, w = np.concatenate([t[:-1] for t in held]), np.concatenate([t[1:] for t in held])
+            held.clear()
             keys = bigram_keys(h, w)
-            keys, counts, h, w = summed(keys, np.ones(len(keys), np.int64), h, w)
+            keys, counts, h, w = summed(keys, np.ones(len(keys), np.uint32), h, w)
             arrays = [keys, counts, h, w]
         else:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -185,7 +194,7 @@ def word_counts(rows: DataFrame, parts: int) -> DataFrame:
     start, _ = _symbols()
 
     def run(key, table):
-        keys, counts = summed(*joined(table.column("data").to_pylist()))
+        keys, counts = summed(*joined(blobs(table)))
         real = counts[keys != np.uint64(start)]
         return _table(key[0].as_py(), pack(keys, counts), _tally(real) | {-1: int(real.sum()), -2: len(real)})
 
@@ -196,8 +205,8 @@ def bigram_counts(rows: DataFrame, parts: int, least: int) -> DataFrame:
     """Bigrams of at least ``least`` occurrences, as history, word and count."""
 
     def run(key, table):
-        counts, h, w = joined(table.column("data").to_pylist())
-        _, counts, h, w = summed(bigram_keys(h, w), counts, h, w)
+        counts, h, w = joined(blobs(table))
+        _, counts, h, w = summed(bigram_keys(h, w), counts.astype(np.int64), h, w)
         kept = counts >= least
         return _table(key[0].as_py(), pack(h[kept], w[kept], counts[kept]), _tally(counts))
 
@@ -279,8 +288,8 @@ def train(rows: DataFrame, parts: int, least: int = LEAST) -> Model:
 
     def lower(key, left, right):
         """Adds P(w) to bigrams that are dealt by their word."""
-        h, w, c = joined(left.column("data").to_pylist()) if left.num_rows else [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)]
-        keys, counts = joined(right.column("data").to_pylist()) if right.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        h, w, c = joined(blobs(left)) if left.num_rows else [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)]
+        keys, counts = joined(blobs(right)) if right.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         place, _ = found(keys, w)
         p = word_probability(counts[place]) if len(keys) else np.zeros(len(w))
         own = list(split(parts_of(h, parts), h, w, c, p))
@@ -292,11 +301,11 @@ def train(rows: DataFrame, parts: int, least: int = LEAST) -> Model:
     def weigh(key, left, right):
         """Backoff weights of histories, and what bigrams change."""
         start, _ = _symbols()
-        keys, counts = joined(right.column("data").to_pylist()) if right.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        keys, counts = joined(blobs(right)) if right.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         weight = np.zeros(len(keys))
         changes: list[tuple[int, list[np.ndarray]]] = []
         if left.num_rows and len(keys):
-            h, w, c, p = joined(left.column("data").to_pylist())
+            h, w, c, p = joined(blobs(left))
             place, _ = found(keys, h)
             times = counts[place]
             seen = double.of(c) * c / times
@@ -377,7 +386,7 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
         """For each block, what this part's words and bigrams add to each document."""
         start, _ = _symbols()
         rows_of = {0: [], 1: []}
-        for kind, data in zip(right.column("kind").to_pylist(), right.column("data").to_pylist(), strict=True):
+        for kind, data in zip(right.column("kind").to_pylist(), blobs(right), strict=True):
             rows_of[kind].append(data)
         empty = np.zeros(0, np.uint64), np.zeros(0)
         keys, counts, log_p, weight = joined(rows_of[0]) if rows_of[0] else (empty[0], empty[1], empty[1], empty[1])
@@ -388,11 +397,11 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
         pairs, change = pairs[order], change[order]
         sums: dict[int, list[np.ndarray]] = {}
         kinds, blocks, data = [], [], []
-        for name, kind, raw in zip(left.column("block").to_pylist(), left.column("kind").to_pylist(), left.column("data").to_pylist(), strict=True):
+        for name, kind, raw in zip(left.column("block").to_pylist(), left.column("kind").to_pylist(), blobs(left), strict=True):
             if kind == 0:
                 kinds.append(0)
                 blocks.append(name)
-                data.append(raw)
+                data.append(bytes(raw))
                 continue
             own, times, docs = unpack(raw)
             size = int(docs.max()) + 1
@@ -417,7 +426,7 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
         return pa.table({"block": pa.array(blocks, pa.int64()), "kind": pa.array(kinds, pa.int64()), "data": pa.array(data, pa.binary())})
 
     def together(key, table):
-        kinds, data = table.column("kind").to_pylist(), table.column("data").to_pylist()
+        kinds, data = table.column("kind").to_pylist(), blobs(table)
         ids, null, trained, lengths = unpack(next(d for k, d in zip(kinds, data, strict=True) if k == 0))
         total = [np.zeros(len(ids)) for _ in range(3)]
         for kind, raw in zip(kinds, data, strict=True):
@@ -442,4 +451,4 @@ def _add(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def score_documents(docs: DataFrame, train_on, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """Trains on the rows for which ``train_on`` (a condition) holds and scores every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train_on, F.lit(False)).alias("train"))
-    return score(rows, train(rows, partitions(docs.sparkSession), least))
+    return score(rows, train(rows, max(PARTS, 2 * partitions(docs.sparkSession)), least))
