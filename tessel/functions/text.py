@@ -29,15 +29,24 @@ def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str)
 
 
-@F.udf("string")
-def canonical_json(text):
-    """Canonical form of a JSON text; null where it isn't JSON."""
+def _recast(text: str | None) -> str | None:
     try:
         return None if text is None else canonical(json.loads(text))
     except ValueError:
         return None
 
 
+def canonical_json(text: Column) -> Column:
+    """Canonical form of a JSON text, in Arrow batches; null where it isn't JSON."""
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def run(part):
+        return pd.Series([_recast(t) for t in part], dtype="object")
+
+    return run(text)
+
+
 # ----------------------------------------------------------------------------------------------- judges and questions
 
 
