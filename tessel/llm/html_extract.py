@@ -2,7 +2,7 @@
 
 Pages of a host share a template.  For each host, the trees of at most ``PAGES`` pages (one for each residue of a hash of
 the identifier) are aligned by simple tree matching, after runs of like siblings have been folded; what stands in the
-same place of nearly all of them with the same text is template, what varies is a slot.  The slot that holds most of
+same place of nearly all of them with the same text is template (a block goes if it has no other text), what varies is a slot.  The slot that holds most of
 the varying text, outside of what the markup itself declares to be navigation, advert, form and the like, is where
 the host keeps its articles.  Each page is then aligned with its host's template: template text and declared furniture
 go, and the text of the article element, or else of that slot, stays, block by block.
@@ -309,12 +309,16 @@ def roots(tree: Node, path: list[str]) -> list[Node]:
 
 
 def blocks(root: Node, template: dict[int, Counter]) -> list[str]:
+    """The blocks' texts in order; a block all of whose texts are the template's goes."""
     out: list[str] = []
     held: list[str] = []
+    varies = False
 
     def flush():
-        text = tidy("".join(held))
+        nonlocal varies
+        text = tidy("".join(held)) if varies else ""
         held.clear()
+        varies = False
         if text:
             out.append(text)
 
@@ -327,8 +331,9 @@ def blocks(root: Node, template: dict[int, Counter]) -> list[str]:
             child = children[k]
             k += 1
             if isinstance(child, str):
-                if not (known and crc32(tidy(child).encode()) in known):
-                    held.append(child)
+                held.append(child)
+                if not varies:
+                    varies = not (known and crc32(tidy(child).encode()) in known) and not child.isspace()
                 continue
             if child.furniture:
                 if child.tag in BLOCK or child.tag in FURNITURE:
