@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Bytes of an Arrow batch, so that a worker holds little of long texts at a time.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "16m"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
@@ -39,12 +42,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     The shuffle files of the write are of no more use behind it, and Spark is asked to drop them then.
     """
     spark, path = df.sparkSession, table_path(df.sparkSession, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    wanted = {CLEANUP: "true", BATCH: BATCH_BYTES}
+    before = {key: spark.conf.get(key) for key in wanted}
     try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before or "false")
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -53,7 +53,7 @@ ROUNDS = 2
 #: Identifiers that are broadcast at most (16 MB); longer lists are joined.
 BROADCAST_IDS = 1_000_000
 #: Shingles or postings that a task gathers before it gives them away.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 
 _GOLDEN, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -216,7 +216,11 @@ def _block(hashes: np.ndarray, who: np.ndarray, ids: np.ndarray, counts: np.ndar
     return b"".join(x.tobytes() for x in (head, ids[members], prints[members], counts[members].astype(np.int32), hashes, place.astype(_place_kind(len(members)))))
 
 
-def _unpack(data: list[bytes]) -> tuple[np.ndarray, ...]:
+def _blobs(table: pa.Table) -> list[memoryview]:
+    return [memoryview(v.as_buffer()) for v in table.column("block")]
+
+
+def _unpack(data: list[memoryview]) -> tuple[np.ndarray, ...]:
     """Postings of a part, sorted by hash: hash and member of each; id, size and print of the members."""
     ids, counts, prints, hashes, who = [], [], [], [], []
     base = 0
@@ -267,7 +271,7 @@ def pivots(posted: DataFrame, t: tuple[int, int]) -> DataFrame:
     block of the regions with different members, for the second joining."""
 
     def run(key, table):
-        hashes, who, ids, counts, prints = _unpack(table.column("block").to_pylist())
+        hashes, who, ids, counts, prints = _unpack(_blobs(table))
         first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
         size = np.diff(np.r_[first, len(hashes)])
         many = np.repeat(size > 1, size)
@@ -311,7 +315,7 @@ def across(blocks: DataFrame, known: DataFrame, t: tuple[int, int]) -> DataFrame
         nothing = pa.table({n: pa.array([], pa.int64()) for n in names})
         if not left.num_rows:
             return nothing
-        hashes, who, ids, counts, _ = _unpack(left.column("block").to_pylist())
+        hashes, who, ids, counts, _ = _unpack(_blobs(left))
         least = ids.copy()
         if right.num_rows:
             of, to = right.column("id").to_numpy(), right.column("least").to_numpy()
@@ -345,7 +349,7 @@ def across(blocks: DataFrame, known: DataFrame, t: tuple[int, int]) -> DataFrame
                     out_a.append(np.full(len(near), members[i]))
                     out_b.append(near)
                     held += len(near)
-            if held >= 2_000_000:
+            if held >= 300_000:
                 settle()
                 held = 0
         settle()

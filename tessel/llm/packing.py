@@ -13,6 +13,7 @@ carried by :func:`pack`.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from itertools import islice
@@ -44,6 +45,7 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
