@@ -35,15 +35,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import partitions, stored
+from tessel.llm.common import forget, partitions, stored
 
 TRUSTED = 5
 LEAST = 2
 #: Tokens and documents of a block.
-BLOCK, BLOCK_DOCS = 1_500_000, 60_000
+BLOCK, BLOCK_DOCS = 2_500_000, 60_000
 
-#: Parts of the tables, at least; twice the shuffle partitions if that is more.
-PARTS = 128
+#: Parts of the tables, at least; as many as shuffle partitions if these are more.
+PARTS = 64
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -72,6 +72,11 @@ def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
 
+def small(counts: np.ndarray) -> np.ndarray:
+    """Counts in the least unsigned type that holds them."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
 def blobs(table: pa.Table, name: str = "data") -> list[memoryview]:
     """The values of a binary column, without copies."""
     return [memoryview(v.as_buffer()) for v in table.column(name)]
@@ -328,6 +333,7 @@ def train(rows: DataFrame, parts: int, least: int = LEAST) -> Model:
         return pa.table({"kind": pa.array(kind, pa.int64()), "part": pa.array([key[0].as_py(), *(k for k, _ in changes)], pa.int64()), "data": pa.array([pack(keys, counts, log_p, weight), *(pack(*a) for _, a in changes)], pa.binary())})
 
     tables = stored(lowered.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(weigh, "kind long, part long, data binary"), "katz-model")
+    forget(rows.sparkSession, counted, pairs, lowered)
     return Model(tables.where("kind = 0").select("part", "data"), tables.where("kind = 1").select("part", "data"), parts, total, vocabulary, math.log10(unknown))
 
 
@@ -363,7 +369,7 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
                     whole = np.repeat(at - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                     out_part.append(part)
                     out_kind.append(kind)
-                    out_data.append(pack(keys[at], n.astype(np.uint32), docs[whole]))
+                    out_data.append(pack(keys[at], small(n), docs[whole]))
             ids = [d for d, _, _ in held]
             out_part.append(name % parts)
             out_kind.append(0)
@@ -422,7 +428,7 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
         for name, added in sums.items():
             kinds.append(1)
             blocks.append(name)
-            data.append(pack(added[0].astype(np.uint32), added[1], added[2]))
+            data.append(pack(small(added[0]), added[1], added[2]))
         return pa.table({"block": pa.array(blocks, pa.int64()), "kind": pa.array(kinds, pa.int64()), "data": pa.array(data, pa.binary())})
 
     def together(key, table):
@@ -451,4 +457,4 @@ def _add(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def score_documents(docs: DataFrame, train_on, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """Trains on the rows for which ``train_on`` (a condition) holds and scores every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train_on, F.lit(False)).alias("train"))
-    return score(rows, train(rows, max(PARTS, 2 * partitions(docs.sparkSession)), least))
+    return score(rows, train(rows, max(PARTS, partitions(docs.sparkSession)), least))
