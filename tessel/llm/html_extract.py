@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.llm.common import stored
+from tessel.llm.common import partitions, stored
 
 PAGES = 12
 #: Share of a host's sampled pages, and the least number of them, in which template text stands.
 CONSTANT, LEAST = 0.9, 4
-#: Most hosts whose wrappers are broadcast (a wrapper has at most WRAPPER_BYTES); beyond, they are joined by host.
-BROADCAST_HOSTS, WRAPPER_BYTES = 4_000, 16_384
+#: Bytes of all wrappers together up to which they are broadcast; beyond, pages and wrappers are dealt by host.
+BROADCAST_BYTES = 32 << 20
+#: Most hosts whose sampled pages' identifiers are broadcast.
+BROADCAST_HOSTS = 4_000
 #: Cells of one alignment; longer child lists are aligned by their labels in order.
 CELLS = 40_000
 
@@ -411,23 +413,51 @@ EXTRACTED = T.StructType([T.StructField("page_id", T.LongType()), T.StructField(
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url and the main text of every row."""
     rows = with_host(pages, id_col, url_col, html_col)
-    known = stored(wrappers(rows).withColumn("wrapper", F.when(F.length("wrapper") <= WRAPPER_BYTES, F.col("wrapper"))), "wrappers")
-    if known.count() <= BROADCAST_HOSTS:  # 64 MB at most
-        known = F.broadcast(known)
+    known = stored(wrappers(rows), "wrappers")
+    if (known.agg(F.sum(F.length("wrapper"))).first()[0] or 0) <= BROADCAST_BYTES:
+        held = rows.sparkSession.sparkContext.broadcast({r["host"]: bytes(r["wrapper"]) for r in known.collect()})
+        return rows.select("page_id", "url", "html", "host").mapInArrow(_extractor(held), EXTRACTED)
+    return dealt(rows, known).mapInArrow(_extractor(None), EXTRACTED)
+
+
+def dealt(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Pages behind the wrapper of their host (a row of its own), by host; a host of many pages is dealt to several
+    groups, each behind a copy of its wrapper."""
+    parts = partitions(rows.sparkSession)
+    counted = stored(rows.groupBy("host").agg(F.count("*").alias("n")), "host-pages")
+    share = max(1, (counted.agg(F.sum("n")).first()[0] or 0) // parts)
+    groups = counted.select("host", F.ceil(F.col("n") / share).cast("long").alias("groups"))
+    several = F.broadcast(groups.where("groups > 1"))  # no more than there are parts
+    group = F.pmod(F.monotonically_increasing_id(), F.coalesce("groups", F.lit(1)))
+    own = rows.join(several, "host", "left").select("page_id", "url", "html", "host", F.lit(None).cast("binary").alias("wrapper"), group.alias("group"))
+    copies = known.join(groups, "host").select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "host", "wrapper", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"))
+    both = copies.unionByName(own).repartition(parts, "host", "group")
+    return both.sortWithinPartitions("host", "group", F.col("wrapper").isNull()).drop("group")
+
+
+def _extractor(held):
+    """Extracts pages by the wrappers of ``held`` (a broadcast), or else by those that stand before a host's pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, Wrapper | None] = {}
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                ids, urls, sources, hosts, wrapped = batch.columns
-                texts = []
-                for source, host, data in zip(sources.to_pylist(), hosts.to_pylist(), wrapped, strict=True):
+                ids, urls, sources, hosts, *wrapped = batch.columns
+                texts, pages = [], []
+                for n, (source, host) in enumerate(zip(sources.to_pylist(), hosts.to_pylist(), strict=True)):
+                    if wrapped and wrapped[0][n].is_valid:
+                        memory = {host: pickle.loads(wrapped[0][n].as_py())}
+                        continue
                     if host not in memory:
                         if len(memory) > 500:
                             memory.clear()
-                        memory[host] = pickle.loads(data.as_py()) if data.is_valid else None
+                        data = held.value.get(host) if held else None
+                        memory[host] = pickle.loads(data) if data else None
+                    pages.append(n)
                     texts.append(main_text(source, memory[host]))
+                if wrapped:
+                    ids, urls = ids.take(pa.array(pages, pa.int64())), urls.take(pa.array(pages, pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string())], names=EXTRACTED.names)
 
-    return rows.join(known, "host", "left").select("page_id", "url", "html", "host", "wrapper").mapInArrow(run, EXTRACTED)
+    return run

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import pickle
 import random
 import re
 import zlib
@@ -381,6 +382,18 @@ def test_html(spark):
     assert html_extract.extract(df).count() == len(rows) and html_extract.extract(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("bound", [html_extract.BROADCAST_BYTES, 0])
+def test_large_wrappers_are_kept(spark, monkeypatch, bound):
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", bound)
+    frame = "".join(f"<div class='c{k}'><p>Constant {k}</p></div>" for k in range(400))
+    rows = [(n, f"https://{host}/{n}", f"<html><body>{frame}<div class='text'><p>Own {host} {n}</p></div></body></html>") for host, count in (("hot", 60), ("b", 8)) for n in range(count)]
+    rows.append((None, None, "<p>alone</p>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert len(pickle.dumps(html_extract.wrapper([r[2] for r in rows[:12]]), 5)) > 16_384
+    got = sorted((r.url or "", r.text) for r in html_extract.extract(df).collect())
+    assert got == sorted([("", "alone"), *((u, f"Own {u.split('/')[2]} {n}") for n, u, _ in rows[:-1])])
+
+
 def test_tree_matching():
     def tree(s):
         return html_extract.fold(html_extract.parse(s).children)
