@@ -1,14 +1,17 @@
 """Main text of web pages by wrapper induction.
 
 Pages of a host share a template.  For each host, the trees of at most ``PAGES`` pages (one for each residue of a hash of
-the identifier) are aligned by simple tree matching, after runs of like siblings have been folded; what stands in the
-same place of nearly all of them with the same text is template (a block goes if it has no other text), what varies is a slot.  The slot that holds most of
-the varying text, outside of what the markup itself declares to be navigation, advert, form and the like, is where
-the host keeps its articles.  Each page is then aligned with its host's template: template text and declared furniture
-go, and the text of the article element, or else of that slot, stays, block by block.
+the identifier) are aligned by simple tree matching, after runs of like siblings have been folded, and give a skeleton of
+places.  All pages of the host are then aligned with the skeleton; a node without partner has its place by its parent's
+place and its label, so layouts that the skeleton lacks have places too.  Over all pages it is counted which texts stand
+in which place: a text of nearly all pages that have the place is template (a block goes if it has no other text), what
+varies is content.  From each page template text and declared furniture go.  Of the rest the text of the article element
+stays, or else of the slot: the branch where the places of this page hold most of the varying text, by what they hold on
+average over the host's pages.  Where that branch is void on the page, the slot is the last one that isn't.
 
 Nulls: a null page is empty, and so is its text; a null URL or one without host belongs to the host "".  A host of one
-page has no constant nodes.  Repeated rows are extracted each, and count once in a template.  An empty table gives an
+page has no constant nodes.  Repeated rows are extracted each; pages of a host that are whole
+repeats count once in a template.  An empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -17,10 +20,10 @@ from __future__ import annotations
 import html
 import pickle
 import re
-from collections import Counter
+import sys
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,12 +33,16 @@ from pyspark.sql import types as T
 from tessel.llm.common import partitions, stored
 
 PAGES = 12
-#: Share of a host's sampled pages, and the least number of them, in which template text stands.
+#: Share of a host's pages that have the place, and the least number of them, in which template text stands.
 CONSTANT, LEAST = 0.9, 4
 #: Bytes of all wrappers together up to which they are broadcast; beyond, pages and wrappers are dealt by host.
 BROADCAST_BYTES = 32 << 20
-#: Most hosts whose sampled pages' identifiers are broadcast.
-BROADCAST_HOSTS = 4_000
+#: Most hosts whose sampled pages' identifiers are broadcast, and most groups of repeated pages that are.
+BROADCAST_HOSTS, BROADCAST_REPEATS = 4_000, 300_000
+#: Counts that a task holds before it hands them on.
+HELD = 300_000
+#: Nested calls, since trees may be deep.
+DEEP = 100_000
 #: Cells of one alignment; longer child lists are aligned by their labels in order.
 CELLS = 40_000
 
@@ -136,18 +143,11 @@ def tidy(text: str) -> str:
 
 @dataclass
 class Slot:
-    """A node of a template: how many pages have it, in how many each of its own texts stands, and what varies in it."""
+    """A node of a skeleton."""
 
     label: str
-    tag: str
-    furniture: bool
     children: list[Slot] = field(default_factory=list)
-    pages: int = 0
-    texts: Counter = field(default_factory=Counter)
-    varying: float = 0.0
-
-    def __post_init__(self):
-        self.weight = None
+    number: int = 0
 
 
 @dataclass
@@ -157,6 +157,9 @@ class Fold:
     label: str
     members: list[Node]
     children: list[Fold]
+    place: int | None = None  # none: declared furniture
+    expected: float = 0.0
+    own: int = 0
 
 
 def fold(nodes: list[Node]) -> list[Fold]:
@@ -173,8 +176,15 @@ def fold(nodes: list[Node]) -> list[Fold]:
     return out
 
 
-def own_texts(f: Fold) -> list[str]:
-    return [t for m in f.members for c in m.children if isinstance(c, str) and (t := tidy(c))]
+def text_key(text: str) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def own_texts(f: Fold) -> set[int]:
+    """Keys of the texts right below nodes that aren't furniture."""
+    return {text_key(t) for m in f.members if not m.furniture for c in m.children if isinstance(c, str) and (t := tidy(c))}
 
 
 def matching(a: list, b: list, memo: dict) -> tuple[int, list[tuple[int, int]]]:
@@ -221,7 +231,7 @@ def subtree(x, y, memo: dict) -> int:
 
 
 def grow(slots: list[Slot], folds: list[Fold], memo: dict) -> None:
-    """Adds a page to a template; parts that it has more become optional nodes in their place."""
+    """Adds a page to a skeleton; parts that it has more become optional nodes in their place."""
     _, pairs = matching(slots, folds, memo)
     met = {j: slots[i] for i, j in pairs}
     out, k = [], 0
@@ -233,71 +243,104 @@ def grow(slots: list[Slot], folds: list[Fold], memo: dict) -> None:
             out += slots[k:stop]
             k = stop
         else:
-            slot = Slot(f.label, f.members[0].tag, any(m.furniture for m in f.members))
+            slot = Slot(f.label)
             out.append(slot)
-        slot.pages += 1
-        slot.texts.update({crc32(t.encode()): 1 for t in own_texts(f)}.keys())
         grow(slot.children, f.children, memo)
     slots[:] = out + slots[k:]
 
 
-def induce(pages: list[str]) -> list[Slot]:
-    """The template of some pages of a host; whole repeats count once."""
+def skeleton(pages: list[str]) -> list[Slot]:
+    """The places of some pages of a host."""
     top: list[Slot] = []
-    trees = [fold(parse(p).children) for p in sorted(dict.fromkeys(pages))]
-    for tree in trees:
-        grow(top, tree, {})
-    n = len(trees)
-
-    def settle(slots: list[Slot], furniture: bool) -> float:
-        total = 0.0
-        for s in slots:
-            hidden = furniture or s.furniture
-            constant = {t for t, k in s.texts.items() if n >= LEAST and k >= CONSTANT * n}
-            s.varying = (0 if hidden else sum(k for t, k in s.texts.items() if t not in constant)) + settle(s.children, hidden)
-            s.texts = Counter(dict.fromkeys(constant, 1))
-            total += s.varying
-        return total
-
-    settle(top, False)
+    for page in sorted(dict.fromkeys(pages)):
+        grow(top, fold([parse(page)]), {})
+    last = 0
+    level = list(top)
+    while level:
+        slot = level.pop()
+        slot.number = last = last + 1
+        level += slot.children
     return top
 
 
-def place_of(top: list[Slot]) -> list[str]:
-    """Labels down to the slot that holds most of the varying text."""
-    path, slots = [], top
-    whole = sum(s.varying for s in slots)
-    while slots:
-        best = max(slots, key=lambda s: s.varying)
-        if best.varying < 0.7 * whole or best.tag in ("p", "h1", "h2", "h3", "li", "span", "b", "a"):
-            break
-        path.append(best.label)
-        if best.tag in ("article", "main"):  # headings belong to it, whatever varies most
-            break
-        slots = best.children
-    return path
+def beyond(parent: int, label: str) -> int:
+    """The place of a node that the skeleton lacks."""
+    return -1 - (text_key(f"{parent} {label}") + (1 << 63) >> 1)
+
+
+def locate(folds: list[Fold], slots: list[Slot], memo: dict, parent: int = 0) -> list[Fold]:
+    """Gives each node of a page its place; parents come first."""
+    _, pairs = matching(slots, folds, memo)
+    met = {j: slots[i] for i, j in pairs}
+    out = []
+    for j, f in enumerate(folds):
+        if not all(m.furniture for m in f.members):
+            slot = met.get(j)
+            f.place = slot.number if slot else beyond(parent, f.label)
+            out.append(f)
+            out += locate(f.children, slot.children if slot else [], memo, f.place)
+    return out
+
+
+def places(source: str, slots: list[Slot]) -> dict[int, set[int]]:
+    """The texts of each place of a page."""
+    out: dict[int, set[int]] = defaultdict(set)
+    for f in locate(fold([parse(source)]), slots, {}):
+        out[f.place] |= own_texts(f)
+    return out
 
 
 # ---------------------------------------------------------------------------------------------------------- extraction
 
 
-def constants(folds: list[Fold], slots: list[Slot], memo: dict, out: dict[int, Counter]) -> None:
-    """The template texts of each node of a page, by alignment with the template."""
-    _, pairs = matching(slots, folds, memo)
-    for i, j in pairs:
-        if slots[i].texts:
-            for m in folds[j].members:
-                out[id(m)] = slots[i].texts
-        if slots[i].children and folds[j].children:
-            constants(folds[j].children, slots[i].children, memo, out)
+@dataclass
+class Wrapper:
+    """A host's skeleton, and for places of ``LEAST`` pages or more how many varying texts a page has there on average and
+    which texts are template."""
+
+    skeleton: list[Slot]
+    places: dict[int, tuple[float, frozenset[int]]]
+
+
+def weigh(located: list[Fold], own: Wrapper) -> dict[int, frozenset[int]]:
+    """Sets what varies in each node and below, on the page and as expected; the template texts of each node."""
+    known: dict[int, frozenset[int]] = {}
+    for f in reversed(located):
+        texts = own_texts(f)
+        expected, constant = own.places.get(f.place, (len(texts), frozenset()))
+        f.own = len(texts - constant) + sum(c.own for c in f.children)
+        f.expected = expected + sum(c.expected for c in f.children)
+        if constant:
+            known.update((id(m), constant) for m in f.members)
+    return known
+
+
+def slot_of(top: list[Fold]) -> list[Node]:
+    """The nodes that hold most of the varying text; those of a label among siblings belong together."""
+    found: list[Node] = []
+    level, whole = top, sum(f.expected for f in top)
+    while whole:
+        groups: dict[str, list[Fold]] = defaultdict(list)
+        for f in level:
+            if f.place is not None:
+                groups[f.label].append(f)
+        if not groups:
+            break
+        best = max(groups.values(), key=lambda g: sum(f.expected for f in g))
+        tag = best[0].members[0].tag
+        if sum(f.expected for f in best) < 0.7 * whole or tag in ("p", "h1", "h2", "h3", "li", "span", "b", "a"):
+            break
+        if not any(f.own for f in best) and any(f.own for f in level):
+            break
+        found = [m for f in best for m in f.members if not m.furniture]
+        if tag in ("article", "main"):  # headings belong to it, whatever varies most
+            break
+        level = [c for f in best for c in f.children]
+    return found
 
 
-def roots(tree: Node, path: list[str]) -> list[Node]:
-    """The host's slot, or the whole page where it isn't found; within it the article elements, else main, if any."""
-    level = [tree]
-    for label in path:
-        level = [c for x in level for c in x.children if isinstance(c, Node) and c.label == label]
-    level = level or [tree]
+def roots(level: list[Node]) -> list[Node]:
+    """Within the slot the article elements, else main, if any."""
 
     def named(node: Node, tag: str) -> list[Node]:
         if node.tag == tag:
@@ -310,7 +353,7 @@ def roots(tree: Node, path: list[str]) -> list[Node]:
     return level
 
 
-def blocks(root: Node, template: dict[int, Counter]) -> list[str]:
+def blocks(root: Node, template: dict[int, frozenset[int]]) -> list[str]:
     """The blocks' texts in order; a block all of whose texts are the template's goes."""
     out: list[str] = []
     held: list[str] = []
@@ -335,7 +378,7 @@ def blocks(root: Node, template: dict[int, Counter]) -> list[str]:
             if isinstance(child, str):
                 held.append(child)
                 if not varies:
-                    varies = not (known and crc32(tidy(child).encode()) in known) and not child.isspace()
+                    varies = not (known and text_key(tidy(child)) in known) and not child.isspace()
                 continue
             if child.furniture:
                 if child.tag in BLOCK or child.tag in FURNITURE:
@@ -355,30 +398,16 @@ def blocks(root: Node, template: dict[int, Counter]) -> list[str]:
     return out
 
 
-@dataclass
-class Wrapper:
-    template: list[Slot]
-    path: list[str]
-
-
-def wrapper(pages: list[str]) -> Wrapper:
-    top = induce(pages)
-    return Wrapper(top, place_of(top))
-
-
 def main_text(source: str, own: Wrapper | None) -> str:
     if not source:
         return ""
     tree = parse(source)
-    known: dict[int, Counter] = {}
-    if own and any_constant(own.template):
-        folds = fold(tree.children)
-        constants(folds, own.template, {}, known)
-    return "\n\n".join(b for root in roots(tree, own.path if own else []) for b in blocks(root, known))
-
-
-def any_constant(slots: list[Slot]) -> bool:
-    return any((s.texts and not s.furniture) or (not s.furniture and any_constant(s.children)) for s in slots)
+    known, level = {}, [tree]
+    if own:
+        top = fold([tree])
+        known = weigh(locate(top, own.skeleton, {}), own)
+        level = slot_of(top) or level
+    return "\n\n".join(b for root in roots(level) for b in blocks(root, known))
 
 
 # ------------------------------------------------------------------------------------------------------------ operators
@@ -389,8 +418,8 @@ def with_host(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Dat
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.lower(host).alias("host"))
 
 
-def wrappers(rows: DataFrame, per_host: int = PAGES) -> DataFrame:
-    """host, wrapper (pickled) from at most ``per_host`` pages of each host; ``rows`` as of :func:`with_host`."""
+def skeletons(rows: DataFrame, per_host: int = PAGES) -> DataFrame:
+    """host, wrapper (its pickled skeleton) from at most ``per_host`` pages of each host; ``rows`` as of :func:`with_host`."""
     spread = F.xxhash64("page_id")
     chosen = rows.groupBy("host", F.pmod(spread, F.lit(per_host)).alias("part")).agg(F.min(F.struct(spread.alias("h"), F.col("page_id"))).alias("first")).select("host", F.col("first.page_id").alias("page_id"))
     chosen = stored(chosen, "wrapper-pages")
@@ -401,23 +430,109 @@ def wrappers(rows: DataFrame, per_host: int = PAGES) -> DataFrame:
     def run(group):
         import pandas as pd
 
-        own = pickle.dumps(wrapper(group["html"].tolist()[: 4 * per_host]), 5)
+        sys.setrecursionlimit(DEEP)
+        own = pickle.dumps(skeleton(group["html"].tolist()[: 4 * per_host]), 5)
         return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [own]})
 
     return sample.groupBy("host").applyInPandas(run, "host string, wrapper binary")
 
 
+COUNTS = T.StructType([T.StructField("host", T.StringType()), T.StructField("place", T.LongType()), T.StructField("text", T.LongType()), T.StructField("n", T.DoubleType()), T.StructField("total", T.DoubleType())])
+
+
+def counted(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """host, place, text, n: how many pages have this text in this place (no text: have the place, and with how many
+    texts in all).  Whole repeats count once: each of c like pages as 1/c."""
+    like = [F.xxhash64("html").alias("h1"), F.xxhash64("html", F.lit(1)).alias("h2")]
+    hashed = rows.select("*", *like)
+    repeats = stored(hashed.groupBy("host", "h1", "h2").agg(F.count("*").alias("copies")).where("copies > 1"), "repeated-pages")
+    if repeats.count() <= BROADCAST_REPEATS:
+        repeats = F.broadcast(repeats)
+    weighted = hashed.join(repeats, ["host", "h1", "h2"], "left").select("page_id", "url", "html", "host", F.coalesce(1 / F.col("copies"), F.lit(1.0)).alias("weight"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(DEEP)
+        held: dict[tuple, list[float]] = {}
+
+        def out():
+            keys, sums = list(held), list(held.values())
+            held.clear()
+            for k in range(0, len(keys), 50_000):
+                columns = [*zip(*keys[k : k + 50_000], strict=True), *zip(*sums[k : k + 50_000], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=COUNTS.names)
+
+        for host, source, weight, own in paged(batches):
+            for place, texts in places(source, own).items() if own else ():
+                for text, total in ((None, weight * len(texts)), *((t, 0.0) for t in texts)):
+                    sums = held.setdefault((host, place, text), [0.0, 0.0])
+                    sums[0] += weight
+                    sums[1] += total
+            if len(held) > HELD:
+                yield from out()
+        yield from out()
+
+    frame, held = attached(weighted, known)
+
+    def paged(batches):
+        for batch, pages, wraps in paired(batches, held):
+            at = {name: batch.column(name).take(pages).to_pylist() for name in ("host", "html", "weight")}
+            yield from zip(at["host"], at["html"], at["weight"], wraps, strict=True)
+
+    return frame.mapInArrow(run, COUNTS).groupBy("host", "place", "text").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def wrappers(rows: DataFrame) -> DataFrame:
+    """host, wrapper (pickled) by the counts over all pages of each host."""
+    bare = stored(skeletons(rows), "skeletons")
+    counts = stored(counted(rows, bare).where(F.col("n") > LEAST - 1e-6), "place-counts")
+    had = counts.where("text is null").select("host", "place", F.col("n").alias("pages"), "total")
+    constant = counts.where("text is not null").join(had.select("host", "place", "pages"), ["host", "place"]).where(F.col("n") > CONSTANT * F.col("pages") - 1e-6)
+    facts = had.withColumn("text", F.lit(None).cast("long")).unionByName(constant.select("host", "place", "text", F.col("n").alias("pages"), F.lit(0.0).alias("total")))
+
+    def run(key, left, right):
+        sys.setrecursionlimit(DEEP)
+        if not left.num_rows:
+            return pa.table({"host": pa.array([], pa.string()), "wrapper": pa.array([], pa.binary())})
+        varying: dict[int, float] = {}
+        pages: dict[int, float] = {}
+        template: dict[int, list[int]] = defaultdict(list)
+        taken: dict[int, float] = defaultdict(float)
+        for place, text, n, total in zip(*(right.column(c).to_pylist() for c in ("place", "text", "pages", "total")), strict=True):
+            if text is None:
+                varying[place], pages[place] = total, n
+            else:
+                template[place].append(text)
+                taken[place] += n
+        known = {p: (max(0.0, total - taken[p]) / pages[p], frozenset(template[p])) for p, total in varying.items()}
+        own = Wrapper(pickle.loads(left.column("wrapper")[0].as_py()), known)
+        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "wrapper": pa.array([pickle.dumps(own, 5)], pa.binary())})
+
+    return bare.groupBy("host").cogroup(facts.groupBy("host")).applyInArrow(run, "host string, wrapper binary")
+
+
 EXTRACTED = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url and the main text of every row."""
     rows = with_host(pages, id_col, url_col, html_col)
-    known = stored(wrappers(rows), "wrappers")
+    frame, held = attached(rows, stored(wrappers(rows), "wrappers"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(DEEP)
+        for batch, pages, wraps in paired(batches, held):
+            sources = batch.column("html").take(pages).to_pylist()
+            texts = [main_text(source, own) for source, own in zip(sources, wraps, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id").take(pages), batch.column("url").take(pages), pa.array(texts, pa.string())], names=EXTRACTED.names)
+
+    return frame.mapInArrow(run, EXTRACTED)
+
+
+def attached(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, object]:
+    """Rows for :func:`paired`, and the broadcast wrappers unless each host's stands before its rows."""
     if (known.agg(F.sum(F.length("wrapper"))).first()[0] or 0) <= BROADCAST_BYTES:
-        held = rows.sparkSession.sparkContext.broadcast({r["host"]: bytes(r["wrapper"]) for r in known.collect()})
-        return rows.select("page_id", "url", "html", "host").mapInArrow(_extractor(held), EXTRACTED)
-    return dealt(rows, known).mapInArrow(_extractor(None), EXTRACTED)
+        return rows, rows.sparkSession.sparkContext.broadcast({r["host"]: bytes(r["wrapper"]) for r in known.collect()})
+    return dealt(rows, known), None
 
 
 def dealt(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -429,35 +544,29 @@ def dealt(rows: DataFrame, known: DataFrame) -> DataFrame:
     groups = counted.select("host", F.ceil(F.col("n") / share).cast("long").alias("groups"))
     several = F.broadcast(groups.where("groups > 1"))  # no more than there are parts
     group = F.pmod(F.monotonically_increasing_id(), F.coalesce("groups", F.lit(1)))
-    own = rows.join(several, "host", "left").select("page_id", "url", "html", "host", F.lit(None).cast("binary").alias("wrapper"), group.alias("group"))
-    copies = known.join(groups, "host").select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "host", "wrapper", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"))
-    both = copies.unionByName(own).repartition(parts, "host", "group")
+    own = rows.join(several, "host", "left").select(*rows.columns, F.lit(None).cast("binary").alias("wrapper"), group.alias("group"))
+    copies = known.join(groups, "host").select("host", "wrapper", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"))
+    both = own.unionByName(copies, allowMissingColumns=True).repartition(parts, "host", "group")
     return both.sortWithinPartitions("host", "group", F.col("wrapper").isNull()).drop("group")
 
 
-def _extractor(held):
-    """Extracts pages by the wrappers of ``held`` (a broadcast), or else by those that stand before a host's pages."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[str, Wrapper | None] = {}
-        for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
-                ids, urls, sources, hosts, *wrapped = batch.columns
-                texts, pages = [], []
-                for n, (source, host) in enumerate(zip(sources.to_pylist(), hosts.to_pylist(), strict=True)):
-                    if wrapped and wrapped[0][n].is_valid:
-                        memory = {host: pickle.loads(wrapped[0][n].as_py())}
-                        continue
-                    if host not in memory:
-                        if len(memory) > 500:
-                            memory.clear()
-                        data = held.value.get(host) if held else None
-                        memory[host] = pickle.loads(data) if data else None
-                    pages.append(n)
-                    texts.append(main_text(source, memory[host]))
-                if wrapped:
-                    ids, urls = ids.take(pa.array(pages, pa.int64())), urls.take(pa.array(pages, pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string())], names=EXTRACTED.names)
-
-    return run
+def paired(batches: Iterator[pa.RecordBatch], held) -> Iterator[tuple[pa.RecordBatch, pa.Array, list]]:
+    """Batches, which of their rows are pages, and the unpickled wrapper of each page's host."""
+    memory: dict[str, object] = {}
+    for whole in batches:
+        for k in range(0, whole.num_rows, 256):
+            batch = whole.slice(k, 256)
+            wrapped = None if held else batch.column("wrapper")
+            pages, wraps = [], []
+            for n, host in enumerate(batch.column("host").to_pylist()):
+                if wrapped is not None and wrapped[n].is_valid:
+                    memory = {host: pickle.loads(wrapped[n].as_py())}
+                    continue
+                if host not in memory:
+                    if len(memory) > 500:
+                        memory.clear()
+                    data = held.value.get(host) if held else None
+                    memory[host] = pickle.loads(data) if data else None
+                pages.append(n)
+                wraps.append(memory[host])
+            yield batch, pa.array(pages, pa.int64()), wraps

@@ -389,11 +389,32 @@ def test_large_wrappers_are_kept(spark, monkeypatch, bound):
     rows = [(n, f"https://{host}/{n}", f"<html><body>{frame}<div class='text'><p>Own {host} {n}</p></div></body></html>") for host, count in (("hot", 60), ("b", 8)) for n in range(count)]
     rows.append((None, None, "<p>alone</p>"))
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    assert len(pickle.dumps(html_extract.wrapper([r[2] for r in rows[:12]]), 5)) > 16_384
+    assert len(pickle.dumps(html_extract.skeleton([r[2] for r in rows[:12]]), 5)) > 16_384
     got = sorted((r.url or "", r.text) for r in html_extract.extract(df).collect())
     assert got == sorted([("", "alone"), *((u, f"Own {u.split('/')[2]} {n}") for n, u, _ in rows[:-1])])
 
 
+@pytest.mark.parametrize("bound", [html_extract.BROADCAST_BYTES, 0])
+def test_templates_are_of_all_pages(spark, monkeypatch, bound):
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", bound)
+    rows, want = [], {}
+    for n in range(120):
+        box = "<div class='box'><p>Read on at home</p></div>" if n % 5 < 3 else ""
+        if n % 40 == 7:  # a layout of few pages, with the article beside the slot of the others
+            own = [f"Story {n} {k}" for k in range(9)]
+            body = f"<div class='text'><p>Teaser {n}</p></div><div class='story'>{''.join(f'<p>{t}</p>' for t in own)}</div>"
+        else:
+            own = [f"Own {n} {k}" for k in range(3)]
+            body = f"<div class='text'>{box}{''.join(f'<p>{t}</p>' for t in own)}</div>"
+        rows.append((n, f"https://h.org/{n}", f"<html><body>{body}</body></html>"))
+        want[n] = "\n\n".join(own)
+    same = "<html><body><div class='text'><p>Many copies</p></div></body></html>"
+    rows += [(n, "https://h.org/same", same) for n in range(1000, 3000)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows) and got[2999] == "Many copies"
+    assert {n: got[n] for n in want} == want
+
+
 def test_tree_matching():
     def tree(s):
         return html_extract.fold(html_extract.parse(s).children)
