@@ -2,13 +2,13 @@
 
 Tokens are words (runs without white space, A-Z in lower case) and one end for each text.  A token's probability is
 
-    P(w | h) = d * c(h w) / c(h)     where the bigram was seen ``LEAST`` times or more in training
+    P(w | h) = d * c(h w) / c(h)     where the bigram was seen ``least`` times or more in training
              = a(h) * P(w)           elsewhere
     P(w)     = d * c(w) / N          for words seen in training
              = what is left          for any other word, as one
 
 with Good-Turing discounts d for counts up to ``TRUSTED``, and a(h) such that the probabilities after each history add
-up to 1.  (Bigrams seen once are given to the backoff, as the method allows for large corpora.)
+up to 1.  With ``least`` of 2 or more, bigrams seen less often are given to the backoff; the query keeps all.
 
 Counts, weights and scores live in partitioned tables, by ranges of 64-bit hashes of words and bigrams.  Tasks count
 blocks of some million tokens before anything is shuffled, so a word that makes up a third of the corpus is one entry
@@ -151,7 +151,7 @@ def _counted(rows: DataFrame, parts: int, bigrams: bool) -> DataFrame:
             held.clear()
             keys = bigram_keys(h, w)
             keys, counts, h, w = summed(keys, np.ones(len(keys), np.uint32), h, w)
-            arrays = [keys, counts, h, w]
+            arrays = [keys, small(counts), h, w]
         else:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             arrays = [keys, counts]
@@ -213,7 +213,7 @@ def bigram_counts(rows: DataFrame, parts: int, least: int) -> DataFrame:
         counts, h, w = joined(blobs(table))
         _, counts, h, w = summed(bigram_keys(h, w), counts.astype(np.int64), h, w)
         kept = counts >= least
-        return _table(key[0].as_py(), pack(h[kept], w[kept], counts[kept]), _tally(counts))
+        return _table(key[0].as_py(), pack(h[kept], w[kept], small(counts[kept])), _tally(counts))
 
     return _counted(rows, parts, True).groupBy("part").applyInArrow(run, TALLIED)
 
@@ -292,16 +292,17 @@ def train(rows: DataFrame, parts: int, least: int = LEAST) -> Model:
         return scale * single.of(counts) * counts / max(total, 1)
 
     def lower(key, left, right):
-        """Adds P(w) to bigrams that are dealt by their word."""
+        """Adds the words' counts to bigrams that are dealt by their word."""
         h, w, c = joined(blobs(left)) if left.num_rows else [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)]
         keys, counts = joined(blobs(right)) if right.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         place, _ = found(keys, w)
-        p = word_probability(counts[place]) if len(keys) else np.zeros(len(w))
-        own = list(split(parts_of(h, parts), h, w, c, p))
+        times = small(counts[place]) if len(keys) else np.zeros(len(w), np.uint8)
+        own = list(split(parts_of(h, parts), h, w, c, times))
         return pa.table({"part": pa.array([k for k, _ in own], pa.int64()), "data": pa.array([pack(*a) for _, a in own], pa.binary())})
 
     dealt = pairs.where("kind = 0").select("part", "data").mapInArrow(by_word(1), BLOCKS)
     lowered = stored(dealt.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(lower, BLOCKS), "katz-lower")
+    forget(rows.sparkSession, pairs)
 
     def weigh(key, left, right):
         """Backoff weights of histories, and what bigrams change."""
@@ -310,7 +311,8 @@ def train(rows: DataFrame, parts: int, least: int = LEAST) -> Model:
         weight = np.zeros(len(keys))
         changes: list[tuple[int, list[np.ndarray]]] = []
         if left.num_rows and len(keys):
-            h, w, c, p = joined(blobs(left))
+            h, w, c, lower_counts = joined(blobs(left))
+            p = word_probability(lower_counts)
             place, _ = found(keys, h)
             times = counts[place]
             seen = double.of(c) * c / times
@@ -333,7 +335,7 @@ def train(rows: DataFrame, parts: int, least: int = LEAST) -> Model:
         return pa.table({"kind": pa.array(kind, pa.int64()), "part": pa.array([key[0].as_py(), *(k for k, _ in changes)], pa.int64()), "data": pa.array([pack(keys, counts, log_p, weight), *(pack(*a) for _, a in changes)], pa.binary())})
 
     tables = stored(lowered.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(weigh, "kind long, part long, data binary"), "katz-model")
-    forget(rows.sparkSession, counted, pairs, lowered)
+    forget(rows.sparkSession, counted, lowered)
     return Model(tables.where("kind = 0").select("part", "data"), tables.where("kind = 1").select("part", "data"), parts, total, vocabulary, math.log10(unknown))
 
 

@@ -61,7 +61,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score_documents(_read(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
+    return katz.score_documents(_read(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2, least=1)
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

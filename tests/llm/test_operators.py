@@ -366,6 +366,34 @@ def test_katz(spark, edge, nothing):
     assert len(blind) == len(rows) and all(r.n_known == 0 and r.score == 0.0 for r in blind)
 
 
+def test_katz_query_keeps_bigrams_seen_once(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(k, " ".join(f"v{int(rng.paretovariate(0.7))}" for _ in range(rng.randint(0, 60)))) for k in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in queries.op8_lm_scoring(spark, f"file://{tmp_path}").collect()}
+    tokens = lambda t: [*t.split(), "</s>"]
+    train = [tokens(t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    words, pairs, before = Counter(w for t in train for w in t), Counter(), Counter()
+    for t in train:
+        pairs.update(zip(["<s>", *t], t, strict=False))
+        before.update(["<s>", *t[:-1]])
+    assert sum(c == 1 for c in pairs.values()) > len(pairs) / 2
+    d1, d2 = (katz.good_turing(Counter(c.values())).factors for c in (words, pairs))
+    d = lambda factors, c: (factors[c] if c < len(factors) else 1.0) * c
+    p1 = {w: d(d1, c) / words.total() for w, c in words.items()}
+    after = defaultdict(dict)
+    for (h, w), c in pairs.items():
+        after[h][w] = d(d2, c) / before[h]
+    for h, own in after.items():
+        if sum(own.values()) > 1 - 1e-9:
+            after[h] = {w: p * before[h] / (before[h] + 1) for w, p in own.items()}
+    a = {h: (1 - sum(own.values())) / (1 - sum(p1[w] for w in own)) for h, own in after.items()}
+    p = lambda h, w: after[h][w] if w in after.get(h, {}) else a.get(h, 1.0) * p1.get(w, 1 - sum(p1.values()))
+    for i, text in rows:
+        t = tokens(text)
+        assert got[i] == pytest.approx(sum(math.log10(p(h, w)) for h, w in zip(["<s>", *t], t, strict=False)), abs=1e-5)
+
+
 # ------------------------------------------------------------------------------------------------------------------ HTML
 
 PAGE = "<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/'>Home</a><li>News</ul></nav><div class='ad'>buy {n}</div><div class='wrap'><h1>Head {n}</h1><p>First &amp; foremost {n}<br>more<p><b>Second {n}</b> block<div class='share-box'>Share this</div><p>Sign up for our paper</p><section id='comments'><p>I agree {n}</p></section></div><footer>&copy; us {n}</footer></body></html>"
