@@ -18,6 +18,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import html
+import math
 import pickle
 import re
 import sys
@@ -25,6 +26,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +45,7 @@ BROADCAST_HOSTS, BROADCAST_REPEATS = 4_000, 300_000
 HELD = 300_000
 #: Nested calls, since trees may be deep.
 DEEP = 100_000
-#: Cells of one alignment; longer child lists are aligned by their labels in order.
+#: Cells of one alignment that is held whole; those of longer child lists are made again, row by row, as they are needed.
 CELLS = 40_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -193,13 +195,7 @@ def matching(a: list, b: list, memo: dict) -> tuple[int, list[tuple[int, int]]]:
     if not n or not m:
         return 0, []
     if n * m > CELLS:
-        pairs, k = [], 0
-        for i, x in enumerate(a):
-            j = next((j for j in range(k, min(m, k + 64)) if b[j].label == x.label), None)
-            if j is not None:
-                pairs.append((i, j))
-                k = j + 1
-        return len(pairs), pairs
+        return long_matching(a, b, memo)
     value = [[0] * (m + 1) for _ in range(n + 1)]
     gains = {}
     for i in range(n):
@@ -230,6 +226,71 @@ def subtree(x, y, memo: dict) -> int:
     return memo[key]
 
 
+def form(x, memo: dict) -> int:
+    """A number for nodes of the same labels all the way down."""
+    key = (id(x),)
+    if key not in memo:
+        memo[key] = memo.setdefault((x.label, *(form(c, memo) for c in x.children)), len(memo))
+    return memo[key]
+
+
+def long_matching(a: list, b: list, memo: dict) -> tuple[int, list[tuple[int, int]]]:
+    """:func:`matching` by the same rule for long lists: of the rows of values about the square root is kept, and the
+    gain of a pair is found once for all nodes of its forms."""
+    n, m = len(a), len(b)
+    where: dict[str, list[int]] = defaultdict(list)
+    for j, y in enumerate(b):
+        where[y.label].append(j)
+    kinds = {}
+    for label, at in where.items():
+        forms: dict[int, int] = {}
+        kind = [forms.setdefault(form(b[j], memo), len(forms)) for j in at]
+        first = [at[kind.index(k)] for k in range(len(forms))]
+        kinds[label] = np.array(at), np.array(kind), first
+    gains: dict[int, np.ndarray] = {}
+
+    def gain(x) -> np.ndarray:
+        """Of pairing x with each node of its label."""
+        _, kind, first = kinds[x.label]
+        own = form(x, memo)
+        if own not in gains:
+            gains[own] = np.array([1 + subtree(x, b[j], memo) for j in first], np.int32)
+        return gains[own][kind]
+
+    def following(row: np.ndarray, x) -> np.ndarray:
+        out = row.copy()
+        if x.label in kinds:
+            at = kinds[x.label][0]
+            out[at + 1] = np.maximum(out[at + 1], row[at] + gain(x))
+        return np.maximum.accumulate(out)
+
+    step = math.isqrt(n) + 1
+    row = np.zeros(m + 1, np.int32)
+    kept = []
+    for i, x in enumerate(a):
+        if i % step == 0:
+            kept.append(row)
+        row = following(row, x)
+    total, pairs, j = int(row[m]), [], m
+    for block in range(len(kept) - 1, -1, -1):
+        start = block * step
+        rows = [kept.pop()]
+        for x in a[start : start + step]:
+            rows.append(following(rows[-1], x))
+        for i in range(len(rows) - 1, 0, -1):
+            x, row, above = a[start + i - 1], rows[i], rows[i - 1]
+            own = dict(zip(kinds[x.label][0].tolist(), gain(x).tolist(), strict=True)) if x.label in kinds else {}
+            while j:
+                if j - 1 in own and row[j] == above[j - 1] + own[j - 1]:
+                    pairs.append((start + i - 1, j - 1))
+                    j -= 1
+                    break
+                if row[j] == above[j]:
+                    break
+                j -= 1
+    return total, pairs[::-1]
+
+
 def grow(slots: list[Slot], folds: list[Fold], memo: dict) -> None:
     """Adds a page to a skeleton; parts that it has more become optional nodes in their place."""
     _, pairs = matching(slots, folds, memo)

@@ -454,6 +454,24 @@ def test_tree_matching():
     assert html_extract.main_text(deep, None) == "x"
 
 
+def test_long_lists_are_matched_by_the_same_rule(monkeypatch):
+    rng = random.Random(3)
+    blocks = ["<h2>x</h2>", "<p>y</p>", "<p><b>y</b> z <i>w</i></p>", "<ul><li>z<a>q</a></li></ul>", "<div><h3>u</h3><p><a>v</a></p></div>", "<div><p>u</p></div>"]
+
+    def page(n):
+        return html_extract.fold(html_extract.parse("".join(rng.choice(blocks) for _ in range(n))).children)
+
+    for sizes in ((400, 300), (300, 400), (900, 150), (150, 900)):
+        a, b = map(page, sizes)
+        assert len(a) * len(b) > html_extract.CELLS
+        got = html_extract.matching(a, b, {})
+        with monkeypatch.context() as m:
+            m.setattr(html_extract, "CELLS", 10**9)
+            assert got == html_extract.matching(a, b, {})
+    last = html_extract.parse("<h2>x</h2><p>y</p>" * 200 + "<div class='end'>c</div>"), html_extract.parse("<h2>x</h2><p>y</p>" * 300 + "<div class='end'>c</div>")
+    assert (400, 600) in html_extract.matching(*(html_extract.fold(x.children) for x in last), {})[1]
+
+
 # ----------------------------------------------------------------------------------------------------------- language ID
 
 
