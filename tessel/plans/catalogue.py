@@ -201,9 +201,9 @@ def dataset_keys(spark, d):
     return docs.select("doc_id", E.content_key(F.col("text"), F.array("source", "lang"), F.col("lang")).alias("content_key"), X.sha256_short(F.col("text")).alias("short_hash"), X.combined_fingerprint(F.col("text"), F.col("lang"), F.col("source")).alias("fingerprint"))
 
 
-def _golden(spark, d):
+def _golden(spark, d, whole=False):
     docs = read(spark, d, "documents")
-    return docs.select(F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 80).alias("question"), F.col("source").alias("answer"), F.array("lang", "source").alias("tags"), F.array("source").alias("source_docs"), F.when(F.col("n_chars") > 2000, "hard").otherwise("easy").alias("difficulty"), F.lit(None).cast("string").alias("priority"), F.when(F.col("doc_id") % 3 == 0, "x").alias("validated_by"))
+    return docs.select(F.col("doc_id").cast("string").alias("id"), (F.col("text") if whole else F.substring("text", 1, 80)).alias("question"), F.col("source").alias("answer"), F.array("lang", "source").alias("tags"), F.array("source").alias("source_docs"), F.when(F.col("n_chars") > 2000, "hard").otherwise("easy").alias("difficulty"), F.lit(None).cast("string").alias("priority"), F.when(F.col("doc_id") % 3 == 0, "x").alias("validated_by"))
 
 
 def golden_filter(spark, d):
@@ -219,7 +219,7 @@ def golden_testset(spark, d):
 
 
 def golden_diff(spark, d):
-    golden = _golden(spark, d).select("id", "question", "answer")
+    golden = _golden(spark, d, whole=True).select("id", "question", "answer")
     return E.dataset_diff(golden.where("id % 7 <> 0"), golden.where("id % 5 <> 0").withColumn("answer", F.when(F.col("id") % 11 == 0, "new").otherwise(F.col("answer"))), "id", ["question", "answer"])
 
 

@@ -37,3 +37,14 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_golden_diff_compares_whole_texts(spark, sf_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(catalogue.E, "dataset_diff", lambda old, new, *a: seen.extend((old, new)))
+    catalogue.golden_diff(spark, sf_dir)
+    texts = {str(r.doc_id): r.text for r in catalogue.read(spark, sf_dir, "documents").select("doc_id", "text").collect()}
+    assert any(len(t or "") > 80 for t in texts.values())
+    for side in seen:
+        assert all(r.question == texts[r.id] for r in side.collect())
+    assert len(seen) == 2
