@@ -236,6 +236,17 @@ def test_url_model(spark, sf_dir):
     assert (got[spam].verdict == "block").all() and (got[~spam].verdict == "allow").mean() > 0.98
 
 
+def test_url_limit_is_of_all_readings(spark):
+    rng = random.Random(9)
+    names = ["".join(rng.choices(url_filter.SEEDS, k=2) if n % 10 == 0 else rng.choices("abcdeghiklmnopqrstuvwxyz", k=9)) for n in range(1500)]
+    rows = [(n, f"http://{name}.zone.test/{n}") for n, name in enumerate(names)]
+    urls = url_filter.ruled(url_filter.split_urls(spark.createDataFrame(rows, "page_id long, url string"), id_col="page_id", url_col="url"), url_filter.RULES)
+    model = url_filter.fit(urls, sample=40)
+    texts = {url_filter.reading(r.host, r.path) for r in urls.select("host", "path").collect()}
+    scores = [model.score(t) for t in texts if not url_filter.seeded(t, url_filter.SEEDS)]
+    assert len(scores) > 1000 and sum(x > model.limit for x in scores) <= url_filter.FALSE * len(scores)
+
+
 def test_markov_adds_up():
     m = url_filter.Markov(["^abc$", "^abd$"], alphabet=96)
     signs = set("abcd$") | {chr(33 + k) for k in range(91) if chr(33 + k) not in "abcd$^"}
