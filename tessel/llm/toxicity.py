@@ -3,7 +3,7 @@
 Texts are folded (lower case, homoglyphs and accented Latin letters to plain ones, digits and signs that stand for
 letters within a word), the lexicon and the exception phrases are matched in one pass of an Aho-Corasick automaton at
 word boundaries, and what lies inside an exception phrase doesn't count.  The weights found, set against the length of
-the text, give the score by a logistic curve.
+the text, give the score by a logistic curve.  Words are runs of letters of any script between spaces or signs.
 
 A base lexicon of insults starts with a small weight.  :func:`learn` fits weights, further words and the curve on a
 bounded sample of labelled rows (at most about ``SAMPLE``, by a hash of the identifier): a word enters if toxic rows
@@ -48,7 +48,11 @@ LOOKALIKES = dict(zip("аеорсухкмтвнізјѕԁɡօսıոαβεικν
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e", "£": "l"}
 
 _MARKED = re.compile(r"[^\W\d_]*[0-9@$!|€£]+(?=[^\W\d_])[^\W_]*(?:[@$!|€£]+[^\W_]+)*")
-_WORD = re.compile(r"[a-z]+")
+#: Signs that belong to the letter before them, as vowels of Indic scripts do.
+_MARKS = "".join(c for c in map(chr, range(0x300, 0x1E000)) if unicodedata.category(c) in ("Mn", "Mc"))
+#: Words that are candidates: runs of letters of any script.
+_WORD = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_MARKS}])*")
+_MARKED_BY = frozenset(_MARKS)
 
 
 def _letters() -> dict[int, str]:
@@ -62,7 +66,7 @@ def _letters() -> dict[int, str]:
     for sign, plain in LOOKALIKES.items():
         table[ord(sign)] = plain
         table[ord(sign.upper()) if len(sign.upper()) == 1 else ord(sign)] = plain
-    return table | {0xDF: "ss", 0xAD: "", 0x200B: "", 0x200C: "", 0x200D: "", 0xFEFF: ""}
+    return table | {0xDF: "ss", 0xAD: "", 0x200B: "", 0x200C: "", 0x200D: "", 0xFEFF: ""} | {code: "" for code in range(0x300, 0x370)}
 
 
 _TABLE = _letters()
@@ -109,7 +113,7 @@ def hits(folded: str, automaton) -> list[tuple[int, int, float]]:
     words, spared, n = [], [], len(folded)
     for last, (size, weight) in automaton.iter(folded):
         begin, end = last + 1 - size, last + 1
-        if (begin and folded[begin - 1].isalpha()) or (end < n and folded[end].isalpha()):
+        if (begin and (folded[begin - 1].isalpha() or folded[begin - 1] in _MARKED_BY)) or (end < n and (folded[end].isalpha() or folded[end] in _MARKED_BY)):
             continue
         (words if weight else spared).append((begin, end, weight))
     return [w for w in words if not any(b <= w[0] and w[1] <= e for b, e, _ in spared)] if spared else words
@@ -164,7 +168,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                     out.update(zip(row, ["", *row], strict=False))
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.string()), pa.array([b for _, b in out], pa.string())], names=["word", "before"])
 
-    toxic = chosen.mapInArrow(words, "word string, before string").distinct().groupBy("word").count().where((F.col("count") >= CONTEXTS) & (F.length("word") >= 3))
+    toxic = chosen.mapInArrow(words, "word string, before string").distinct().groupBy("word").count().where((F.col("count") >= CONTEXTS) & ((F.length("word") >= 3) | F.col("word").rlike("[^a-z]")))
     contexts = {r["word"]: r["count"] for r in toxic.toLocalIterator()}
     candidates = set(contexts) | set(BASE)
 

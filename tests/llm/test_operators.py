@@ -213,6 +213,17 @@ def test_toxicity(spark, sf_dir, edge, nothing):
     assert toxicity.learn(docs, labels.where("false")) == toxicity.base()
 
 
+@pytest.mark.parametrize("word", ["жлоб", "मूर्ख", "바보", "غبي"])
+def test_toxic_words_of_any_script(spark, word):
+    rng = random.Random(2)
+    text = lambda n, own: " ".join(f"{w} {own}" if own and k == 3 else w for k, w in enumerate(("".join(rng.choices("домрекघरनद집강나بيتنه", k=4)) for _ in range(8))))
+    rows = [(n, text(n, word if n % 4 == 0 else "")) for n in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = toxicity.learn(docs, docs.selectExpr("doc_id", "cast(doc_id % 4 = 0 as int) as toxic"))
+    assert toxicity.fold(word) in lexicon.weights and toxicity.fold("idio\u0301t") == "idiot"
+    assert all((r.score >= toxicity.LIMIT) == (r.doc_id % 4 == 0) for r in toxicity.score(docs, lexicon).collect())
+
+
 # ------------------------------------------------------------------------------------------------------------------ URLs
 
 URLS = [(1, "https://a.example.net/en/x"), (2, "http://EXAMPLE.net/fr/"), (3, "https://example.com/de/1?x=/en/"), (4, "https://w.org/fr/a#b"), (5, None), (6, "no scheme"), (7, "http://notexample.com/de/"), (8, "https://h.example.org"), (9, "https://x.net"), (10, "ftp://a.org?q=/fr/"), (2, "http://EXAMPLE.net/fr/")]
