@@ -66,6 +66,21 @@ def forget(spark: SparkSession, *frames: DataFrame) -> None:
                 break
 
 
+def released() -> None:
+    """Gives memory that a worker holds but doesn't use back to the machine; workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

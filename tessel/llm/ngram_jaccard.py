@@ -1,29 +1,36 @@
 """Exact self-join of documents whose sets of word shingles have a Jaccard similarity of at least a threshold.
 
 The method is a metric-space join: pivots cut the space into Voronoi regions, documents near a border are replicated by
-windows that the triangle inequality bounds, and regions are joined recursively.  Jaccard distance has a plateau: texts
-that share no shingle are all at distance 1, so documents as first pivots would tell nothing apart.  The first pivots
-are therefore the single shingles, under one global order (shingles that many documents hold come last, the others by
-their hash).  A document's nearest pivots are the shingles it holds; the least one in the order names its region.  Sizes
-are distances to the empty and to the full set, so the triangle inequality bounds how many of a document's least
-shingles a document within the radius can miss: the window, ``n - ceil(t * n) + 1`` shingles, is what it is replicated
-to.  Two linked documents always meet in a region.
-
-Within a region the second pivots are documents.  First every region's members are held against one pivot document (the
-one of least hash, mostly the same in all regions of a family of copies).  The numbers of regions in which two meet bound
-their distance; pairs that may lie within the radius are compared in full, and their links' components found.  Then the
-regions are joined again, between members of different components only: members of one component need no comparison,
-so a family of copies of any size never gives all its pairs.  Every pair of different components that meets in a region
-is counted; of those whose count leaves a link possible, the
-likeliest are compared in full first, and then all whose components are still apart.  No pair is lost: two linked documents either
-are in one component already or are compared.
-
-Shingles are 64-bit hashes; sets are equal if 128-bit digests of them are.  Postings travel as binary blocks by ranges of
-the hash, and equal sets of one task are posted once.
+windows that the triangle inequality bounds, and regions are joined recursively.
+
+Jaccard distance has a plateau: texts that share no shingle are all at distance 1, where no pivot tells them apart.  So
+the first regions hold what can lie within the radius of one another at all.  Shingles have one order, rare ones first
+(by the number of documents that hold them, counted over the whole table).  Sizes are distances to the empty set, so the
+triangle inequality bounds how many of a document's first shingles a document within the radius can miss: its window,
+``n - ceil(t * n) + 1`` shingles.  Of each shingle that several documents hold, one of them is the pivot, and a document
+is a member of the regions of the pivots of its window.  Two linked documents share the first of their common shingles
+in both windows, and so a region.  Shingles of one document alone come first in the order and need no region: a document
+of which more than a window's worth is its own has no link.
+
+A region that fits into a task is joined there: windows again, under the order of the region's own counts, then whole
+sets, and a union-find that leaves out pairs which are connected already.  Larger regions get several pivot documents
+of their own; each member goes to its nearest (true distances), these regions are joined recursively, and their links'
+components found.  Then members visit the other regions, if ``d(x, q) <= d(x, own) + 2r`` and ``d(x, q) <= R(q) + r``
+(r the radius, R(q) the largest distance of a member of q to its pivot) leave a link possible, and if somebody there
+belongs to a larger component (of two linked documents of different components the one of the smaller visits).
+Only links that connect are given out, at most one for each member of a region.
+
+Nothing is capped: a region whose pivots don't tell its members apart is cut by hash after ``DEPTH`` rounds, and
+the windows of the cuts then are all of them.
+
+Shingles are 64-bit hashes of words, sets are equal if 128-bit digests of them are; "exact" means up to such collisions.
+First counts use 32 bits within a part of the hashes' range; collisions there change the order for all documents alike
+and lose nothing.
 
 Nulls: a null or empty text has no shingle and no links; a null identifier is kept, without component.  Rows that repeat
-an identifier are one document that holds the links of each.  An empty table gives an empty result; other columns are
-ignored by :func:`join` and carried by :func:`keep_one`.
+an identifier are one document that holds the links of each (rows without words stand alone).  Ties between pivots go to
+the first.  Very long texts are taken whole.  An empty table gives an empty result; other columns, whatever their names,
+are ignored by :func:`join` and carried by :func:`keep_one`.
 """
 
 from __future__ import annotations
@@ -32,28 +39,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessel.llm.common import partitions, stored
+from tessel.llm.blocks import blobs, cut, documents, mixed, pack, runs, spans, unpack
+from tessel.llm.common import forget, partitions, released, stored
 from tessel.llm.components import components
 
 WORDS = 5
 THRESHOLD = (3, 4)  # 0.75
-#: A shingle of at least this many documents is put last in the order; the most that are (8 MB).
-HEAVY, MOST_HEAVY = 48, 1_000_000
-#: How often a task must see a shingle to report it.
-REPORTED = 4
-#: Parts of the hash's range, at least; twice the shuffle partitions if that is more.
-PARTS = 128
-#: Pairs of two components that are compared before all of them are, and how often so.
-TRIED = 4
-ROUNDS = 2
+#: Shingles and documents that a task gathers before it gives them away.
+BLOCK, BLOCK_DOCS = 1_500_000, 60_000
+#: Documents of a block from which on it tells of a shingle once and not for each of them.
+OFTEN = 64
+#: Parts of the hashes' range: at least so many, twice the shuffle partitions, and one for so many bytes of input.
+PARTS, PART_BYTES = 128, 4 << 20
+#: A region is joined in one task up to so many members and bytes of sets.
+LEAF, LEAF_BYTES = 2048, 16 << 20
+#: Pivots of a larger region, and how often regions are cut by distance before they are cut by hash.
+PIVOTS, DEPTH = 32, 6
 #: Identifiers that are broadcast at most (16 MB); longer lists are joined.
 BROADCAST_IDS = 1_000_000
-#: Shingles or postings that a task gathers before it gives them away.
-BLOCK = 1_000_000
 
 _GOLDEN, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -77,9 +84,9 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def window(n: int, t: tuple[int, int] = THRESHOLD) -> int:
-    """How many of its least shingles a document is replicated to."""
-    return n + (-n * t[0]) // t[1] + 1 if n else 0
+def window(n, t: tuple[int, int] = THRESHOLD):
+    """How many of its first shingles a document is replicated by."""
+    return (n + (-n * t[0]) // t[1] + 1) * (n > 0)
 
 
 def least_overlap(a, b, t: tuple[int, int] = THRESHOLD):
@@ -87,355 +94,381 @@ def least_overlap(a, b, t: tuple[int, int] = THRESHOLD):
     return -((-t[0] * (a + b)) // (t[0] + t[1]))
 
 
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    return len(np.intersect1d(a, b, assume_unique=True))
+
+
 def linked(a: np.ndarray, b: np.ndarray, t: tuple[int, int] = THRESHOLD) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    both = overlap(a, b)
     return both > 0 and t[1] * both >= t[0] * (len(a) + len(b) - both)
 
 
-def _rows(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[tuple]:
-    for whole in batches:
-        for k in range(0, whole.num_rows, size):
-            yield from zip(*(c.to_pylist() for c in whole.slice(k, size).columns), strict=True)
+def digest_of(own: np.ndarray) -> tuple[int, int]:
+    from xxhash import xxh3_128_digest
 
+    raw = xxh3_128_digest(own.tobytes())
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
-SURVEYED = "doc_id long, n long, rep long, hash long, seen long"
 
+ROWS = "part int, block long, kind int, data binary"
+ANSWERS = "block long, kind int, data binary"
 
-def survey(docs: DataFrame, words: int) -> DataFrame:
-    """For each row its number of shingles and the first row of its task with the same set; and often-seen shingles."""
 
-    def run(batches):
-        from xxhash import xxh3_128_digest
+def _messages(names: list[str], *columns) -> pa.RecordBatch:
+    kinds = {"part": pa.int32(), "block": pa.int64(), "kind": pa.int32(), "data": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for n, c in zip(names, columns, strict=True)], names=names)
 
-        names = ["doc_id", "n", "rep", "hash", "seen"]
-        known: dict[bytes, int] = {}
-        held: list[np.ndarray] = []
-        size = 0
-        ids, counts, reps = [], [], []
-
-        def out(heavy: bool):
-            nonlocal size
-            hashes = seen = np.zeros(0, np.int64)
-            if heavy and held:
-                hashes, seen = np.unique(np.concatenate(held), return_counts=True)
-                often = seen >= REPORTED
-                hashes, seen = hashes[often].view(np.int64), seen[often]
-                held.clear()
-                size = 0
-            n, m = len(ids), len(hashes)
-            blank = pa.nulls(m, pa.int64())
-            columns = [pa.chunked_array([pa.array(x, pa.int64()), blank]).combine_chunks() for x in (ids, counts, reps)] + [pa.chunked_array([pa.nulls(n, pa.int64()), pa.array(x, pa.int64())]).combine_chunks() for x in (hashes, seen)]
-            for x in (ids, counts, reps):
-                x.clear()
-            return pa.RecordBatch.from_arrays(columns, names=names)
-
-        for doc, text in _rows(batches):
-            own = shingles(text, words)
-            rep = doc
-            if doc is not None and len(own):
-                rep = known.setdefault(xxh3_128_digest(own.tobytes()), doc)
-                if rep == doc:
-                    held.append(own)
-                    size += len(own)
-            ids.append(doc)
-            counts.append(len(own))
-            reps.append(rep)
-            if size >= BLOCK or len(ids) >= 20_000:
-                yield out(size >= BLOCK)
-        yield out(True)
 
-    return docs.mapInArrow(run, SURVEYED)
+def _pivot_keys(block: int, who: np.ndarray) -> np.ndarray:
+    """A number for each document of a block, in no order that the data know of; the least of a shingle's is its pivot."""
+    return mixed(np.uint64(block << 16) | who.astype(np.uint64))
 
 
-def postings(docs: DataFrame, heavy, parts: int, words: int, t: tuple[int, int]) -> DataFrame:
-    """part, block: a task's documents' windows, by ranges of the hash."""
+def ask(docs: DataFrame, parts: int, words: int) -> DataFrame:
+    """Blocks: of each its documents (kind 0), and by parts of the hashes' range who holds which shingle (kind 1)."""
 
     def run(batches):
-        from xxhash import xxh3_64_intdigest, xxh3_128_digest
-
-        late = heavy.value
-        known: set[bytes] = set()
-        held: list[tuple[int, int, int, np.ndarray]] = []
+        here, number = TaskContext.get().partitionId(), 0
+        rows: list[tuple] = []
+        held: list[np.ndarray] = []
+        known: dict[tuple[int, int], int] = {}
         size = 0
 
-        def blocks():
-            ids = np.array([h[0] for h in held], np.int64)
-            counts = np.array([h[1] for h in held], np.int64)
-            prints = np.array([h[2] for h in held], np.uint64)
-            lengths = [len(h[3]) for h in held]
-            hashes = np.concatenate([h[3] for h in held])
-            who = np.repeat(np.arange(len(held), dtype=np.int32), lengths)
-            part = ((hashes >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
-            order = np.lexsort((hashes, part))
-            hashes, who, part = hashes[order], who[order], part[order]
-            cuts = np.flatnonzero(np.diff(part)) + 1
+        def block() -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            name = here << 24 | number
+            number += 1
+            hashes = np.concatenate([np.zeros(0, np.uint64), *held])
+            who = np.repeat(np.arange(len(held), dtype=np.uint16), [len(x) for x in held])
+            held.clear()
+            keys = ((hashes >> np.uint64(40)) % np.uint64(parts)) << np.uint64(32) | (hashes & np.uint64(0xFFFFFFFF))
+            order = np.argsort(keys, kind="stable")
+            keys, who = keys[order], who[order]
+            first, many = runs(keys)
+            often = many >= OFTEN
+            at, n = first[often], many[often]
+            stub_who = who[spans(at, n)]
+            stub_keys = keys[at]
+            least = np.minimum.reduceat(_pivot_keys(name, stub_who), np.r_[0, np.cumsum(n)[:-1]]) if len(n) else np.zeros(0, np.uint64)
+            light = np.repeat(~often, many)
+            keys, who = keys[light], who[light]
+            ids = [r[0] for r in rows]
+            head = pack(np.array([0 if d is None else d for d in ids], np.int64), np.array([d is None for d in ids], bool), *(np.array([r[k] for r in rows], kind) for k, kind in ((1, np.int32), (2, np.int64), (3, np.int64), (4, np.int32))), n.astype(np.int32), stub_who)
+            rows.clear()
+            known.clear()
+            yield _messages(["part", "block", "kind", "data"], [name % parts], [name], [0], [head])
+            edges = np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)
+            light_at, stub_at = np.searchsorted(keys, edges).tolist(), np.searchsorted(stub_keys, edges).tolist()
+            low = keys.astype(np.uint32)
+            stub_low, counts = stub_keys.astype(np.uint32), n.astype(np.uint32)
             numbers, data = [], []
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True):
-                numbers.append(int(part[a]))
-                data.append(_block(hashes[a:b], who[a:b], ids, counts, prints))
-                if len(data) == 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(data, pa.binary())], names=["part", "block"])
+            for p in range(parts):
+                a, b, c, d = light_at[p], light_at[p + 1], stub_at[p], stub_at[p + 1]
+                if a < b or c < d:
+                    numbers.append(p)
+                    data.append(pack(low[a:b], who[a:b], stub_low[c:d], counts[c:d], least[c:d], np.arange(c, d, dtype=np.uint32)))
+                if len(data) == 64 or p == parts - 1 and data:
+                    yield _messages(["part", "block", "kind", "data"], numbers, [name] * len(data), [1] * len(data), data)
                     numbers, data = [], []
-            if data:
-                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(data, pa.binary())], names=["part", "block"])
 
-        for doc, text in _rows(batches):
-            if doc is None:
-                continue
+        for doc, text in documents(batches):
             own = shingles(text, words)
-            raw = own.tobytes()
-            digest = xxh3_128_digest(raw)
-            if not len(own) or digest in known:
-                continue
-            known.add(digest)
-            n = window(len(own), t)
-            if len(late):
-                place = np.searchsorted(late, own)
-                last = late[np.minimum(place, len(late) - 1)] == own
-                if last[:n].any():
-                    own = np.concatenate([own[~last], own[last]])
-            held.append((doc, len(own), xxh3_64_intdigest(raw), own[:n]))
-            size += n
-            if size >= BLOCK:
-                yield from blocks()
-                held, size = [], 0
-        if held:
-            yield from blocks()
-
-    return docs.mapInArrow(run, "part int, block binary")
-
-
-def _place_kind(members: int) -> type:
-    return np.uint16 if members <= 1 << 16 else np.int32
-
-
-def _block(hashes: np.ndarray, who: np.ndarray, ids: np.ndarray, counts: np.ndarray, prints: np.ndarray) -> bytes:
-    """Postings and their members: numbers of both, then id, print and size of the members, hash and member of postings."""
-    members, place = np.unique(who, return_inverse=True)
-    head = np.array([len(members), len(hashes)], np.int64)
-    return b"".join(x.tobytes() for x in (head, ids[members], prints[members], counts[members].astype(np.int32), hashes, place.astype(_place_kind(len(members)))))
-
-
-def _blobs(table: pa.Table) -> list[memoryview]:
-    return [memoryview(v.as_buffer()) for v in table.column("block")]
-
-
-def _unpack(data: list[memoryview]) -> tuple[np.ndarray, ...]:
-    """Postings of a part, sorted by hash: hash and member of each; id, size and print of the members."""
-    ids, counts, prints, hashes, who = [], [], [], [], []
-    base = 0
-    for raw in data:
-        members, n = (int(x) for x in np.frombuffer(raw, np.int64, 2))
-        at, kind = 16, _place_kind(members)
-        for into, own, k in ((ids, np.int64, members), (prints, np.uint64, members), (counts, np.int32, members), (hashes, np.uint64, n), (who, kind, n)):
-            into.append(np.frombuffer(raw, own, k, at))
-            at += np.dtype(own).itemsize * k
-        who[-1] = who[-1].astype(np.int64) + base
-        counts[-1] = counts[-1].astype(np.int64)
-        base += members
-    ids, counts, prints, hashes, who = (np.concatenate(x) for x in (ids, counts, prints, hashes, who))
-    order = np.lexsort((ids[who], hashes))
-    return hashes[order], who[order], ids, counts, prints
-
-
-def _spread(ids: np.ndarray) -> np.ndarray:
-    x = ids.view(np.uint64) * _GOLDEN
-    return x ^ (x >> np.uint64(31))
-
-
-def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs and how often each stands there."""
-    if not len(a):
-        return a, b, a
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    return a[first], b[first], np.diff(np.r_[first, len(a)])
-
-
-REGIONS = "part int, a long, b long, na long, nb long, met long, same boolean, block binary"
-_REGIONS = pa.schema([("part", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("met", pa.int64()), ("same", pa.bool_()), ("block", pa.binary())])
-
-
-def _region_table(part: int, a=(), b=(), na=(), nb=(), met=(), same=(), block: bytes | None = None) -> pa.Table:
-    n = len(a)
-    columns = [pa.array([part] * n, pa.int32()), *(pa.array(np.asarray(x, np.int64)) for x in (a, b, na, nb, met)), pa.array(np.asarray(same, bool)), pa.nulls(n, pa.binary())]
-    table = pa.Table.from_arrays(columns, schema=_REGIONS)
-    if block is not None:
-        table = pa.concat_tables([table, pa.Table.from_pylist([{"part": part, "block": block}], schema=_REGIONS)])
-    return table
-
-
-def pivots(posted: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """For each part: how often members met a region's pivot document; members of other regions (rows without b); and a
-    block of the regions with different members, for the second joining."""
+            high, low, member = 0, 0, -1
+            if len(own):
+                high, low = digest_of(own)
+                if doc is not None and (high, low) not in known:
+                    member = known[high, low] = len(held)
+                    held.append(own)
+                    size += len(own)
+            rows.append((doc, len(own), high, low, member))
+            if size >= BLOCK or len(rows) >= BLOCK_DOCS:
+                yield from block()
+                size = 0
+        if rows:
+            yield from block()
+        released()
+
+    return docs.mapInArrow(run, ROWS)
+
+
+def census(key, table):
+    """To each block: of its shingles that others hold too, how many do (a code that grows with it), and their pivots."""
+    kinds, names = table.column("kind").to_pylist(), table.column("block").to_pylist()
+    out_block, out_kind, out_data = [], [], []
+    prints, counts, least, place, stub, of = [], [], [], [], [], []
+    asked: list[int] = []
+    for name, kind, raw in zip(names, kinds, blobs(table), strict=True):
+        if kind == 0:
+            out_block.append(name)
+            out_kind.append(0)
+            out_data.append(bytes(raw))
+            continue
+        light, who, stubs, times, lowest, at = unpack(raw)
+        for p, n, low, where, whole in ((light, np.ones(len(light), np.int64), _pivot_keys(name, who), who, False), (stubs, times.astype(np.int64), lowest, at, True)):
+            if len(p):
+                prints.append(p)
+                counts.append(n)
+                least.append(low)
+                place.append(where.astype(np.uint32))
+                stub.append(np.full(len(p), whole))
+                of.append(np.full(len(p), len(asked), np.int32))
+        asked.append(name)
+    if prints:
+        prints = np.concatenate(prints)
+        order = np.argsort(prints, kind="stable")
+        first, size = runs(prints[order])
+        held = np.add.reduceat(np.concatenate(counts)[order], first)
+        pivot = np.minimum.reduceat(np.concatenate(least)[order], first)
+        shared = held > 1
+        code = np.minimum(255, np.floor(8 * np.log2(held[shared]))).astype(np.uint8)
+        kept = order[np.repeat(shared, size)]
+        code, pivot = np.repeat(code, size[shared]), np.repeat(pivot[shared], size[shared])
+        place, stub, of = (np.concatenate(x)[kept] for x in (place, stub, of))
+        order = np.argsort(of, kind="stable")
+        code, pivot, place, stub, of = code[order], pivot[order], place[order], stub[order], of[order]
+        for k, a, b in cut(of):
+            pivots, which = np.unique(pivot[a:b], return_inverse=True)
+            which = which.astype(np.min_scalar_type(len(pivots)))
+            whole = stub[a:b]
+            out_block.append(asked[k])
+            out_kind.append(1)
+            out_data.append(pack(pivots, place[a:b][~whole].astype(np.uint16), code[a:b][~whole], which[~whole], place[a:b][whole], code[a:b][whole], which[whole]))
+    return pa.Table.from_batches([_messages(["block", "kind", "data"], out_block, out_kind, out_data)])
+
+
+MEMBERS = "doc_id long, n long, hi long, lo long, cells array<long>"
+
+
+def choose(t: tuple[int, int]):
+    """Of a block's documents, with their sizes and digests, the regions that their windows reach."""
+
+    def run(key, table):
+        head, answers = None, []
+        for kind, raw in zip(table.column("kind").to_pylist(), blobs(table), strict=True):
+            if kind == 0:
+                head = unpack(raw)
+            else:
+                answers.append(unpack(raw))
+        ids, null, n, high, low, member, stub_sizes, stub_who = head
+        stub_at = np.r_[0, np.cumsum(stub_sizes)]
+        who, code, pivot = [np.zeros(0, np.uint16)], [np.zeros(0, np.uint8)], [np.zeros(0, np.uint64)]
+        for pivots, light, c, which, stubs, sc, swhich in answers:
+            times = stub_sizes[stubs]
+            who += [light, stub_who[spans(stub_at[stubs], times)]]
+            code += [c, np.repeat(sc, times)]
+            pivot += [pivots[which], np.repeat(pivots[swhich], times)]
+        who, code, pivot = np.concatenate(who), np.concatenate(code), np.concatenate(pivot)
+        order = np.lexsort((pivot, code, who))
+        who, pivot = who[order].astype(np.int64), pivot[order]
+        size = np.zeros(int(member.max(initial=-1)) + 1, np.int64)
+        size[member[member >= 0]] = n[member >= 0]
+        shared = np.bincount(who, minlength=len(size))
+        # What a document holds alone comes first in its window.
+        take = np.clip(window(size, t) - (size - shared), 0, shared)
+        begin = np.cumsum(shared) - shared
+        chosen = np.arange(len(who)) - begin[who] < take[who]
+        pairs = np.unique(np.stack([who[chosen].astype(np.uint64), pivot[chosen]]), axis=1) if chosen.any() else np.zeros((2, 0), np.uint64)
+        reached = np.bincount(pairs[0].astype(np.int64), minlength=len(size))
+        own = np.where(member >= 0, reached[np.maximum(member, 0)] if len(size) else 0, 0)
+        starts = (np.cumsum(reached) - reached)[np.maximum(member, 0)] if len(size) else np.zeros(len(member), np.int64)
+        values = pairs[1][spans(starts, own)].view(np.int64)
+        cells = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(own)].astype(np.int32)), pa.array(values))
+        return pa.table({"doc_id": pa.array(ids, mask=null), "n": pa.array(n.astype(np.int64)), "hi": pa.array(high), "lo": pa.array(low), "cells": cells})
+
+    return run
+
+
+def connect(sets: list[np.ndarray], t: tuple[int, int], label: np.ndarray | None = None, visits: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between members of different labels that connect all that linked pairs connect.  With ``visits``, only pairs
+    of one that does and one that doesn't count."""
+    m = len(sets)
+    label = np.arange(m) if label is None else label.copy()
+    if m == 2:
+        return [(0, 1)] if label[0] != label[1] and linked(sets[0], sets[1], t) else []
+    n = np.array([len(x) for x in sets], np.int64)
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    times = np.bincount(token)
+    rank = np.empty(len(times), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(times))
+    owner = np.repeat(np.arange(m), n)
+    key = rank[token]
+    order = np.lexsort((key, owner))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
+    width = window(n, t)
+    inside = (place < width[owner[order]]) & (times[token[order]] > 1)
+    who, key = owner[order][inside], key[order][inside]
+    # Who stands in whose window, by shingle; members in rising size, so that partners stand before.
+    by_key = np.argsort(key, kind="stable")
+    first, size = runs(key[by_key])
+    holders = who[by_key]
+    region = np.empty(len(key), np.int64)
+    region[by_key] = np.repeat(np.arange(len(first)), size)
+    start = np.searchsorted(who, np.arange(m + 1))
+    spare = width - n
+    out = []
+    for i in np.argsort(n, kind="stable").tolist():
+        mine = region[start[i] : start[i + 1]]
+        if not len(mine):
+            continue
+        met = np.bincount(holders[spans(first[mine], size[mine])], minlength=m)
+        near = (met > 0) & (label != label[i]) & ((n < n[i]) | (n == n[i]) & (np.arange(m) < i))
+        if visits is not None:
+            near &= visits != visits[i]
+        near &= met >= np.minimum(spare, spare[i]) + least_overlap(n, n[i], t)
+        near &= t[1] * n >= t[0] * n[i]
+        left = np.flatnonzero(near)
+        left = left[np.argsort(-met[left], kind="stable")]
+        while len(left):
+            j, left = int(left[0]), left[1:]
+            if linked(sets[i], sets[j], t):
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+                left = left[label[left] != label[i]]
+    return out
+
+
+LINKS = "a long, b long"
+
+
+def _sets(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in blobs(table, "set")]
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+
+def join_leaves(placed: DataFrame, parts: int, t: tuple[int, int]) -> DataFrame:
+    """Links within regions that fit into a task; ``placed`` has cell, id and set."""
 
     def run(key, table):
-        hashes, who, ids, counts, prints = _unpack(_blobs(table))
-        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-        size = np.diff(np.r_[first, len(hashes)])
-        many = np.repeat(size > 1, size)
-        part = key[0].as_py()
-        if not many.any():
-            return _region_table(part)
-        hashes, who = hashes[many], who[many]
-        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-        size = np.diff(np.r_[first, len(hashes)])
-        # The pivot: the member of least spread id.
-        key_of = _spread(ids)[who]
-        least = np.minimum.reduceat(key_of, first)
-        at_pivot = np.flatnonzero(key_of == np.repeat(least, size))
-        region = np.repeat(np.arange(len(first)), size)
-        one = np.full(len(first), -1)
-        one[region[at_pivot][::-1]] = at_pivot[::-1]
-        pivot = who[one][region]
-        others = ids[who] != ids[pivot]
-        a, b, met = _pairs(who[others], pivot[others])
-        na, nb = counts[a], counts[b]
-        same = (prints[a] == prints[b]) & (na == nb)
-        near = t[1] * np.minimum(na, nb) >= t[0] * np.maximum(na, nb)
-        # Regions whose members aren't all of one set are joined again.
-        differ = np.logical_or.reduceat(prints[who] != prints[pivot], first)
-        again = np.repeat(differ, size)
-        members = np.unique(who[again])
-        block = _block(hashes[again], who[again], ids, counts, prints) if len(members) else None
-        pairs = _region_table(part, ids[a[near]], ids[b[near]], na[near], nb[near], met[near], same[near], block)
-        alone = pa.Table.from_arrays([pa.array([part] * len(members), pa.int32()), pa.array(ids[members]), *[pa.nulls(len(members), f.type) for f in list(_REGIONS)[2:]]], schema=_REGIONS)
-        return pa.concat_tables([pairs, alone])
-
-    return posted.groupBy("part").applyInArrow(run, REGIONS)
-
-
-def across(blocks: DataFrame, known: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """a, b, na, nb, la, lb (their components) and met of pairs of different components that meet in regions; ``known`` has
-    part, id and least."""
-
-    def run(key, left, right):
-        names = ["a", "b", "na", "nb", "la", "lb", "met"]
-        nothing = pa.table({n: pa.array([], pa.int64()) for n in names})
-        if not left.num_rows:
-            return nothing
-        hashes, who, ids, counts, _ = _unpack(_blobs(left))
-        least = ids.copy()
-        if right.num_rows:
-            of, to = right.column("id").to_numpy(), right.column("least").to_numpy()
-            order = np.argsort(of)
-            of, to = of[order], to[order]
-            place = np.minimum(np.searchsorted(of, ids), len(of) - 1)
-            least = np.where(of[place] == ids, to[place], ids)
-        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-        stops = np.r_[first[1:], len(hashes)]
-        of_component = least[who]
-        mixed = np.flatnonzero(np.minimum.reduceat(of_component, first) != np.maximum.reduceat(of_component, first))
-        out_a, out_b, held = [], [], 0
-        total: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def settle():
-            if out_a:
-                total.append(_pairs(np.concatenate(out_a), np.concatenate(out_b)))
-                out_a.clear()
-                out_b.clear()
-
-        for r in mixed.tolist():
-            members = np.unique(who[first[r] : stops[r]])
-            # By size, so that each member's possible partners stand next to it.
-            members = members[np.argsort(counts[members], kind="stable")]
-            sizes, comps = counts[members], least[members]
-            reach = np.searchsorted(sizes, sizes * t[1] // t[0], "right")
-            for i in range(len(members) - 1):
-                near = members[i + 1 : reach[i]]
-                near = near[comps[i + 1 : reach[i]] != comps[i]]
-                if len(near):
-                    out_a.append(np.full(len(near), members[i]))
-                    out_b.append(near)
-                    held += len(near)
-            if held >= 300_000:
-                settle()
-                held = 0
-        settle()
-        if not total:
-            return nothing
-        a, b, met = (np.concatenate(x) for x in zip(*total, strict=True))
-        swap = ids[a] > ids[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        return pa.table({n: pa.array(np.asarray(x, np.int64)) for n, x in zip(names, (ids[a], ids[b], counts[a], counts[b], least[a], least[b], met), strict=True)})
-
-    return blocks.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(run, "a long, b long, na long, nb long, la long, lb long, met long")
-
-
-def possible(pairs: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Pairs whose meetings leave a link possible: of the window of one, as many must be in the other as the least overlap
-    takes (the window that ends first in the order is wholly known to both)."""
-    more = [F.max(c).alias(c) for c in pairs.columns if c not in ("a", "b", "met")]
-    summed = pairs.groupBy("a", "b").agg(*more, F.sum("met").alias("met"))
-
-    def spare(n: str) -> str:
-        return f"({n} - cast(ceil({n} * {t[0]}D / {t[1]}) as long) + 1) - {n}"
-
-    overlap = f"cast(ceil((na + nb) * {t[0]}D / {t[0] + t[1]}) as long)"
-    return summed.where(f"met >= least({spare('na')}, {spare('nb')}) + {overlap}")
-
-
-def compare(pairs: DataFrame, docs: DataFrame, words: int, t: tuple[int, int]) -> DataFrame:
-    """The pairs that are linked, by their whole sets."""
-    pairs = stored(pairs.select("a", "b"), "pairs")
-    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    if needed.count() <= BROADCAST_IDS:
-        needed = F.broadcast(needed)
+        table = table.sort_by("cell")
+        ids, sets, out = table.column("id").to_numpy(), _sets(table), []
+        for _, a, b in cut(table.column("cell").to_numpy()):
+            if b - a > 1:
+                out += [(int(ids[a + i]), int(ids[a + j])) for i, j in connect(sets[a:b], t)]
+        return _links(out)
+
+    return placed.select(F.pmod(F.xxhash64("cell"), F.lit(parts)).alias("part"), "cell", "id", "set").groupBy("part").applyInArrow(run, LINKS)
+
+
+def join_regions(placed: DataFrame, parts: int, t: tuple[int, int], leaf: tuple[int, int], depth: int = 0) -> DataFrame:
+    """Links that connect what linked members of the same cell do; ``placed`` (cell, id, n, set) is a stored table."""
+    bytes_of = F.sum(F.col("n") * 8)
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("members"), bytes_of.alias("bytes")).where("members > 1")
+    sizes = stored(sizes.withColumn("large", (F.col("members") > 2) & ((F.col("members") > leaf[0]) | (F.col("bytes") > leaf[1]))), "jaccard-sizes")
+    rest = placed.join(sizes, "cell")
+    links = stored(join_leaves(rest.where("not large"), parts, t), "jaccard-links")
+    if not sizes.where("large").head(1):
+        return links
+    large = stored(rest.where("large"), "jaccard-large")
+    return links.unionByName(split_regions(large, parts, t, leaf, depth))
+
+
+def split_regions(large: DataFrame, parts: int, t: tuple[int, int], leaf: tuple[int, int], depth: int) -> DataFrame:
+    """Voronoi regions of pivot documents within each cell, joined recursively, and then the visits across their borders."""
+    radius, near = 1 - t[0] / t[1], depth < DEPTH
+    wanted = F.least(F.lit(PIVOTS), F.greatest(F.ceil(2 * F.col("members") / leaf[0]), F.ceil(2 * F.col("bytes") / leaf[1]), F.lit(2))).cast("int")
+    drawn = large.groupBy("cell", F.pmod(F.xxhash64("id", F.lit(depth)), wanted).alias("k")).agg(F.min_by("set", F.xxhash64("id", F.lit(-depth - 1))).alias("pivot"))
+    pivots = stored(drawn.groupBy("cell").agg(F.array_sort(F.collect_list("pivot")).alias("pivots")), "jaccard-pivots")
+
+    def assign(batches):
+        for whole in batches:
+            for k in range(0, whole.num_rows, 128):
+                batch = whole.slice(k, 128)
+                homes, far = [], []
+                for name, raw, others in zip(batch.column("id").to_pylist(), batch.column("set").to_pylist(), batch.column("pivots").to_pylist(), strict=True):
+                    own = np.frombuffer(raw, np.uint64)
+                    distance = []
+                    for other in others:
+                        q = np.frombuffer(other, np.uint64)
+                        both = overlap(own, q)
+                        distance.append(1 - both / (len(own) + len(q) - both))
+                    tie = mixed(np.uint64([name & (1 << 64) - 1]) + np.uint64(depth))[0]
+                    best = [i for i, d in enumerate(distance) if d == min(distance)] if near else list(range(len(distance)))
+                    homes.append(best[int(tie) % len(best)])
+                    far.append(distance)
+                columns = [batch.column(c) for c in ("cell", "id", "n", "set")] + [pa.array(homes, pa.int32()), pa.array(far, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["cell", "id", "n", "set", "home", "far"])
+
+    dealt = stored(large.select("cell", "id", "n", "set").join(pivots, "cell").mapInArrow(assign, "cell long, id long, n long, set binary, home int, far array<double>"), "jaccard-dealt")
+    forget(large.sparkSession, pivots, large)
+    region = F.xxhash64("cell", "home", F.lit(depth))
+    inner = stored(join_regions(stored(dealt.select(region.alias("cell"), "id", "n", "set"), "jaccard-regions"), parts, t, leaf, depth + 1), "jaccard-inner")
+    # Components so far, and who has to look for links elsewhere: the smaller component of two.
+    least = stored(components(inner), "jaccard-labels")
+    grown = dealt.select("cell", "id", "n", "set", "home", "far").join(least.withColumnRenamed("least", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    weight = grown.groupBy("cell", "label").agg(F.count("*").alias("weight"))
+    ranked = stored(grown.join(weight, ["cell", "label"]).withColumn("rank", F.struct("weight", "label")), "jaccard-ranked")
+    regions = ranked.groupBy("cell", "home").agg(F.max("rank").alias("most"), F.max(F.expr("far[home]")).alias("reach")).select("cell", F.col("home").alias("q"), "most", "reach")
+    told = regions.groupBy("cell").agg(F.collect_list(F.struct("q", "most", "reach")).alias("regions"))  # PIVOTS at most
+    border = 2 * radius + 1e-9 if near else 2.0
+    visiting = ranked.join(told, "cell").select("cell", "id", "n", "set", "label", "rank", "home", "far", F.explode("regions").alias("r")).where("r.q <> home and r.most > rank")
+    visiting = visiting.where((F.expr("far[r.q]") <= F.expr("far[home]") + border) & (F.expr("far[r.q]") <= F.col("r.reach") + radius + 1e-9))
+    visiting = visiting.select("cell", F.col("r.q").alias("q"), "id", "n", "set", "label")
+    groups = visiting.groupBy("cell", "q").agg(F.greatest(F.ceil(F.count("*") / leaf[0]), F.ceil(F.sum("n") * 8 / leaf[1])).cast("int").alias("salts"))
+    seats = ranked.select("cell", F.col("home").alias("q"), "id", "set", "label").join(groups, ["cell", "q"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("visits", F.lit(False)).drop("salts")
+    guests = visiting.join(groups, ["cell", "q"]).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(depth)), F.col("salts")).cast("int")).withColumn("visits", F.lit(True)).select(*seats.columns)
+
+    def meet(key, table):
+        ids = table.column("id").to_numpy()
+        return _links([(int(ids[i]), int(ids[j])) for i, j in connect(_sets(table), t, table.column("label").to_numpy(), table.column("visits").to_numpy(zero_copy_only=False))])
+
+    across = stored(seats.unionByName(guests).groupBy("cell", "q", "salt").applyInArrow(meet, LINKS), "jaccard-visits")
+    forget(large.sparkSession, dealt, least, ranked)
+    return inner.unionByName(across)
+
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD, leaf: tuple[int, int] = (LEAF, LEAF_BYTES)) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest id that links lead to, its own included) of every row."""
+    spark, t = docs.sparkSession, threshold
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    parts = max(PARTS, 2 * partitions(spark), input_bytes(docs) // PART_BYTES)
+    members = stored(ask(rows, parts, words).groupBy("part").applyInArrow(census, ANSWERS).groupBy("block").applyInArrow(choose(t), MEMBERS), "jaccard-members")
+    held = members.where("n > 0 and doc_id is not null")
+    # Equal sets are one member, under the least of their identifiers.
+    kinds = stored(held.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("cells").alias("cells")), "jaccard-sets")
+    work = kinds.where("size(cells) > 0").select(F.explode("cells").alias("cell"), "id", "hi", "lo", "n")
+    several = work.groupBy("cell").count().where("count > 1").select("cell")
+    work = stored(work.join(several, "cell", "left_semi"), "jaccard-work")
+    needed = work.select("id", "hi", "lo").distinct()
+    sets = stored(whole_sets(rows, needed, words), "jaccard-whole")
+    placed = stored(work.join(sets, ["id", "hi", "lo"]).select("cell", "id", "n", "set"), "jaccard-placed")
+    forget(spark, sets, work)
+    links = join_regions(placed, parts, t, leaf)
+    # Identifiers that stand for several sets link these.
+    firsts = held.groupBy("doc_id").agg(F.min(F.struct("hi", "lo")).alias("x"), F.max(F.struct("hi", "lo")).alias("y")).where("x <> y").select("doc_id", F.col("x.hi").alias("xhi"), F.col("x.lo").alias("xlo"))
+    name = kinds.select("hi", "lo", "id")
+    same = held.join(firsts, "doc_id").join(name.withColumnRenamed("id", "a"), ["hi", "lo"]).join(name.select(F.col("hi").alias("xhi"), F.col("lo").alias("xlo"), F.col("id").alias("b")), ["xhi", "xlo"]).select("a", "b")
+    least = components(links.unionByName(same))
+    named = stored(kinds.select("hi", "lo", "id").join(least, "id", "left").select("hi", "lo", F.coalesce("least", "id").alias("component_id")), "jaccard-components")
+    forget(spark, placed, kinds)
+    found = held.join(named, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = members.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return found.unionByName(alone)
+
+
+def input_bytes(docs: DataFrame) -> int:
+    """The planner's estimate of what a table holds; 0 where it has none."""
+    found = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found if found < 1 << 55 else 0
+
+
+def whole_sets(rows: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """id, hi, lo and set of the rows that hold a needed set."""
+    ids = stored(needed.select(F.col("id").alias("doc_id")).distinct(), "jaccard-needed")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def run(batches):
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x, words).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "set"])
+                sets = [shingles(x, words) for x in batch.column("text").to_pylist()]
+                digests = [digest_of(x) for x in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "hi", "lo", "set"])
+        released()
 
-    sets = stored(docs.join(needed, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary"), "sets")
-    met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-
-    def hold(batches):
-        for batch in batches:
-            yes = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), t) for x, y in zip(batch.column(2), batch.column(3), strict=True) for x, y in [(x.as_py(), y.as_py())]]
-            keep = pa.array(yes, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    return met.mapInArrow(hold, "a long, b long").distinct()
-
-
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id that links lead to, its own included) of every row."""
-    spark = docs.sparkSession
-    t, parts = threshold, max(PARTS, 2 * partitions(spark))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    surveyed = stored(survey(rows, words), "survey")
-    known = surveyed.where("n is not null")
-    often = surveyed.where("hash is not null").groupBy("hash").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= HEAVY).orderBy(F.desc("seen"), "hash").limit(MOST_HEAVY)
-    late = np.sort(often.select("hash").toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
-    heavy = spark.sparkContext.broadcast(late)
-
-    first = stored(pivots(postings(rows, heavy, parts, words, t), t), "regions")
-    met = first.where("b is not null")
-    near = possible(met.where("not same").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("na").alias("na"), F.col("nb").alias("nb"), "met"), t)
-    links = stored(compare(near, rows, words, t).unionByName(met.where("same").select("a", "b").distinct()).unionByName(known.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()), "first-links")
-    least = stored(components(links), "first-components")
-
-    blocks = first.where("block is not null").select("part", "block")
-    members = stored(first.where("b is null and block is null").select("part", F.col("a").alias("id")).join(least, "id"), "members")
-    crossing = stored(possible(across(blocks, members, t), t), "crossing")
-    # The likeliest pairs of each two components go first; what they join needs no more comparing.
-    edges = least.select(F.col("id").alias("a"), F.col("least").alias("b"))
-    left = crossing
-    for k in range(ROUNDS):
-        share = F.struct(F.col("met") / F.least("na", "nb"), -F.col("a"), -F.col("b"))
-        best = left.groupBy(F.least("la", "lb"), F.greatest("la", "lb"), F.pmod(F.xxhash64("a", "b", F.lit(k)), F.lit(TRIED))).agg(F.max_by(F.struct("a", "b"), share).alias("p")).select("p.a", "p.b")
-        best = stored(best, "likeliest")
-        edges = stored(edges.unionByName(compare(best, rows, words, t)), "more-links")
-        least = stored(components(edges), "more-components")
-        sides = left.select("la", "lb").distinct()
-        apart = sides.join(least.select(F.col("id").alias("la"), F.col("least").alias("ma")), "la", "left").join(least.select(F.col("id").alias("lb"), F.col("least").alias("mb")), "lb", "left").where(F.coalesce("ma", "la") != F.coalesce("mb", "lb")).select("la", "lb")
-        left = stored(left.join(apart, ["la", "lb"], "left_semi").join(best, ["a", "b"], "left_anti"), "apart")
-    # Between components that are still apart, every pair.
-    final = stored(components(edges.unionByName(compare(left, rows, words, t))), "components")
-    return known.select("doc_id", F.col("n").alias("n_shingles")).join(final, known["doc_id"] == final["id"], "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return rows.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "id long, hi long, lo long, set binary").dropDuplicates(["id", "hi", "lo"])
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:

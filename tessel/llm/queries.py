@@ -98,4 +98,30 @@ ORACLE_SQL: dict[str, str] = {
             FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents)
         )
     """,
+    "op7_ngram_jaccard_join": r"""
+        WITH RECURSIVE worded AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), shingled AS (
+            SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS s
+            FROM worded, LATERAL (SELECT unnest(range(1, greatest(len(w) - 3, 2)))) AS t(k)
+            WHERE len(w) > 0
+        ), sized AS (
+            SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id
+        ), met AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
+            FROM shingled x JOIN shingled y ON x.s = y.s AND x.doc_id <> y.doc_id
+            GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM met JOIN sized p ON p.doc_id = a JOIN sized q ON q.doc_id = b
+            WHERE 100 * shared >= 75 * (p.n + q.n - shared)
+        ), reached(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION
+            SELECT reached.doc_id, links.b FROM reached JOIN links ON links.a = reached.other
+        )
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+        FROM (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) LEFT JOIN sized USING (doc_id)
+    """,
 }

@@ -320,6 +320,48 @@ def test_jaccard_join(spark, edge, nothing):
     assert ngram_jaccard.join(nothing).count() == 0
 
 
+@pytest.mark.parametrize("depth", [6, 0])
+def test_hot_regions_are_split_and_whole(spark, monkeypatch, depth):
+    """A family of near copies, many beyond the radius of one another, and a line that many hold, in regions far too large
+    for a task: cut by distance, and by hash where ``DEPTH`` is used up."""
+    monkeypatch.setattr(ngram_jaccard, "DEPTH", depth)
+    monkeypatch.setattr(ngram_jaccard, "OFTEN", 8)
+    line = " ".join(f"c{k}" for k in range(30))
+    texts = family(5, 260, 14) + family(6, 120, 9) + [line + " " + " ".join(f"v{n}_{k}" for k in range(n % 14)) for n in range(160)]
+    rows = [(k * 7 % 1009, t) for k, t in enumerate(texts)] + [(2000 + k, t) for k, t in enumerate(texts[:80])]
+    got = ngram_jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), leaf=(40, 1 << 20)).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute(rows)
+
+
+def test_connect_is_brute_force():
+    rng = np.random.default_rng(1)
+    for seed in range(6):
+        sets = [ngram_jaccard.shingles(t) for t in family(seed, 70, 10 + seed)] + [rng.choice(np.arange(40, dtype=np.uint64), rng.integers(1, 30), replace=False) for _ in range(30)]
+        sets = [np.unique(x) for x in sets]
+        visits = rng.random(len(sets)) < 0.5 if seed % 2 else None
+        least = list(range(len(sets)))
+
+        def find(x, least=least):
+            while least[x] != x:
+                x = least[x]
+            return x
+
+        for i in range(len(sets)):
+            for j in range(i):
+                if (visits is None or visits[i] != visits[j]) and ngram_jaccard.linked(sets[i], sets[j]):
+                    a, b = find(i), find(j)
+                    least[max(a, b)] = min(a, b)
+        want = [find(i) for i in range(len(sets))]
+        pairs = ngram_jaccard.connect(sets, (3, 4), None, visits)
+        assert len(pairs) == len(sets) - len(set(want))
+        own = list(range(len(sets)))
+        for i, j in pairs:
+            assert ngram_jaccard.linked(sets[i], sets[j])
+            a, b = own[i], own[j]
+            own = [min(a, b) if x in (a, b) else x for x in own]
+        assert [min(k for k in range(len(sets)) if own[k] == x) for x in own] == want
+
+
 def test_window_and_overlap():
     for n in range(1, 60):
         for m in range(1, 60):
@@ -540,7 +582,8 @@ def test_scripts():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, sf_dir, name):
     c = duckdb.connect()
-    c.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    for table in ("documents", "pages"):
+        c.sql(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
     ours, theirs = queries.QUERIES[name](spark, sf_dir).toPandas(), c.sql(queries.ORACLE_SQL[name]).df()
     key = sorted(theirs.columns)
     assert sorted(ours.columns) == key
