@@ -1,25 +1,28 @@
-"""Katz backoff: a bigram model with Good-Turing discounts and exactly normalised backoff weights.
+"""Katz backoff: n-gram models with Good-Turing discounts and exactly normalised backoff weights.
 
-Tokens are words (runs without white space, A-Z in lower case) and one end for each text.  A token's probability is
+Tokens are words (runs without white space, A-Z in lower case) and one end for each text; a start stands before them.  A
+token w behind a history x (at most ``order - 1`` tokens, fewer at a text's begin) has the probability
 
-    P(w | h) = d * c(h w) / c(h)     where the bigram was seen ``least`` times or more in training
-             = a(h) * P(w)           elsewhere
-    P(w)     = d * c(w) / N          for words seen in training
-             = what is left          for any other word, as one
+    P(w | x) = d * c(x w) / c(x)      if x w was seen in training
+             = a(x) * P(w | x')       if only x was; x' is x without its first token
+             = P(w | x')              otherwise
+    P(w)     = d * c(w) / N           for words seen in training
+             = what is left           for any other word, as one
 
-with Good-Turing discounts d for counts up to ``TRUSTED``, and a(h) such that the probabilities after each history add
-up to 1.  With ``least`` of 2 or more, bigrams seen less often are given to the backoff; the query keeps all.
+with Good-Turing discounts d for counts up to ``TRUSTED`` (of each length of n-grams its own), and a(x) such that the
+probabilities after each history add up to 1.  All n-grams count, those seen once included.
 
-Counts, weights and scores live in partitioned tables, by ranges of 64-bit hashes of words and bigrams.  Tasks count
-blocks of some million tokens before anything is shuffled, so a word that makes up a third of the corpus is one entry
-of a block, and bigrams of any history are dealt by both words.  To score, blocks send which document holds which word
-and bigram; each part of the tables adds up what its words and bigrams contribute to each document of a block, and the
-sums go back.  With log a(h) and log P(w) as values of words, and for bigrams in the table the difference that replaces
-them, the recursion for each token becomes a sum of three look-ups.
+Texts are read once and kept as blocks: each block's distinct words and its tokens as numbers of these.  Counts and
+weights live in partitioned tables by ranges of hashes of the histories.  Blocks ask for what they hold, each distinct
+n-gram once with its count in the block, so a word or pair that makes up a third of the corpus is one entry of a block;
+histories of more than ``SPLIT`` tokens are dealt to several parts by their followers.  Answers go back to the blocks:
+counts first, then, where an unseen n-gram backs off, the sums over a history's followers that its weight takes.  Of
+each n-gram that several blocks hold the first adds its term.  With these the blocks evaluate the recursion
+for each token.
 
 Nulls: a null text is empty and has its end alone; a null identifier is kept and takes part by the remainder of the
-empty text.  Repeated rows count and are scored each.  Without training rows every token is unknown.  An empty table
-gives an empty result; other columns are ignored.
+empty text.  Repeated rows count and are scored each.  Very long texts are taken whole, in a block of their own size.
+Without training rows every token is unknown.  An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,187 +38,62 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import forget, partitions, stored
+from tessel.llm.blocks import blobs, documents, mixed, runs
+from tessel.llm.common import forget, input_bytes, partitions, released, stored
 
 TRUSTED = 5
-LEAST = 2
+ORDER = 3
 #: Tokens and documents of a block.
-BLOCK, BLOCK_DOCS = 2_500_000, 60_000
+BLOCK, BLOCK_DOCS = 2_000_000, 60_000
+#: Parts of the tables: at least so many, as many as shuffle partitions, and one for so many bytes of input.
+PARTS, PART_BYTES = 64, 4 << 20
+#: Training tokens of a history from which on its followers are dealt to one more part.
+SPLIT = 2_000_000
+#: The number of the start; words have lower ones.
+START = 0xFFFFFFFF
 
-#: Parts of the tables, at least; as many as shuffle partitions if these are more.
-PARTS = 64
 
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+def tight(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed block; bytes of like weight stand together."""
+    import zstandard
 
-
-def _symbols() -> tuple[int, int]:
-    from xxhash import xxh3_64_intdigest
-
-    return xxh3_64_intdigest(b"", 1), xxh3_64_intdigest(b"", 2)
-
-
-def tokens(text: str) -> np.ndarray:
-    """Hashes of the start, the words and the end."""
-    from xxhash import xxh3_64_intdigest
-
-    start, end = _symbols()
-    return np.array([start, *map(xxh3_64_intdigest, text.encode("utf-8", "surrogatepass").lower().split()), end], np.uint64)
-
-
-def bigram_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    x = (h ^ (h >> np.uint64(31))) * _GOLDEN + w
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
-
-
-def small(counts: np.ndarray) -> np.ndarray:
-    """Counts in the least unsigned type that holds them."""
-    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
-
-
-def blobs(table: pa.Table, name: str = "data") -> list[memoryview]:
-    """The values of a binary column, without copies."""
-    return [memoryview(v.as_buffer()) for v in table.column(name)]
-
-
-def pack(*arrays: np.ndarray) -> bytes:
     head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<3sq", a.dtype.str.encode(), len(a)) for a in arrays)
-    return head + b"".join(a.tobytes() for a in arrays)
+    body = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() if len(a) else b"" for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(head + body)
 
 
-def unpack(data: bytes | memoryview) -> list[np.ndarray]:
+def loose(data: bytes | memoryview) -> list[np.ndarray]:
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(data)
     out, at = [], 1 + 11 * data[0]
     for k in range(data[0]):
         kind, n = struct.unpack_from("<3sq", data, 1 + 11 * k)
         kind = np.dtype(kind.decode())
-        out.append(np.frombuffer(data, kind, n, at))
+        planes = np.frombuffer(data, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
         at += n * kind.itemsize
     return out
 
 
-def joined(rows: list[bytes] | list[memoryview]) -> list[np.ndarray]:
-    """The arrays of several packs, each behind one another."""
-    return [np.concatenate(x) for x in zip(*map(unpack, rows), strict=True)]
-
-
-def summed(keys: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
-    """Distinct keys, sorted, with the sums of their counts and one of each further value."""
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return [keys[first], np.add.reduceat(counts, first) if len(first) else counts, *(m[order][first] for m in more)]
-
-
-def found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of keys in a sorted table, and whether they are there."""
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    place = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return place, table[place] == keys
+def small(numbers: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in the least unsigned type that holds them."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
 
 
-def split(part: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """The arrays' portions of each part, in stable order."""
+def grouped(part: np.ndarray, parts: int) -> tuple[np.ndarray, list[int]]:
+    """An order by part, and where each part begins in it (one more for the end)."""
     order = np.argsort(part, kind="stable")
-    part = part[order]
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-    arrays = [a[order] for a in arrays]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        if b > a:
-            yield int(part[a]), [x[a:b] for x in arrays]
-
-
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for whole in batches:
-        for k in range(0, whole.num_rows, 256):
-            yield from zip(*(c.to_pylist() for c in whole.slice(k, 256).columns), strict=True)
-
-
-def _out(part: list[int], data: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(data, pa.binary())], names=["part", "data"])
-
-
-BLOCKS = "part long, data binary"
-
-
-def _counted(rows: DataFrame, parts: int, bigrams: bool) -> DataFrame:
-    """Blocks of counts of training rows: keys and counts, of bigrams also both words."""
-
-    def count(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if bigrams:
-            h, w = np.concatenate([t[:-1] for t in held]), np.concatenate([t[1:] for t in held])
-            held.clear()
-            keys = bigram_keys(h, w)
-            keys, counts, h, w = summed(keys, np.ones(len(keys), np.uint32), h, w)
-            arrays = [keys, small(counts), h, w]
-        else:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            arrays = [keys, counts]
-        numbers, data = [], []
-        for part, own in split(parts_of(keys, parts), *arrays):
-            numbers.append(part)
-            data.append(pack(*own[bigrams:]) if bigrams else pack(*own))
-            if len(data) == 16:
-                yield _out(numbers, data)
-                numbers, data = [], []
-        if data:
-            yield _out(numbers, data)
-
-    def run(batches):
-        held, size = [], 0
-        for (text,) in _documents(batches):
-            held.append(tokens(text))
-            size += len(held[-1])
-            if size >= BLOCK:
-                yield from count(held)
-                held, size = [], 0
-        if held:
-            yield from count(held)
-
-    return rows.where("train").select("text").mapInArrow(run, BLOCKS)
-
-
-#: kind 0: a table's part; kinds from 1: how many entries have this count; kind -1: the sum of counts; -2: entries.
-TALLIED = "kind long, part long, data binary, n long"
-
-
-def _tally(kinds: np.ndarray) -> dict[int, int]:
-    return {r: int((kinds == r).sum()) for r in range(1, TRUSTED + 2)}
-
-
-def _table(part: int, data: bytes | None, facts: dict[int, int]) -> pa.Table:
-    kinds = ([0] if data is not None else []) + list(facts)
-    n = len(facts)
-    blobs = ([data] if data is not None else []) + [None] * n
-    numbers = ([0] if data is not None else []) + list(facts.values())
-    return pa.table({"kind": pa.array(kinds, pa.int64()), "part": pa.array([part] * len(kinds), pa.int64()), "data": pa.array(blobs, pa.binary()), "n": pa.array(numbers, pa.int64())})
-
-
-def word_counts(rows: DataFrame, parts: int) -> DataFrame:
-    start, _ = _symbols()
-
-    def run(key, table):
-        keys, counts = summed(*joined(blobs(table)))
-        real = counts[keys != np.uint64(start)]
-        return _table(key[0].as_py(), pack(keys, counts), _tally(real) | {-1: int(real.sum()), -2: len(real)})
+    return order, np.searchsorted(part[order], np.arange(parts + 1)).tolist()
 
-    return _counted(rows, parts, False).groupBy("part").applyInArrow(run, TALLIED)
 
+def first_true(flags: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each run the first place that is set."""
+    before = np.cumsum(flags) - flags
+    return flags & (before - np.repeat(before[first], size) == 0)
 
-def bigram_counts(rows: DataFrame, parts: int, least: int) -> DataFrame:
-    """Bigrams of at least ``least`` occurrences, as history, word and count."""
 
-    def run(key, table):
-        counts, h, w = joined(blobs(table))
-        _, counts, h, w = summed(bigram_keys(h, w), counts.astype(np.int64), h, w)
-        kept = counts >= least
-        return _table(key[0].as_py(), pack(h[kept], w[kept], small(counts[kept])), _tally(counts))
-
-    return _counted(rows, parts, True).groupBy("part").applyInArrow(run, TALLIED)
+# ----------------------------------------------------------------------------------------------------------- discounts
 
 
 @dataclass(frozen=True)
@@ -244,219 +122,494 @@ def good_turing(n: dict[int, int], trusted: int = TRUSTED) -> Discounts:
 
 
 @dataclass(frozen=True)
-class Model:
-    """Tables by part: words (hash, count, log10 P, log10 a) and bigrams (key, log10 P(w|h) - log10 a(h) - log10 P(w))."""
+class Words:
+    """What is known of single words over the whole table."""
 
-    words: DataFrame
-    bigrams: DataFrame
-    parts: int
-    train_tokens: int
+    total: int
     vocabulary: int
-    unknown: float  # log10
-
-
-def _facts(table: DataFrame) -> dict[int, int]:
-    return {r["kind"]: r["n"] for r in table.where("kind <> 0").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-
-
-def train(rows: DataFrame, parts: int, least: int = LEAST) -> Model:
-    """``rows`` has text and train (whether to learn from it)."""
-    counted = stored(word_counts(rows, parts), "katz-words")
-    facts = _facts(counted)
-    total, vocabulary = facts.get(-1, 0), facts.get(-2, 0)
-    single = good_turing(facts)
-    # What the discounts leave of the words is the unknown word's.
-    taken = sum(r * facts.get(r, 0) * (1 - single.factors[r]) for r in range(1, TRUSTED + 1))
-    if total and not taken:
-        single = Discounts(tuple(1.0 for _ in single.factors))  # no rare word at all: one occurrence more, unseen
-        scale, unknown = total / (total + 1), 1 / (total + 1)
-    else:
-        scale, unknown = 1.0, taken / total if total else 1.0
-
-    pairs = stored(bigram_counts(rows, parts, least), "katz-bigrams")
-    double = good_turing(_facts(pairs))
-    words = counted.where("kind = 0").select("part", "data")
-
-    def by_word(which: int):
-        def run(batches):
-            for batch in batches:
-                for data in batch.column(1).to_pylist():
-                    arrays = unpack(data)
-                    own = list(split(parts_of(arrays[which], parts), *arrays))
-                    if own:
-                        yield _out([p for p, _ in own], [pack(*a) for _, a in own])
-
-        return run
-
-    def word_probability(counts: np.ndarray) -> np.ndarray:
-        return scale * single.of(counts) * counts / max(total, 1)
-
-    def lower(key, left, right):
-        """Adds the words' counts to bigrams that are dealt by their word."""
-        h, w, c = joined(blobs(left)) if left.num_rows else [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)]
-        keys, counts = joined(blobs(right)) if right.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        place, _ = found(keys, w)
-        times = small(counts[place]) if len(keys) else np.zeros(len(w), np.uint8)
-        own = list(split(parts_of(h, parts), h, w, c, times))
-        return pa.table({"part": pa.array([k for k, _ in own], pa.int64()), "data": pa.array([pack(*a) for _, a in own], pa.binary())})
-
-    dealt = pairs.where("kind = 0").select("part", "data").mapInArrow(by_word(1), BLOCKS)
-    lowered = stored(dealt.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(lower, BLOCKS), "katz-lower")
-    forget(rows.sparkSession, pairs)
-
-    def weigh(key, left, right):
-        """Backoff weights of histories, and what bigrams change."""
-        start, _ = _symbols()
-        keys, counts = joined(blobs(right)) if right.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        weight = np.zeros(len(keys))
-        changes: list[tuple[int, list[np.ndarray]]] = []
-        if left.num_rows and len(keys):
-            h, w, c, lower_counts = joined(blobs(left))
-            p = word_probability(lower_counts)
-            place, _ = found(keys, h)
-            times = counts[place]
-            seen = double.of(c) * c / times
-            mass = np.bincount(place, seen, len(keys))
-            base = np.bincount(place, p, len(keys))
-            has = np.bincount(place, minlength=len(keys)) > 0
-            # A history all of whose followers are frequent: one occurrence more, of none of them.
-            full = has & (mass > 1 - 1e-9)
-            rescale = np.where(full, counts / (counts + 1.0), 1.0)
-            seen *= rescale[place]
-            mass *= rescale
-            a = np.where(has, (1 - mass) / np.maximum(1 - base, 1e-300), 1.0)
-            weight = np.log10(a)
-            change = np.log10(seen) - weight[place] - np.log10(p)
-            pair = bigram_keys(h, w)
-            changes = list(split(parts_of(pair, parts), pair, change))
-        real = keys != np.uint64(start)
-        log_p = np.where(real, np.log10(np.maximum(word_probability(counts), 1e-300)), 0.0)
-        kind = [0] + [1] * len(changes)
-        return pa.table({"kind": pa.array(kind, pa.int64()), "part": pa.array([key[0].as_py(), *(k for k, _ in changes)], pa.int64()), "data": pa.array([pack(keys, counts, log_p, weight), *(pack(*a) for _, a in changes)], pa.binary())})
-
-    tables = stored(lowered.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(weigh, "kind long, part long, data binary"), "katz-model")
-    forget(rows.sparkSession, counted, lowered)
-    return Model(tables.where("kind = 0").select("part", "data"), tables.where("kind = 1").select("part", "data"), parts, total, vocabulary, math.log10(unknown))
+    discounts: Discounts
+    scale: float
+    unknown: float
 
+    @staticmethod
+    def of_facts(facts: dict[int, int]) -> Words:
+        total, vocabulary, own = facts.get(-1, 0), facts.get(-2, 0), good_turing(facts)
+        # What the discounts leave of the words is the unknown word's.
+        taken = sum(r * facts.get(r, 0) * (1 - own.factors[r]) for r in range(1, TRUSTED + 1))
+        if total and not taken:  # no rare word at all: one occurrence more, unseen
+            return Words(total, vocabulary, Discounts(tuple(1.0 for _ in own.factors)), total / (total + 1), 1 / (total + 1))
+        return Words(total, vocabulary, own, 1.0, taken / total if total else 1.0)
+
+    def probability(self, counts: np.ndarray) -> np.ndarray:
+        return np.where(counts > 0, self.scale * self.discounts.of(counts) * counts / max(self.total, 1), self.unknown)
+
+
+# -------------------------------------------------------------------------------------------------------------- blocks
+
+
+def hashes_of(text: str) -> list[int]:
+    from xxhash import xxh3_64_intdigest
+
+    return list(map(xxh3_64_intdigest, text.encode("utf-8", "surrogatepass").lower().split()))
+
+
+def _symbols() -> tuple[int, int]:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(b"", 1), xxh3_64_intdigest(b"", 2)
+
+
+ROWS = "part int, block long, kind int, data binary"
+
+
+def rows_of(part: list[int], block: list[int], kind: list[int], data: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(block, pa.int64()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], names=["part", "block", "kind", "data"])
+
+
+def sent(block: int, messages: Iterator[tuple[int, bytes]], kind: int = 1) -> Iterator[pa.RecordBatch]:
+    """Messages to parts, some to a batch."""
+    part, data = [], []
+    for p, raw in messages:
+        part.append(p)
+        data.append(raw)
+        if len(data) == 64:
+            yield rows_of(part, [block] * 64, [kind] * 64, data)
+            part, data = [], []
+    if data:
+        yield rows_of(part, [block] * len(data), [kind] * len(data), data)
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
+def word_order(words: np.ndarray, parts: int) -> tuple[np.ndarray, list[int]]:
+    return grouped(((words >> np.uint64(33)) % np.uint64(parts)).astype(np.int32), parts)
 
-def score(rows: DataFrame, model: Model) -> DataFrame:
-    """Every row of ``rows`` (doc_id, text, train) by its whole text."""
-    parts, n_words, vocabulary, unknown = model.parts, model.train_tokens, model.vocabulary, model.unknown
 
-    def questions(batches):
-        """Blocks' words and bigrams by part, each with the documents that hold it; and each block's documents."""
+def read_blocks(rows: DataFrame, parts: int) -> DataFrame:
+    """Blocks: documents and tokens (kind 0), and to each part its words with their counts in training (kind 1)."""
+
+    def run(batches):
         here, number = TaskContext.get().partitionId(), 0
+        start, end = _symbols()
 
         def block(held):
             nonlocal number
-            name = here << 28 | number
+            name = here << 24 | number
             number += 1
-            lengths = np.array([len(t) for _, _, t in held])
-            doc = np.repeat(np.arange(len(held), dtype=np.uint16), lengths)
-            words = np.concatenate([t for _, _, t in held])
-            inner = np.ones(len(words), bool)
-            inner[np.cumsum(lengths) - 1] = False
-            h = np.flatnonzero(inner)
-            out_part, out_kind, out_data = [], [], []
-            for kind, keys, docs in ((1, words, doc), (2, bigram_keys(words[h], words[h + 1]), doc[h])):
-                order = np.argsort(keys, kind="stable")
-                keys, docs = keys[order], docs[order]
-                first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-                times = np.diff(np.r_[first, len(keys)])
-                owner = parts_of(keys[first], parts)
-                for part, (at, n) in split(owner, first, times):
-                    whole = np.repeat(at - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                    out_part.append(part)
-                    out_kind.append(kind)
-                    out_data.append(pack(keys[at], small(n), docs[whole]))
-            ids = [d for d, _, _ in held]
-            out_part.append(name % parts)
-            out_kind.append(0)
-            out_data.append(pack(np.array([0 if d is None else d for d in ids], np.int64), np.array([d is None for d in ids]), np.array([t for _, t, _ in held]), lengths - 1))
-            for k in range(0, len(out_part), 16):
-                n = len(out_part[k : k + 16])
-                yield pa.RecordBatch.from_arrays([pa.array(out_part[k : k + 16], pa.int64()), pa.array([name] * n, pa.int64()), pa.array(out_kind[k : k + 16], pa.int64()), pa.array(out_data[k : k + 16], pa.binary())], names=["part", "block", "kind", "data"])
+            ids, train, texts = zip(*held, strict=True)
+            held.clear()
+            sizes = np.array([len(t) for t in texts], np.int64)
+            flat = np.concatenate([np.array(t, np.uint64) for t in texts])
+            words, flat = np.unique(flat, return_inverse=True)
+            learned = np.repeat(np.array(train, bool), sizes)
+            counts = np.bincount(flat[learned], minlength=len(words))
+            head = tight(np.array([0 if d is None else d for d in ids], np.int64), np.array([d is None for d in ids], bool), np.array(train, bool), sizes.astype(np.int32) - 1, words, flat.astype(np.uint32))
+            yield rows_of([-1], [name], [0], [head])
+            order, at = word_order(words, parts)
+            words, counts = words[order], counts[order]
+            yield from sent(name, ((p, tight(words[a:b], small(counts[a:b]))) for p, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a))
 
         held, size = [], 0
-        for doc, text, train in _documents(batches):
-            held.append((doc, train, tokens(text)))
+        for doc, text, train in documents(batches):
+            held.append((doc, train, [start, *hashes_of(text), end]))
             size += len(held[-1][2])
             if size >= BLOCK or len(held) >= BLOCK_DOCS:
                 yield from block(held)
-                held, size = [], 0
+                size = 0
         if held:
             yield from block(held)
+        released()
+
+    return rows.select("doc_id", "text", "train").mapInArrow(run, ROWS)
+
+
+#: Rows of a part: kind 1 are answers to blocks; kinds from 100 on tell of the table, in ``n``.
+TOLD = "block long, kind int, data binary, n long"
+FACTS = 100
+
+
+def told(blocks: list[int], kinds: list[int], data: list[bytes], facts: dict[int, int]) -> pa.Table:
+    m, keys = len(blocks), sorted(facts)
+    return pa.table({"block": pa.array([*blocks, *[None] * len(keys)], pa.int64()), "kind": pa.array([*kinds, *(FACTS + k for k in keys)], pa.int32()), "data": pa.array([*data, *[None] * len(keys)], pa.binary()), "n": pa.array([*[None] * m, *(facts[k] for k in keys)], pa.int64())})
+
+
+def facts_of(table: DataFrame) -> dict[int, int]:
+    """A few numbers of the whole table."""
+    return {r["kind"] - FACTS: r["n"] for r in table.where(f"kind >= {FACTS} - 10 and n is not null").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+
+
+def tally(counts: np.ndarray) -> dict[int, int]:
+    return {r: int((counts == r).sum()) for r in range(1, TRUSTED + 2)}
 
-    def answers(key, left, right):
-        """For each block, what this part's words and bigrams add to each document."""
-        start, _ = _symbols()
-        rows_of = {0: [], 1: []}
-        for kind, data in zip(right.column("kind").to_pylist(), blobs(right), strict=True):
-            rows_of[kind].append(data)
-        empty = np.zeros(0, np.uint64), np.zeros(0)
-        keys, counts, log_p, weight = joined(rows_of[0]) if rows_of[0] else (empty[0], empty[1], empty[1], empty[1])
-        order = np.argsort(keys)
-        keys, counts, log_p, weight = keys[order], counts[order], log_p[order], weight[order]
-        pairs, change = joined(rows_of[1]) if rows_of[1] else empty
-        order = np.argsort(pairs)
-        pairs, change = pairs[order], change[order]
-        sums: dict[int, list[np.ndarray]] = {}
-        kinds, blocks, data = [], [], []
-        for name, kind, raw in zip(left.column("block").to_pylist(), left.column("kind").to_pylist(), blobs(left), strict=True):
-            if kind == 0:
-                kinds.append(0)
-                blocks.append(name)
-                data.append(bytes(raw))
-                continue
-            own, times, docs = unpack(raw)
-            size = int(docs.max()) + 1
-            place, there = found(keys if kind == 1 else pairs, own)
-            if kind == 2:
-                value = np.where(there, change[place], 0.0) if len(pairs) else np.zeros(len(own))
-                added = [np.zeros(0), np.zeros(0), np.bincount(docs, np.repeat(value, times), size)]
-            else:
-                c = np.where(there, counts[place], 0) if len(keys) else np.zeros(len(own))
-                value = np.where(there, log_p[place] + weight[place], unknown) if len(keys) else np.full(len(own), unknown)
-                base = np.log10((c + 1) / (n_words + vocabulary + 1))
-                real = own != np.uint64(start)
-                base, known = np.where(real, base, 0.0), real & (c > 0)
-                value = np.where(~real & ~there, 0.0, value)
-                added = [np.bincount(docs, np.repeat(known, times), size), np.bincount(docs, np.repeat(base, times), size), np.bincount(docs, np.repeat(value, times), size)]
-            old = sums.get(name)
-            sums[name] = added if old is None else [_add(x, y) for x, y in zip(old, added, strict=True)]
-        for name, added in sums.items():
-            kinds.append(1)
-            blocks.append(name)
-            data.append(pack(small(added[0]), added[1], added[2]))
-        return pa.table({"block": pa.array(blocks, pa.int64()), "kind": pa.array(kinds, pa.int64()), "data": pa.array(data, pa.binary())})
-
-    def together(key, table):
-        kinds, data = table.column("kind").to_pylist(), blobs(table)
-        ids, null, trained, lengths = unpack(next(d for k, d in zip(kinds, data, strict=True) if k == 0))
-        total = [np.zeros(len(ids)) for _ in range(3)]
-        for kind, raw in zip(kinds, data, strict=True):
-            if kind:
-                total = [_add(x, y) for x, y in zip(total, unpack(raw), strict=True)]
-        return pa.table({"doc_id": pa.array(ids, mask=null), "held_out": pa.array(~trained), "n_tokens": pa.array(lengths.astype(np.int64)), "n_known": pa.array(np.rint(total[0]).astype(np.int64)), "base_score": pa.array(total[1]), "score": pa.array(total[2])})
-
-    asked = rows.select("doc_id", "text", "train").mapInArrow(questions, "part long, block long, kind long, data binary")
-    tables = model.words.withColumn("kind", F.lit(0).cast("long")).unionByName(model.bigrams.withColumn("kind", F.lit(1).cast("long")))
-    answered = asked.groupBy("part").cogroup(tables.groupBy("part")).applyInArrow(answers, "block long, kind long, data binary")
-    return answered.groupBy("block").applyInArrow(together, SCORES).withColumn("train_tokens", F.lit(n_words).cast("long"))
-
-
-def _add(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    if len(x) < len(y):
-        x, y = y, x
-    out = x.astype(np.float64)
-    out[: len(y)] += y
+
+def number_words(parts: int):
+    """To each block the words' numbers and counts; a part's words have numbers of their own, frequent ones low."""
+    start, _ = _symbols()
+
+    def run(key, table):
+        blocks, asked = table.column("block").to_pylist(), [loose(x) for x in blobs(table)]
+        words = np.concatenate([x[0] for x in asked])
+        order = np.argsort(words, kind="stable")
+        first, size = runs(words[order])
+        counts = np.add.reduceat(np.concatenate([x[1].astype(np.int64) for x in asked])[order], first)
+        place = np.empty(len(first), np.int64)
+        place[np.argsort(-counts, kind="stable")] = np.arange(len(first))
+        names = (place * parts + key[0].as_py()).astype(np.uint32)
+        if len(first) * parts >= START:
+            raise OverflowError("more words than numbers")
+        special = words[order][first] == np.uint64(start)
+        names[special], counts[special] = START, 0
+        own_names, own_counts = np.empty(len(words), np.uint32), np.empty(len(words), np.int64)
+        own_names[order], own_counts[order] = np.repeat(names, size), np.repeat(counts, size)
+        stops = np.cumsum([len(x[0]) for x in asked]).tolist()
+        data = [tight(own_names[a:b], small(own_counts[a:b])) for a, b in zip([0, *stops], stops, strict=False)]
+        return told(blocks, [key[0].as_py() + 1000] * len(blocks), data, tally(counts) | {-1: int(counts.sum()), -2: int((counts > 0).sum())})
+
+    return run
+
+
+@dataclass
+class Block:
+    """A block's documents, its tokens as numbers of its words, and of each word the number and count in the table."""
+
+    ids: np.ndarray
+    null: np.ndarray
+    train: np.ndarray
+    lengths: np.ndarray
+    tokens: np.ndarray
+    names: np.ndarray
+    counts: np.ndarray
+
+    def data(self) -> bytes:
+        return tight(self.ids, self.null, self.train, self.lengths, small(self.tokens), self.names, small(self.counts))
+
+    @staticmethod
+    def of(data: bytes | memoryview) -> Block:
+        ids, null, train, lengths, tokens, names, counts = loose(data)
+        return Block(ids, null, train, lengths, tokens.astype(np.int64), names, counts.astype(np.int64))
+
+    def document(self) -> np.ndarray:
+        """Of each token; starts count as tokens."""
+        return np.repeat(np.arange(len(self.ids)), self.lengths + 1)
+
+    def place(self) -> np.ndarray:
+        """Of each token in its text; the start's is 0."""
+        sizes = self.lengths.astype(np.int64) + 1
+        return np.arange(len(self.tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def named(parts: int):
+    """Puts what the parts told of a block's words to its tokens."""
+
+    def run(key, left, right):
+        name = key[0].as_py()
+        ids, null, train, lengths, words, tokens = loose(blobs(left)[0])
+        order, at = word_order(words, parts)
+        names, counts = np.empty(len(words), np.uint32), np.empty(len(words), np.int64)
+        for kind, raw in zip(right.column("kind").to_pylist(), blobs(right), strict=True):
+            p = kind - 1000
+            where = order[at[p] : at[p + 1]]
+            names[where], counts[where] = loose(raw)
+        # Frequent words get low numbers here too.
+        turn = np.argsort(-counts, kind="stable")
+        back = np.empty(len(turn), np.int64)
+        back[turn] = np.arange(len(turn))
+        own = Block(ids, null, train, lengths, back[tokens], names[turn], counts[turn])
+        return pa.table({"block": pa.array([name], pa.int64()), "data": pa.array([own.data()], pa.binary())})
+
+    return run
+
+
+# -------------------------------------------------------------------------------------------------------------- levels
+
+
+@dataclass
+class Level:
+    """The distinct n-grams of a length in a block, by histories; histories of many tokens stand in several units.
+
+    ``by_part`` orders the n-grams and ``units_by_part`` the units as they are told to the parts."""
+
+    at: np.ndarray  # tokens that end an n-gram
+    gram: np.ndarray  # its number
+    history: np.ndarray  # of each n-gram
+    word: np.ndarray
+    count: np.ndarray  # in the block's training rows
+    names: list[np.ndarray]  # of each unit, the numbers of its history's words
+    salt: np.ndarray
+    unit: np.ndarray  # of each n-gram
+    owner: np.ndarray  # the history of each unit
+    split: np.ndarray  # whether a history has several units
+    by_part: np.ndarray
+    bounds: list[int]
+    units_by_part: np.ndarray
+    unit_bounds: list[int]
+    fan: np.ndarray  # n-grams of each unit
+
+    @staticmethod
+    def of(own: Block, k: int, parts: int) -> Level:
+        v = len(own.names)
+        at = np.flatnonzero(own.place() >= k - 1)
+        key = own.tokens[at - k + 1].astype(np.uint64)
+        for j in range(k - 2, -1, -1):
+            key = key * np.uint64(v) + own.tokens[at - j].astype(np.uint64)
+        kinds, gram = np.unique(key, return_inverse=True)
+        before, word = np.divmod(kinds, np.uint64(v))
+        word = word.astype(np.int64)
+        first, size = runs(before)
+        history = np.repeat(np.arange(len(first)), size)
+        learned = own.train[own.document()[at]]
+        count = np.bincount(gram[learned], minlength=len(kinds))
+        rest, local = before[first], []
+        for _ in range(k - 1):
+            rest, last = np.divmod(rest, np.uint64(v))
+            local.insert(0, last.astype(np.int64))
+        # How often a history can have been seen: no more than its rarest word (the start: than there are texts).
+        most = np.full(len(first), np.iinfo(np.int64).max)
+        for x in local:
+            most = np.minimum(most, np.where(own.names[x] == START, most, own.counts[x]))
+        salts = np.where(most == np.iinfo(np.int64).max, 1, 1 + most // SPLIT)
+        begin = np.cumsum(salts) - salts
+        unit = begin[history] + (mixed(own.names[word].astype(np.uint64)) % salts.astype(np.uint64)[history]).astype(np.int64)
+        owner = np.repeat(np.arange(len(first)), salts)
+        salt = np.arange(len(owner)) - begin[owner]
+        names = [own.names[x][owner] for x in local]
+        spread = mixed(salt.astype(np.uint64))
+        for x in names:
+            spread = mixed(spread ^ x.astype(np.uint64))
+        part = (spread % np.uint64(parts)).astype(np.int32)
+        units_by_part, unit_bounds = grouped(part, parts)
+        rank = np.empty(len(owner), np.int64)
+        rank[units_by_part] = np.arange(len(owner))
+        by_part = np.argsort(rank[unit], kind="stable")
+        fan = np.bincount(unit, minlength=len(owner))
+        bounds = np.r_[0, np.cumsum(fan[units_by_part])][unit_bounds].tolist()
+        return Level(at, gram, history, word, count, names, salt, unit, owner, salts > 1, by_part, bounds, units_by_part, unit_bounds, fan)
+
+
+def ask_counts(blocks: DataFrame, k: int, parts: int) -> DataFrame:
+    def run(batches):
+        for name, raw in documents(batches, 1):
+            own = Block.of(raw)
+            level = Level.of(own, k, parts)
+
+            def messages(own=own, level=level):
+                words, counts = own.names[level.word[level.by_part]], level.count[level.by_part]
+                units = level.units_by_part
+                for p in range(parts):
+                    (a, b), (c, d) = level.unit_bounds[p : p + 2], level.bounds[p : p + 2]
+                    if b > a:
+                        u = units[a:b]
+                        yield p, tight(small(level.fan[u]), words[c:d], small(counts[c:d]), small(level.salt[u]), *(x[u] for x in level.names))
+
+            yield from sent(name, messages())
+        released()
+
+    return blocks.mapInArrow(run, ROWS)
+
+
+def same_units(names: list[np.ndarray], salt: np.ndarray) -> np.ndarray:
+    """A number for each unit, the same for the same history and salt."""
+    order = np.lexsort((salt, *reversed(names)))
+    new = np.zeros(len(order), bool)
+    for x in (*names, salt):
+        x = x[order]
+        new[1:] |= x[1:] != x[:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
     return out
 
 
-def score_documents(docs: DataFrame, train_on, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+def give_counts(key, table):
+    """To each block: its n-grams' counts, which of them it stands for, each unit's sum, whether one of its n-grams is
+    discounted, and whether any block backs off from it."""
+    blocks, asked = table.column("block").to_pylist(), [loose(x) for x in blobs(table)]
+    fans = [x[0].astype(np.int64) for x in asked]
+    fan, word, count, salt = (np.concatenate(x) for x in (fans, [x[1] for x in asked], [x[2].astype(np.int64) for x in asked], [x[3].astype(np.int64) for x in asked]))
+    unit = same_units([np.concatenate([x[j] for x in asked]) for j in range(4, len(asked[0]))], salt)
+    units = int(unit.max(initial=-1)) + 1
+    of = np.repeat(unit, fan)
+    keys = of.astype(np.uint64) << np.uint64(32) | word
+    order = np.argsort(keys, kind="stable")
+    first, size = runs(keys[order])
+    sums = np.add.reduceat(count[order], first) if len(first) else np.zeros(0, np.int64)
+    stands = np.empty(len(order), bool)
+    stands[order] = first_true(count[order] > 0, first, size)
+    total = np.bincount(of[order][first], sums, units).astype(np.int64)
+    rare, void = np.zeros(units, bool), np.zeros(units, bool)
+    rare[of[order][first][(sums > 0) & (sums <= TRUSTED)]] = True
+    void[of[order][first][sums == 0]] = True
+    counts = np.empty(len(order), np.int64)
+    counts[order] = np.repeat(sums, size)
+    data, a, c = [], 0, 0
+    for own in fans:
+        b, d = a + len(own), c + int(own.sum())
+        u = unit[a:b]
+        data.append(tight(small(counts[c:d]), np.packbits(stands[c:d]), small(total[u]), np.packbits(rare[u]), np.packbits(void[u])))
+        a, c = b, d
+    return told(blocks, [key[0].as_py() + 1000] * len(blocks), data, tally(sums))
+
+
+def bits(packed: np.ndarray, n: int) -> np.ndarray:
+    return np.unpackbits(packed, count=n).astype(bool)
+
+
+@dataclass
+class Counted:
+    """What the table says of a block's n-grams of a length, and of their histories."""
+
+    count: np.ndarray
+    stands: np.ndarray
+    total: np.ndarray  # of each history
+    full: np.ndarray  # histories without a discounted follower
+    wanted: np.ndarray  # of each unit: whether any block backs off from it
+
+    @staticmethod
+    def of(level: Level, answers: list[tuple[int, memoryview]]) -> Counted:
+        count, stands = np.zeros(len(level.word), np.int64), np.zeros(len(level.word), bool)
+        units = len(level.owner)
+        total, rare, void = np.zeros(units, np.int64), np.zeros(units, bool), np.zeros(units, bool)
+        for p, raw in answers:
+            (a, b), (c, d) = level.unit_bounds[p : p + 2], level.bounds[p : p + 2]
+            counts, own, sums, rares, voids = loose(raw)
+            where, u = level.by_part[c:d], level.units_by_part[a:b]
+            count[where], stands[where] = counts, bits(own, d - c)
+            total[u], rare[u], void[u] = sums, bits(rares, b - a), bits(voids, b - a)
+        n = len(level.split)
+        return Counted(count, stands, np.bincount(level.owner, total, n).astype(np.int64), np.bincount(level.owner, rare, n) == 0, void | level.split[level.owner])
+
+    def probability(self, level: Level, own: Discounts) -> np.ndarray:
+        """Of each n-gram seen in training; where no follower is discounted, one occurrence more is of none of them."""
+        return own.of(self.count) * self.count / np.maximum(self.total + self.full, 1)[level.history]
+
+    def backs_off(self, level: Level) -> np.ndarray:
+        """Histories that were seen, but not before one of the block's words."""
+        out = np.zeros(len(self.total), bool)
+        out[level.history[self.count == 0]] = True
+        return out & (self.total > 0)
+
+
+def of_length(table: pa.Table, k: int) -> list[tuple[int, memoryview]]:
+    """Answers of a step, with their parts."""
+    return [(kind - 1000, raw) for step, kind, raw in zip(table.column("step").to_pylist(), table.column("kind").to_pylist(), blobs(table), strict=True) if step == k]
+
+
+def ask_weights(k: int, parts: int, words: Words, discounts: dict[int, Discounts]):
+    """For each unit that somebody backs off from, what the block stands for of its probabilities (of this length and of
+    the one below), and whether the block wants the sums."""
+
+    def run(key, left, right):
+        own = Block.of(blobs(left)[0])
+        level = Level.of(own, k, parts)
+        counted = Counted.of(level, of_length(right, k))
+        p = counted.probability(level, discounts[k])
+        if k == 2:
+            below = words.probability(own.counts)[level.word]
+        else:
+            lower = Level.of(own, k - 1, parts)
+            lower_p = Counted.of(lower, of_length(right, k - 1)).probability(lower, discounts[k - 1])
+            # The n-gram without its first word ends at the same token.
+            of_token = np.empty(len(own.tokens), np.int64)
+            of_token[lower.at] = lower.gram
+            shorter = np.empty(len(level.word), np.int64)
+            shorter[level.gram] = of_token[level.at]
+            below = lower_p[shorter]
+        mine = counted.stands & counted.wanted[level.unit]
+        units = len(level.owner)
+        mass, base = np.bincount(level.unit[mine], p[mine], units), np.bincount(level.unit[mine], below[mine], units)
+        wants = counted.backs_off(level)[level.owner]
+        has = wants | (np.bincount(level.unit[mine], minlength=units) > 0)
+        part, data = [], []
+        for q in range(parts):
+            u = level.units_by_part[level.unit_bounds[q] : level.unit_bounds[q + 1]]
+            u = u[has[u]]
+            if len(u):
+                part.append(q)
+                data.append(tight(mass[u], base[u], np.packbits(wants[u]), small(level.salt[u]), *(x[u] for x in level.names)))
+        name = key[0].as_py()
+        return pa.Table.from_batches([rows_of(part, [name] * len(part), [1] * len(part), data)])
+
+    return run
+
+
+def give_weights(key, table):
+    """To each block the sums of the units it wants."""
+    blocks, asked = table.column("block").to_pylist(), [loose(x) for x in blobs(table)]
+    mass, base, salt = (np.concatenate(x) for x in zip(*((x[0], x[1], x[3].astype(np.int64)) for x in asked), strict=True))
+    unit = same_units([np.concatenate([x[j] for x in asked]) for j in range(4, len(asked[0]))], salt)
+    mass, base = np.bincount(unit, mass), np.bincount(unit, base)
+    out_block, data, a = [], [], 0
+    for name, x in zip(blocks, asked, strict=True):
+        n = len(x[0])
+        u = unit[a : a + n][bits(x[2], n)]
+        a += n
+        if len(u):
+            out_block.append(name)
+            data.append(tight(mass[u], base[u]))
+    return told(out_block, [key[0].as_py() + 1000] * len(data), data, {})
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def evaluate(order: int, parts: int, words: Words, discounts: dict[int, Discounts]):
+    """The recursion for each token of a block, and the sums of its documents."""
+
+    def run(key, left, right):
+        own = Block.of(blobs(left)[0])
+        p = words.probability(own.counts)[own.tokens]
+        for k in range(2, order + 1):
+            level = Level.of(own, k, parts)
+            counted = Counted.of(level, of_length(right, k))
+            wants = counted.backs_off(level)
+            units = wants[level.owner]
+            mass, base = np.zeros(len(units)), np.zeros(len(units))
+            for q, raw in of_length(right, -k):
+                u = level.units_by_part[level.unit_bounds[q] : level.unit_bounds[q + 1]]
+                mass[u[units[u]]], base[u[units[u]]] = loose(raw)
+            n = len(wants)
+            weight = (1 - np.bincount(level.owner, mass, n)) / np.maximum(1 - np.bincount(level.owner, base, n), 1e-300)
+            seen, history = counted.count[level.gram] > 0, level.history[level.gram]
+            backed = np.where(wants[history], weight[history], 1.0) * p[level.at]
+            p[level.at] = np.where(seen, counted.probability(level, discounts[k])[level.gram], backed)
+        real, doc = own.place() > 0, own.document()
+        known = own.counts[own.tokens]
+        base_score = np.log10((known + 1) / (words.total + words.vocabulary + 1))
+        n = len(own.ids)
+        sums = [np.bincount(doc[real], x[real], n) for x in (known > 0, base_score, np.log10(p))]
+        return pa.table({"doc_id": pa.array(own.ids, mask=own.null), "held_out": pa.array(~own.train), "n_tokens": pa.array(own.lengths.astype(np.int64)), "n_known": pa.array(np.rint(sums[0]).astype(np.int64)), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
+
+    return run
+
+
+def score_documents(docs: DataFrame, train_on, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """Trains on the rows for which ``train_on`` (a condition) holds and scores every row."""
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train_on, F.lit(False)).alias("train"))
-    return score(rows, train(rows, max(PARTS, partitions(docs.sparkSession)), least))
+    parts = max(PARTS, partitions(spark), input_bytes(docs) // PART_BYTES)
+    read = stored(read_blocks(rows, parts), "katz-read")
+    numbered = stored(read.where("kind = 1").groupBy("part").applyInArrow(number_words(parts), TOLD), "katz-words")
+    words = Words.of_facts(facts_of(numbered))
+    answers = numbered.where("kind >= 1000").select("block", "kind", "data")
+    blocks = stored(read.where("kind = 0").select("block", "data").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(named(parts), "block long, data binary"), "katz-blocks")
+    forget(spark, read, numbered)
+
+    def step(table: DataFrame, k: int) -> DataFrame:
+        return table.where("kind >= 1000").select("block", F.lit(k).alias("step"), "kind", "data")
+
+    discounts: dict[int, Discounts] = {}
+    told_so_far: DataFrame | None = None
+    kept: list[DataFrame] = []
+    for k in range(2, order + 1):
+        counted = stored(ask_counts(blocks, k, parts).groupBy("part").applyInArrow(give_counts, TOLD), "katz-counts")
+        discounts[k] = good_turing(facts_of(counted))
+        told_so_far = step(counted, k) if told_so_far is None else told_so_far.unionByName(step(counted, k))
+        needed = told_so_far.where(F.col("step").isin(k, k - 1))
+        asked = stored(blocks.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(ask_weights(k, parts, words, dict(discounts)), ROWS), "katz-asked")
+        weights = stored(asked.groupBy("part").applyInArrow(give_weights, TOLD), "katz-weights")
+        forget(spark, asked)
+        told_so_far = told_so_far.unionByName(step(weights, -k))
+        kept += [counted, weights]
+    scored = blocks.groupBy("block").cogroup(told_so_far.groupBy("block")).applyInArrow(evaluate(order, parts, words, discounts), SCORES)
+    out = stored(scored, "katz-scores")
+    forget(spark, blocks, *kept)
+    return out.withColumn("train_tokens", F.lit(words.total).cast("long"))

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.blocks import blobs, cut, documents, mixed, pack, runs, spans, unpack
-from tessel.llm.common import forget, partitions, released, stored
+from tessel.llm.common import forget, input_bytes, partitions, released, stored
 from tessel.llm.components import components
 
 WORDS = 5
@@ -448,12 +448,6 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
     return found.unionByName(alone)
 
 
-def input_bytes(docs: DataFrame) -> int:
-    """The planner's estimate of what a table holds; 0 where it has none."""
-    found = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return found if found < 1 << 55 else 0
-
-
 def whole_sets(rows: DataFrame, needed: DataFrame, words: int) -> DataFrame:
     """id, hi, lo and set of the rows that hold a needed set."""
     ids = stored(needed.select(F.col("id").alias("doc_id")).distinct(), "jaccard-needed")

@@ -96,6 +96,22 @@ def test_sum_of_squares_is_the_definition():
     assert sorted(np.bincount(bins, lengths).astype(int)) == sorted(40 - g for g in gaps)
 
 
+def test_many_tasks_take_hardly_more_sequences(spark):
+    """Pieces of unfilled sequences of all tasks are packed together."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = []
+    for tasks in (1, 64):
+        rows = packing.pack_documents(docs.repartition(tasks, "doc_id"), block=300 if tasks == 1 else 60_000).select("sequence_id", "offset", "length").collect()
+        by = defaultdict(list)
+        for r in rows:
+            by[r.sequence_id].append((r.offset, r.length))
+        assert all(x + n == y for own in by.values() for (x, n), (y, _) in zip(sorted(own), sorted(own)[1:], strict=False)) and all(min(own)[0] == 0 for own in by.values())
+        assert all(sum(n for _, n in own) <= packing.SEQUENCE for own in by.values())
+        counts.append(len(by))
+    least = math.ceil(sum(r.length for r in rows) / packing.SEQUENCE)
+    assert max(counts) <= least + 3
+
+
 def test_sequences_hold_their_documents(spark, docs):
     pieces = packing.pack(packing.encode_pieces(docs.limit(20)).select("doc_id", "piece", "length", "ids"))
     got = packing.sequences(pieces).collect()
@@ -390,72 +406,85 @@ def test_components(spark):
 # ---------------------------------------------------------------------------------------------------------------- Katz
 
 
-def test_katz(spark, edge, nothing):
+def katz_by_hand(rows, train, order):
+    """Log10 probability, number of tokens, known tokens and base score of each row, by the definition; and the probability."""
+    tokens = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), "end"]
+    learned = [tokens(t) for _, t in train]
+    counts = [defaultdict(Counter) for _ in range(order)]
+    for t in learned:
+        for k in range(order):
+            line = ["start", *t]
+            for at in range(max(1, k), len(line)):
+                counts[k][tuple(line[at - k : at])][line[at]] += 1
+    words = counts[0][()]
+    n, v = words.total(), len(words)
+    factors = [katz.good_turing(Counter(c for own in level.values() for c in own.values())).factors for level in counts]
+    q = [{x: {w: (factors[k][c] if c < len(factors[k]) else 1.0) * c / own.total() for w, c in own.items()} for x, own in counts[k].items()} for k in range(order)]
+    for k in range(1, order):
+        for x, own in q[k].items():
+            if sum(own.values()) > 1 - 1e-9:
+                q[k][x] = {w: p * counts[k][x].total() / (counts[k][x].total() + 1) for w, p in own.items()}
+    unknown = 1 - sum(q[0].get((), {}).values())
+    a = {}
+
+    def p(x, w):
+        if not x:
+            return q[0].get((), {}).get(w, unknown)
+        own = q[len(x)].get(x)
+        if own is None:
+            return p(x[1:], w)
+        if w in own:
+            return own[w]
+        if x not in a:
+            a[x] = (1 - sum(own.values())) / (1 - sum(p(x[1:], y) for y in own))
+        return a[x] * p(x[1:], w)
+
+    out = []
+    for i, t in rows:
+        line = ["start", *tokens(t)]
+        score = sum(math.log10(p(tuple(line[max(0, at - order + 1) : at]), line[at])) for at in range(1, len(line)))
+        out.append((i, len(line) - 1, sum(w in words for w in line[1:]), sum(math.log10((words[w] + 1) / (n + v + 1)) for w in line[1:]), score))
+    return out, p, counts, n
+
+
+@pytest.mark.parametrize("order, split", [(3, 1 << 40), (3, 20), (2, 1 << 40)])
+def test_katz(spark, edge, nothing, monkeypatch, order, split):
+    monkeypatch.setattr(katz, "SPLIT", split)
+    monkeypatch.setattr(katz, "BLOCK", 700)
     rng = random.Random(5)
     vocabulary = [f"v{int(rng.paretovariate(0.7))}" for _ in range(400)]
     rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60)))) for k in range(200)] + EDGE
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = katz.score_documents(df, remainder("doc_id", 7) != 2).collect()
+    rows += [(300 + k, rows[k][1]) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = katz.score_documents(df, remainder("doc_id", 7) != 2, order=order).collect()
     assert len(got) == len(rows)
-    tokens = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), "end"]
-    train = [tokens(t) for i, t in rows if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2]
-    words, pairs, before = Counter(), Counter(), Counter()
-    for t in train:
-        words.update(t)
-        pairs.update(zip(["start", *t], t, strict=False))
-        before.update(["start", *t[:-1]])
-    n, v = words.total(), len(words)
-    d1, d2 = (katz.good_turing(Counter(c.values())) for c in (words, pairs))
-    p1 = {w: float(d1.of(np.array([c]))[0]) * c / n for w, c in words.items()}
-    unknown = 1 - sum(p1.values())
-    seen = defaultdict(dict)
-    for (h, w), c in pairs.items():
-        if c >= 2:
-            seen[h][w] = float(d2.of(np.array([c]))[0]) * c / before[h]
-    for h, own in seen.items():
-        if sum(own.values()) > 1 - 1e-9:
-            seen[h] = {w: p * before[h] / (before[h] + 1) for w, p in own.items()}
-    weight = {h: (1 - sum(own.values())) / (1 - sum(p1[w] for w in own)) for h, own in seen.items()}
-
-    def p(h, w):
-        return seen[h][w] if h in seen and w in seen[h] else weight.get(h, 1.0) * p1.get(w, unknown)
-
-    for h in ["start", *list(seen)[:20]]:  # exactly normalised
-        assert sum(p(h, w) for w in words) + weight.get(h, 1.0) * unknown == pytest.approx(1)
-    want = sorted((len(tokens(t)), round(sum(math.log10(p(h, w)) for h, w in zip(["start", *tokens(t)], tokens(t), strict=False)), 5), round(sum(math.log10((words[w] + 1) / (n + v + 1)) for w in tokens(t)), 5), sum(w in words for w in tokens(t))) for _, t in rows)
-    have = sorted((r.n_tokens, round(r.score, 5), round(r.base_score, 5), r.n_known) for r in got)
-    assert np.allclose(np.array(have, float), np.array(want, float), atol=2e-5) and got[0].train_tokens == n
-    assert katz.score_documents(nothing, F.lit(True)).count() == 0
-    blind = katz.score_documents(df, F.lit(False)).collect()
-    assert len(blind) == len(rows) and all(r.n_known == 0 and r.score == 0.0 for r in blind)
-
-
-def test_katz_query_keeps_bigrams_seen_once(spark, tmp_path):
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    want, p, counts, n = katz_by_hand(rows, [r for r in rows if not held(r[0])], order)
+    histories = [x for level in counts[1:] for x in list(level)[:15]] + [("start",)]
+    words = counts[0][()]
+    for x in histories:  # exactly normalised, the unknown word included
+        assert sum(p(x, w) for w in words) + p(x, "never seen") == pytest.approx(1)
+    key = lambda r: (-1 if r[0] is None else r[0], r[1], round(r[4], 6))
+    have = sorted(((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in got), key=key)
+    for x, y in zip(have, sorted(want, key=key), strict=True):
+        assert x[:3] == y[:3] and x[3:] == pytest.approx(y[3:], abs=1e-6)
+    assert {r.doc_id: r.held_out for r in got} == {i: held(i) for i, _ in rows} and got[0].train_tokens == n
+    if order == 3 and split > 1000:
+        assert katz.score_documents(nothing, F.lit(True)).count() == 0
+        blind = katz.score_documents(df, F.lit(False)).collect()
+        assert len(blind) == len(rows) and all(r.n_known == 0 and r.score == 0.0 for r in blind)
+        assert katz.score_documents(edge, F.lit(True)).count() == len(EDGE)
+
+
+def test_katz_query_keeps_all_trigrams(spark, tmp_path):
     rng = random.Random(7)
     rows = [(k, " ".join(f"v{int(rng.paretovariate(0.7))}" for _ in range(rng.randint(0, 60)))) for k in range(200)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
     got = {r.doc_id: r.score for r in queries.op8_lm_scoring(spark, f"file://{tmp_path}").collect()}
-    tokens = lambda t: [*t.split(), "</s>"]
-    train = [tokens(t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
-    words, pairs, before = Counter(w for t in train for w in t), Counter(), Counter()
-    for t in train:
-        pairs.update(zip(["<s>", *t], t, strict=False))
-        before.update(["<s>", *t[:-1]])
-    assert sum(c == 1 for c in pairs.values()) > len(pairs) / 2
-    d1, d2 = (katz.good_turing(Counter(c.values())).factors for c in (words, pairs))
-    d = lambda factors, c: (factors[c] if c < len(factors) else 1.0) * c
-    p1 = {w: d(d1, c) / words.total() for w, c in words.items()}
-    after = defaultdict(dict)
-    for (h, w), c in pairs.items():
-        after[h][w] = d(d2, c) / before[h]
-    for h, own in after.items():
-        if sum(own.values()) > 1 - 1e-9:
-            after[h] = {w: p * before[h] / (before[h] + 1) for w, p in own.items()}
-    a = {h: (1 - sum(own.values())) / (1 - sum(p1[w] for w in own)) for h, own in after.items()}
-    p = lambda h, w: after[h][w] if w in after.get(h, {}) else a.get(h, 1.0) * p1.get(w, 1 - sum(p1.values()))
-    for i, text in rows:
-        t = tokens(text)
-        assert got[i] == pytest.approx(sum(math.log10(p(h, w)) for h, w in zip(["<s>", *t], t, strict=False)), abs=1e-5)
+    want, _, counts, _ = katz_by_hand(rows, [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2], 3)
+    times = [c for own in counts[2].values() for c in own.values()]
+    assert sum(c == 1 for c in times) > len(times) / 2
+    assert all(got[i] == pytest.approx(score, abs=1e-5) for i, _, _, _, score in want)
 
 
 # ------------------------------------------------------------------------------------------------------------------ HTML
