@@ -2,17 +2,20 @@
 
 Each document is encoded, closed by an end id and, if longer than a sequence, cut into full pieces of which only the
 first may be shorter.  Every piece of less than a full sequence is then placed in the open bin that leaves the smallest
-sum of squared counts of open bins per residual gap; a new bin is opened where none fits.  Pieces are taken in falling
-length within blocks of at most ``block`` pieces of a partition, so memory is bounded and nothing is shuffled: each task
-packs what it has encoded.
-
-Nulls: a null text is empty (its piece is the end id alone); a null id is kept as null.  Repeated rows are packed once
-each.  An empty table gives an empty result.  Other columns of the input are ignored by :func:`encode_pieces` and
-carried by :func:`pack`.
+sum of squared counts of open bins per residual gap (the smallest such gap of several); a new bin is opened where none
+fits.  Pieces are taken in falling length, equal ones in their order, within blocks of about ``block`` pieces of a task,
+so memory is bounded.  Then the pieces in sequences that have room left, of all tasks and blocks, are taken out and
+packed together by the same rule.
+
+Nulls: a null text is empty (its piece is the end id alone); a null id is kept as null.  Very long texts are encoded
+whole.  Repeated rows are packed once each.  An empty table gives an empty result.  Other columns of the input, whatever
+their names, are ignored by :func:`encode_pieces` and :func:`pack_documents`; :func:`pack` carries them and replaces
+those of the names it adds.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import re
 from collections.abc import Iterator
@@ -25,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessel.llm.common import released, stored
+
 SEQUENCE = 1024
 END_ID = 2
 #: Distinct chunks a worker remembers; beyond, chunks not yet known are encoded each time.
@@ -188,28 +193,40 @@ def cuts(n: int, most: int = SEQUENCE) -> list[tuple[int, int]]:
     return [(0, first), *((k, most) for k in range(first, n, most))]
 
 
+def encoded(batches: Iterator[pa.RecordBatch], name: str, end_id: int, sequence: int, slice_rows: int, ids: bool) -> Iterator[pa.RecordBatch]:
+    """Pieces of the rows (identifier and text) of batches: with their ids, or with the ids' crc32."""
+    import zlib
+
+    own, end = encoder(name), np.array([end_id], "<u4").tobytes()
+    for whole in batches:
+        for k in range(0, whole.num_rows, slice_rows):
+            batch = whole.slice(k, slice_rows)
+            docs_of, piece, start, length, last = [], [], [], [], []
+            for doc, data in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist()), strict=True):
+                data += end
+                for i, (at, n) in enumerate(cuts(len(data) // 4, sequence)):
+                    docs_of.append(doc)
+                    piece.append(i)
+                    start.append(at)
+                    length.append(n)
+                    part = data[4 * at : 4 * (at + n)]
+                    last.append(part if ids else zlib.crc32(part))
+            yield pa.RecordBatch.from_arrays([pa.array(docs_of, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(last, pa.binary() if ids else pa.int64())], names=[*PIECES.names[:4], "ids" if ids else "ids_crc32"])
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
 def encode_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID, sequence: int = SEQUENCE, slice_rows: int = 256) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (binary, little-endian unsigned 32-bit)."""
     name = path or tokenizer_path("byte_bpe_50k.json")
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(name)
-        for whole in batches:
-            for k in range(0, whole.num_rows, slice_rows):
-                batch = whole.slice(k, slice_rows)
-                docs_of, piece, start, length, ids = [], [], [], [], []
-                for doc, data in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist()), strict=True):
-                    data += end
-                    for i, (at, n) in enumerate(cuts(len(data) // 4, sequence)):
-                        docs_of.append(doc)
-                        piece.append(i)
-                        start.append(at)
-                        length.append(n)
-                        ids.append(data[4 * at : 4 * (at + n)])
-                yield pa.RecordBatch.from_arrays([pa.array(docs_of, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())], names=PIECES.names)
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, PIECES)
+        yield from encoded(batches, name, end_id, sequence, slice_rows, True)
+        released()
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, PIECES)
 
 
 def sum_of_squares(lengths: np.ndarray, sequence: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray, int]:
@@ -239,38 +256,80 @@ def sum_of_squares(lengths: np.ndarray, sequence: int = SEQUENCE) -> tuple[np.nd
     return bins, offsets, made
 
 
+def placed(batches: Iterator[pa.RecordBatch], place: int, sequence: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Adds sequence_id (partition and a running number), offset, and whether the sequence has room left."""
+    first, held, rows_held = TaskContext.get().partitionId() << 36, [], 0
+
+    def packed() -> Iterator[pa.RecordBatch]:
+        nonlocal first
+        table = pa.Table.from_batches(held)
+        lengths = table.column(place).to_numpy()
+        bins, offsets, made = sum_of_squares(lengths, sequence)
+        room = np.bincount(bins, lengths, made) < sequence
+        out = table.append_column("sequence_id", pa.array(bins + first)).append_column("offset", pa.array(offsets)).append_column("room", pa.array(room[bins]))
+        first += made
+        yield from out.combine_chunks().to_batches()
+
+    for batch in batches:
+        held.append(batch)
+        rows_held += batch.num_rows
+        if rows_held >= block:
+            yield from packed()
+            held, rows_held = [], 0
+    if rows_held:
+        yield from packed()
+
+
+def _placed_schema(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("room", T.BooleanType())])
+
+
+def packed_again(first: DataFrame, length_col: str, sequence: int, block: int) -> DataFrame:
+    """Takes apart the sequences of all blocks that have room left and packs their pieces together, in groups of about
+    ``block``; a group stays as it is where that gives no fewer sequences.  ``first`` is a stored table."""
+    rest = first.where("room")
+    groups = max(1, math.ceil(rest.count() / block))
+    schema = T.StructType(first.schema.fields[:-1])
+    place = first.columns.index(length_col)
+
+    def run(key, table):
+        table = table.select(schema.names)
+        lengths, before = table.column(place).to_numpy(), table.column("sequence_id").to_numpy()
+        bins, offsets, made = sum_of_squares(lengths, sequence)
+        if made >= len(np.unique(before)):
+            return table
+        n = table.num_columns
+        return table.set_column(n - 2, "sequence_id", pa.array(-1 - ((key[0].as_py() << 36) + bins))).set_column(n - 1, "offset", pa.array(offsets))
+
+    again = rest.groupBy(F.pmod(F.xxhash64("sequence_id"), F.lit(groups)).alias("__group")).applyInArrow(run, schema)
+    return first.where("not room").drop("room").unionByName(again)
+
+
 def pack(pieces: DataFrame, *, length_col: str = "length", sequence: int = SEQUENCE, block: int = 60_000) -> DataFrame:
-    """Adds sequence_id (partition and a running number) and offset; every other column is carried."""
-    carried = [x for x in pieces.columns if x not in ("sequence_id", "offset")]
+    """Adds sequence_id and offset (columns of these names and ``room`` are replaced); every other column is carried."""
+    carried = [x for x in pieces.columns if x not in ("sequence_id", "offset", "room")]
     rows = pieces.select(*carried)
-    schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    place = carried.index(length_col)
+    at = carried.index(length_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from placed(batches, at, sequence, block)
 
-    def packed(table: pa.Table, first: int) -> tuple[list[pa.RecordBatch], int]:
-        bins, offsets, made = sum_of_squares(table.column(place).to_numpy(), sequence)
-        out = table.append_column("sequence_id", pa.array(bins + first)).append_column("offset", pa.array(offsets))
-        return out.combine_chunks().to_batches(), first + made
+    return packed_again(stored(rows.mapInArrow(run, _placed_schema(rows.schema)), "packed"), length_col, sequence, block)
+
+
+DIGESTS = T.StructType([*PIECES.fields[:4], T.StructField("ids_crc32", T.LongType())])
+
+
+def pack_documents(docs: DataFrame, *, sequence: int = SEQUENCE, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", block: int = 60_000) -> DataFrame:
+    """Pieces with their digest and their place; the ids themselves don't leave the task that makes them."""
+    name = path or tokenizer_path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, held, rows_held = TaskContext.get().partitionId() << 36, [], 0
-        for batch in batches:
-            held.append(batch)
-            rows_held += batch.num_rows
-            if rows_held >= block:
-                done, first = packed(pa.Table.from_batches(held), first)
-                yield from done
-                held, rows_held = [], 0
-        if rows_held:
-            yield from packed(pa.Table.from_batches(held), first)[0]
-
-    return rows.mapInArrow(run, schema)
-
-
-def pack_documents(docs: DataFrame, *, sequence: int = SEQUENCE, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces with their digest and their place; the ids themselves don't enter the packing step."""
-    pieces = encode_pieces(docs, path=path, sequence=sequence, id_col=id_col, text_col=text_col)
-    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(digests, sequence=sequence)
+        yield from placed(encoded(batches, name, END_ID, sequence, 256, False), 3, sequence, block)
+        released()
+
+    first = stored(_texts(docs, id_col, text_col).mapInArrow(run, _placed_schema(DIGESTS)), "packed")
+    return packed_again(first, "length", sequence, block)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ def test_many_tasks_take_hardly_more_sequences(spark):
         assert all(sum(n for _, n in own) <= packing.SEQUENCE for own in by.values())
         counts.append(len(by))
     least = math.ceil(sum(r.length for r in rows) / packing.SEQUENCE)
-    assert max(counts) <= least + 3
+    assert counts[0] <= least + 8 and counts[1] <= least + 3  # tiny blocks of pieces, and many tasks
 
 
 def test_sequences_hold_their_documents(spark, docs):
