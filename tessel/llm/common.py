@@ -72,6 +72,16 @@ def input_bytes(docs: DataFrame) -> int:
     return found if found < 1 << 55 else 0
 
 
+def frugal() -> None:
+    """Lets large arrays of this worker go back to the machine as soon as they are free."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def released() -> None:
     """Gives memory that a worker holds but doesn't use back to the machine; workers outlive their tasks."""
     import ctypes

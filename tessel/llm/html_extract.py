@@ -5,14 +5,19 @@ the identifier) are aligned by simple tree matching, after runs of like siblings
 places.  All pages of the host are then aligned with the skeleton; a node without partner has its place by its parent's
 place and its label, so layouts that the skeleton lacks have places too.  Over all pages it is counted which texts stand
 in which place: a text of nearly all pages that have the place is template (a block goes if it has no other text), what
-varies is content.  From each page template text and declared furniture go.  Of the rest the text of the article element
-stays, or else of the slot: the branch where the places of this page hold most of the varying text, by what they hold on
-average over the host's pages.  Where that branch is void on the page, the slot is the last one that isn't.
-
-Nulls: a null page is empty, and so is its text; a null URL or one without host belongs to the host "".  A host of one
-page has no constant nodes.  Repeated rows are extracted each; pages of a host that are whole
-repeats count once in a template.  An empty table gives an
-empty result; other columns are ignored.
+varies is content.  The text of the slot stays: the branch where the places of this page hold most of the varying text, by
+what they hold on average over the host's pages.  Where that branch is void on the page, the slot is the last one that
+isn't; an article element in the slot narrows it.
+
+What no page can mean as text (menus, forms, scripts, and the like by their elements, and by names of classes such as
+``comments`` or ``sponsored``) is left out before the alignment.  Names that also occur in articles (``LOOSE``) say
+something only where nothing else does: outside of an article on a host whose pages can't be aligned.
+
+Nulls: a null page is empty, and so is its text; a null URL or one without host belongs to the host "".  Ties between
+branches go to the first.  A place of fewer than ``LEAST`` different pages has no template, so a host of fewer pages has
+none; its article element, or else its whole body, is taken.  Repeated rows are extracted each; pages of a host that are
+whole repeats count once in a template.  Very long pages and ones of many thousand levels are taken whole.  An empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,7 +58,9 @@ RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "
 FURNITURE = frozenset("head script style noscript iframe template nav footer aside form button select option textarea input menu dialog svg canvas object audio video map title".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 #: Words of class, id and role that declare furniture.
-DECLARED = frozenset("ad ads advert advertisement adverts adbox adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices popup modal overlay share sharing social related recommended newsletter subscribe signup login comment comments respond disqus replies pagination pager toolbar widget widgets copyright legal disclaimer complementary contentinfo search alert".split())
+DECLARED = frozenset("ad ads advert advertisement adverts adbox adsense sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices popup modal overlay share sharing related recommended newsletter subscribe signup login comment comments respond disqus replies pagination pager toolbar".split())
+#: Words that may declare it, but also occur in articles.
+LOOSE = frozenset("banner social widget widgets copyright legal disclaimer complementary contentinfo search alert".split())
 #: What a start tag closes: the first open element of these, if none of the stops lies above it.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 STOPS = frozenset("ul ol dl table body article section div main".split())
@@ -64,16 +71,17 @@ _TOKEN = re.compile(r"[a-z]+")
 
 
 class Node:
-    """An element: label (tag and class), whether it is declared furniture, and children (nodes and texts) in order."""
+    """An element: label (tag and class), whether it is declared furniture (or may be), and children (nodes and texts) in
+    order."""
 
-    __slots__ = ("tag", "label", "furniture", "children", "place")
+    __slots__ = ("tag", "label", "furniture", "loose", "children", "place")
 
-    def __init__(self, tag: str, label: str, furniture: bool):
-        self.tag, self.label, self.furniture, self.children, self.place = tag, label, furniture, [], None
+    def __init__(self, tag: str, label: str, furniture: bool, loose: bool = False):
+        self.tag, self.label, self.furniture, self.loose, self.children, self.place = tag, label, furniture, loose, [], None
 
 
 def _element(tag: str, attributes: str) -> Node:
-    furniture = tag in FURNITURE
+    furniture, loose = tag in FURNITURE, False
     label = tag
     if attributes and not attributes.isspace():
         for name, value in _ATTRIBUTE.findall(attributes):
@@ -83,9 +91,11 @@ def _element(tag: str, attributes: str) -> Node:
             elif value:
                 if name == "class":
                     label += "." + value
-                if not furniture and tag not in ("html", "body", "article", "main") and not DECLARED.isdisjoint(_TOKEN.findall(value)):
-                    furniture = True
-    return Node(tag, label, furniture)
+                if not furniture and tag not in ("html", "body", "article", "main"):
+                    words = _TOKEN.findall(value)
+                    furniture = not DECLARED.isdisjoint(words)
+                    loose = loose or not LOOSE.isdisjoint(words)
+    return Node(tag, label, furniture, loose)
 
 
 def parse(source: str) -> Node:
@@ -228,10 +238,19 @@ def subtree(x, y, memo: dict) -> int:
 
 def form(x, memo: dict) -> int:
     """A number for nodes of the same labels all the way down."""
-    key = (id(x),)
-    if key not in memo:
-        memo[key] = memo.setdefault((x.label, *(form(c, memo) for c in x.children)), len(memo))
-    return memo[key]
+    waiting = [x]
+    while waiting:
+        node = waiting[-1]
+        if (id(node),) in memo:
+            waiting.pop()
+            continue
+        lacking = [c for c in node.children if (id(c),) not in memo]
+        if lacking:
+            waiting += lacking
+            continue
+        memo[id(node),] = memo.setdefault((node.label, *[memo[id(c),] for c in node.children]), len(memo))
+        waiting.pop()
+    return memo[id(x),]
 
 
 def long_matching(a: list, b: list, memo: dict) -> tuple[int, list[tuple[int, int]]]:
@@ -324,6 +343,28 @@ def skeleton(pages: list[str]) -> list[Slot]:
     return top
 
 
+def written(top: list[Slot]) -> bytes:
+    """A skeleton as flat lists, parents first: labels, numbers and parents."""
+    labels, numbers, parents = [], [], []
+    waiting = [(slot, -1) for slot in reversed(top)]
+    while waiting:
+        slot, parent = waiting.pop()
+        waiting += [(c, len(labels)) for c in reversed(slot.children)]
+        labels.append(slot.label)
+        numbers.append(slot.number)
+        parents.append(parent)
+    return pickle.dumps((labels, numbers, parents), 5)
+
+
+def read(data: bytes) -> list[Slot]:
+    top: list[Slot] = []
+    known: list[Slot] = []
+    for label, number, parent in zip(*pickle.loads(data), strict=True):
+        known.append(Slot(label, [], number))
+        (known[parent].children if parent >= 0 else top).append(known[-1])
+    return top
+
+
 def beyond(parent: int, label: str) -> int:
     """The place of a node that the skeleton lacks."""
     return -1 - (text_key(f"{parent} {label}") + (1 << 63) >> 1)
@@ -401,21 +442,23 @@ def slot_of(top: list[Fold]) -> list[Node]:
 
 
 def roots(level: list[Node]) -> list[Node]:
-    """Within the slot the article elements, else main, if any."""
-
-    def named(node: Node, tag: str) -> list[Node]:
-        if node.tag == tag:
-            return [node]
-        return [n for c in node.children if isinstance(c, Node) and not c.furniture for n in named(c, tag)]
-
+    """Within the nodes the article elements, else main, if any, in page order."""
     for tag in ("article", "main"):
-        if found := [n for x in level for n in named(x, tag)]:
+        found, waiting = [], list(reversed(level))
+        while waiting:
+            node = waiting.pop()
+            if node.tag == tag:
+                found.append(node)
+            else:
+                waiting += [c for c in reversed(node.children) if isinstance(c, Node) and not c.furniture]
+        if found:
             return found
     return level
 
 
-def blocks(root: Node, template: dict[int, frozenset[int]]) -> list[str]:
-    """The blocks' texts in order; a block all of whose texts are the template's goes."""
+def blocks(root: Node, template: dict[int, frozenset[int]], inside: bool) -> list[str]:
+    """The blocks' texts in order; a block all of whose texts are the template's goes.  What may be furniture by its name
+    stays ``inside`` an article or slot."""
     out: list[str] = []
     held: list[str] = []
     varies = False
@@ -441,7 +484,7 @@ def blocks(root: Node, template: dict[int, frozenset[int]]) -> list[str]:
                 if not varies:
                     varies = not (known and text_key(tidy(child)) in known) and not child.isspace()
                 continue
-            if child.furniture:
+            if child.furniture or child.loose and not inside:
                 if child.tag in BLOCK or child.tag in FURNITURE:
                     held.append(" ")
                 continue
@@ -468,7 +511,9 @@ def main_text(source: str, own: Wrapper | None) -> str:
         top = fold([tree])
         known = weigh(locate(top, own.skeleton, {}), own)
         level = slot_of(top) or level
-    return "\n\n".join(b for root in roots(level) for b in blocks(root, known))
+    found = roots(level)
+    inside = level[0] is not tree or found[0] is not tree
+    return "\n\n".join(b for root in found for b in blocks(root, known, inside))
 
 
 # ------------------------------------------------------------------------------------------------------------ operators
@@ -486,13 +531,14 @@ def skeletons(rows: DataFrame, per_host: int = PAGES) -> DataFrame:
     chosen = stored(chosen, "wrapper-pages")
     if chosen.count() <= BROADCAST_HOSTS * per_host:  # a host and a number each
         chosen = F.broadcast(chosen)
-    sample = rows.select("host", "page_id", "html").join(chosen, ["host", "page_id"], "left_semi")
+    # Rows that repeat an identifier give one page: at most ``per_host`` of a host.
+    sample = rows.select("host", "page_id", "html").join(chosen, ["host", "page_id"], "left_semi").groupBy("host", "page_id").agg(F.min("html").alias("html"))
 
     def run(group):
         import pandas as pd
 
         sys.setrecursionlimit(DEEP)
-        own = pickle.dumps(skeleton(group["html"].tolist()[: 4 * per_host]), 5)
+        own = written(skeleton(group["html"].tolist()))
         return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [own]})
 
     return sample.groupBy("host").applyInPandas(run, "host string, wrapper binary")
@@ -535,7 +581,7 @@ def counted(rows: DataFrame, known: DataFrame) -> DataFrame:
     frame, held = attached(weighted, known)
 
     def paged(batches):
-        for batch, pages, wraps in paired(batches, held):
+        for batch, pages, wraps in paired(batches, held, read):
             at = {name: batch.column(name).take(pages).to_pylist() for name in ("host", "html", "weight")}
             yield from zip(at["host"], at["html"], at["weight"], wraps, strict=True)
 
@@ -565,8 +611,8 @@ def wrappers(rows: DataFrame) -> DataFrame:
                 template[place].append(text)
                 taken[place] += n
         known = {p: (max(0.0, total - taken[p]) / pages[p], frozenset(template[p])) for p, total in varying.items()}
-        own = Wrapper(pickle.loads(left.column("wrapper")[0].as_py()), known)
-        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "wrapper": pa.array([pickle.dumps(own, 5)], pa.binary())})
+        own = pickle.dumps((left.column("wrapper")[0].as_py(), known), 5)
+        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "wrapper": pa.array([own], pa.binary())})
 
     return bare.groupBy("host").cogroup(facts.groupBy("host")).applyInArrow(run, "host string, wrapper binary")
 
@@ -581,7 +627,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.setrecursionlimit(DEEP)
-        for batch, pages, wraps in paired(batches, held):
+        for batch, pages, wraps in paired(batches, held, opened):
             sources = batch.column("html").take(pages).to_pylist()
             texts = [main_text(source, own) for source, own in zip(sources, wraps, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id").take(pages), batch.column("url").take(pages), pa.array(texts, pa.string())], names=EXTRACTED.names)
@@ -611,8 +657,13 @@ def dealt(rows: DataFrame, known: DataFrame) -> DataFrame:
     return both.sortWithinPartitions("host", "group", F.col("wrapper").isNull()).drop("group")
 
 
-def paired(batches: Iterator[pa.RecordBatch], held) -> Iterator[tuple[pa.RecordBatch, pa.Array, list]]:
-    """Batches, which of their rows are pages, and the unpickled wrapper of each page's host."""
+def opened(data: bytes) -> Wrapper:
+    bare, known = pickle.loads(data)
+    return Wrapper(read(bare), known)
+
+
+def paired(batches: Iterator[pa.RecordBatch], held, opening) -> Iterator[tuple[pa.RecordBatch, pa.Array, list]]:
+    """Batches, which of their rows are pages, and the opened wrapper of each page's host."""
     memory: dict[str, object] = {}
     for whole in batches:
         for k in range(0, whole.num_rows, 256):
@@ -621,13 +672,13 @@ def paired(batches: Iterator[pa.RecordBatch], held) -> Iterator[tuple[pa.RecordB
             pages, wraps = [], []
             for n, host in enumerate(batch.column("host").to_pylist()):
                 if wrapped is not None and wrapped[n].is_valid:
-                    memory = {host: pickle.loads(wrapped[n].as_py())}
+                    memory = {host: opening(wrapped[n].as_py())}
                     continue
                 if host not in memory:
                     if len(memory) > 500:
                         memory.clear()
                     data = held.value.get(host) if held else None
-                    memory[host] = pickle.loads(data) if data else None
+                    memory[host] = opening(data) if data else None
                 pages.append(n)
                 wraps.append(memory[host])
             yield batch, pa.array(pages, pa.int64()), wraps

@@ -38,13 +38,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.blocks import blobs, documents, mixed, runs
-from tessel.llm.common import forget, input_bytes, partitions, released, stored
+from tessel.llm.blocks import blobs, documents, mixed, runs, spans
+from tessel.llm.common import forget, frugal, input_bytes, partitions, released, stored
 
 TRUSTED = 5
 ORDER = 3
 #: Tokens and documents of a block.
-BLOCK, BLOCK_DOCS = 2_000_000, 60_000
+BLOCK, BLOCK_DOCS = 1_000_000, 60_000
 #: Parts of the tables: at least so many, as many as shuffle partitions, and one for so many bytes of input.
 PARTS, PART_BYTES = 64, 4 << 20
 #: Training tokens of a history from which on its followers are dealt to one more part.
@@ -187,6 +187,7 @@ def read_blocks(rows: DataFrame, parts: int) -> DataFrame:
     """Blocks: documents and tokens (kind 0), and to each part its words with their counts in training (kind 1)."""
 
     def run(batches):
+        frugal()
         here, number = TaskContext.get().partitionId(), 0
         start, end = _symbols()
 
@@ -245,6 +246,7 @@ def number_words(parts: int):
     start, _ = _symbols()
 
     def run(key, table):
+        frugal()
         blocks, asked = table.column("block").to_pylist(), [loose(x) for x in blobs(table)]
         words = np.concatenate([x[0] for x in asked])
         order = np.argsort(words, kind="stable")
@@ -284,22 +286,23 @@ class Block:
     @staticmethod
     def of(data: bytes | memoryview) -> Block:
         ids, null, train, lengths, tokens, names, counts = loose(data)
-        return Block(ids, null, train, lengths, tokens.astype(np.int64), names, counts.astype(np.int64))
+        return Block(ids, null, train, lengths, tokens.astype(np.int32), names, counts.astype(np.int64))
 
     def document(self) -> np.ndarray:
         """Of each token; starts count as tokens."""
-        return np.repeat(np.arange(len(self.ids)), self.lengths + 1)
+        return np.repeat(np.arange(len(self.ids), dtype=np.int32), self.lengths + 1)
 
     def place(self) -> np.ndarray:
         """Of each token in its text; the start's is 0."""
-        sizes = self.lengths.astype(np.int64) + 1
-        return np.arange(len(self.tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        sizes = self.lengths + 1
+        return np.arange(len(self.tokens), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
 
 
 def named(parts: int):
     """Puts what the parts told of a block's words to its tokens."""
 
     def run(key, left, right):
+        frugal()
         name = key[0].as_py()
         ids, null, train, lengths, words, tokens = loose(blobs(left)[0])
         order, at = word_order(words, parts)
@@ -345,49 +348,63 @@ class Level:
 
     @staticmethod
     def of(own: Block, k: int, parts: int) -> Level:
-        v = len(own.names)
-        at = np.flatnonzero(own.place() >= k - 1)
+        v = np.uint64(len(own.names))
+        at = np.flatnonzero(own.place() >= k - 1).astype(np.int32)
         key = own.tokens[at - k + 1].astype(np.uint64)
         for j in range(k - 2, -1, -1):
-            key = key * np.uint64(v) + own.tokens[at - j].astype(np.uint64)
-        kinds, gram = np.unique(key, return_inverse=True)
-        before, word = np.divmod(kinds, np.uint64(v))
-        word = word.astype(np.int64)
+            key *= v
+            key += own.tokens[at - j].astype(np.uint64)
+        order = np.argsort(key)
+        kinds = key[order]
+        first, size = runs(kinds)
+        kinds = kinds[first]
+        gram = np.empty(len(order), np.int32)
+        gram[order] = np.repeat(np.arange(len(first), dtype=np.int32), size)
+        del order, key
+        count = np.bincount(gram[own.train[own.document()[at]]], minlength=len(kinds)).astype(np.int32)
+        before, word = np.divmod(kinds, v)
+        word = word.astype(np.int32)
         first, size = runs(before)
-        history = np.repeat(np.arange(len(first)), size)
-        learned = own.train[own.document()[at]]
-        count = np.bincount(gram[learned], minlength=len(kinds))
+        history = np.repeat(np.arange(len(first), dtype=np.int32), size)
         rest, local = before[first], []
-        for _ in range(k - 1):
-            rest, last = np.divmod(rest, np.uint64(v))
-            local.insert(0, last.astype(np.int64))
+        del before, kinds
+        for _ in range(k - 2):
+            rest, last = np.divmod(rest, v)
+            local.insert(0, last.astype(np.int32))
+        local.insert(0, rest.astype(np.int32))
         # How often a history can have been seen: no more than its rarest word (the start: than there are texts).
         most = np.full(len(first), np.iinfo(np.int64).max)
         for x in local:
             most = np.minimum(most, np.where(own.names[x] == START, most, own.counts[x]))
         salts = np.where(most == np.iinfo(np.int64).max, 1, 1 + most // SPLIT)
-        begin = np.cumsum(salts) - salts
-        unit = begin[history] + (mixed(own.names[word].astype(np.uint64)) % salts.astype(np.uint64)[history]).astype(np.int64)
-        owner = np.repeat(np.arange(len(first)), salts)
-        salt = np.arange(len(owner)) - begin[owner]
+        begin = (np.cumsum(salts) - salts).astype(np.int32)
+        owner = np.repeat(np.arange(len(first), dtype=np.int32), salts)
+        salt = np.arange(len(owner), dtype=np.int32) - begin[owner]
+        unit, sorted_by_unit = begin[history], None
+        if (salts > 1).any():
+            unit = unit + (mixed(own.names[word].astype(np.uint64)) % salts.astype(np.uint64)[history]).astype(np.int32)
+            sorted_by_unit = np.argsort(unit, kind="stable")
         names = [own.names[x][owner] for x in local]
         spread = mixed(salt.astype(np.uint64))
         for x in names:
             spread = mixed(spread ^ x.astype(np.uint64))
-        part = (spread % np.uint64(parts)).astype(np.int32)
+        part = (spread % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int32)
+        del spread
         units_by_part, unit_bounds = grouped(part, parts)
-        rank = np.empty(len(owner), np.int64)
-        rank[units_by_part] = np.arange(len(owner))
-        by_part = np.argsort(rank[unit], kind="stable")
         fan = np.bincount(unit, minlength=len(owner))
+        by_part = spans((np.cumsum(fan) - fan)[units_by_part], fan[units_by_part])
+        if sorted_by_unit is not None:
+            by_part = sorted_by_unit[by_part]
         bounds = np.r_[0, np.cumsum(fan[units_by_part])][unit_bounds].tolist()
-        return Level(at, gram, history, word, count, names, salt, unit, owner, salts > 1, by_part, bounds, units_by_part, unit_bounds, fan)
+        return Level(at, gram, history, word, count, names, salt, unit, owner, salts > 1, by_part.astype(np.int32), bounds, units_by_part.astype(np.int32), unit_bounds, fan)
 
 
 def ask_counts(blocks: DataFrame, k: int, parts: int) -> DataFrame:
     def run(batches):
+        frugal()
         for name, raw in documents(batches, 1):
             own = Block.of(raw)
+            del raw
             level = Level.of(own, k, parts)
 
             def messages(own=own, level=level):
@@ -400,6 +417,7 @@ def ask_counts(blocks: DataFrame, k: int, parts: int) -> DataFrame:
                         yield p, tight(small(level.fan[u]), words[c:d], small(counts[c:d]), small(level.salt[u]), *(x[u] for x in level.names))
 
             yield from sent(name, messages())
+            own = level = None
         released()
 
     return blocks.mapInArrow(run, ROWS)
@@ -407,11 +425,13 @@ def ask_counts(blocks: DataFrame, k: int, parts: int) -> DataFrame:
 
 def same_units(names: list[np.ndarray], salt: np.ndarray) -> np.ndarray:
     """A number for each unit, the same for the same history and salt."""
-    order = np.lexsort((salt, *reversed(names)))
+    key = names[0].astype(np.uint64)
+    for x in names[1:]:  # two at most
+        key = key << np.uint64(32) | x
+    order = np.lexsort((salt, key)) if salt.any() else np.argsort(key, kind="stable")
+    key, salt = key[order], salt[order]
     new = np.zeros(len(order), bool)
-    for x in (*names, salt):
-        x = x[order]
-        new[1:] |= x[1:] != x[:-1]
+    new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
     out = np.empty(len(order), np.int64)
     out[order] = np.cumsum(new)
     return out
@@ -420,6 +440,7 @@ def same_units(names: list[np.ndarray], salt: np.ndarray) -> np.ndarray:
 def give_counts(key, table):
     """To each block: its n-grams' counts, which of them it stands for, each unit's sum, whether one of its n-grams is
     discounted, and whether any block backs off from it."""
+    frugal()
     blocks, asked = table.column("block").to_pylist(), [loose(x) for x in blobs(table)]
     fans = [x[0].astype(np.int64) for x in asked]
     fan, word, count, salt = (np.concatenate(x) for x in (fans, [x[1] for x in asked], [x[2].astype(np.int64) for x in asked], [x[3].astype(np.int64) for x in asked]))
@@ -496,6 +517,7 @@ def ask_weights(k: int, parts: int, words: Words, discounts: dict[int, Discounts
     the one below), and whether the block wants the sums."""
 
     def run(key, left, right):
+        frugal()
         own = Block.of(blobs(left)[0])
         level = Level.of(own, k, parts)
         counted = Counted.of(level, of_length(right, k))
@@ -506,11 +528,12 @@ def ask_weights(k: int, parts: int, words: Words, discounts: dict[int, Discounts
             lower = Level.of(own, k - 1, parts)
             lower_p = Counted.of(lower, of_length(right, k - 1)).probability(lower, discounts[k - 1])
             # The n-gram without its first word ends at the same token.
-            of_token = np.empty(len(own.tokens), np.int64)
+            of_token = np.empty(len(own.tokens), np.int32)
             of_token[lower.at] = lower.gram
-            shorter = np.empty(len(level.word), np.int64)
+            shorter = np.empty(len(level.word), np.int32)
             shorter[level.gram] = of_token[level.at]
             below = lower_p[shorter]
+            del lower, lower_p, of_token, shorter
         mine = counted.stands & counted.wanted[level.unit]
         units = len(level.owner)
         mass, base = np.bincount(level.unit[mine], p[mine], units), np.bincount(level.unit[mine], below[mine], units)
@@ -553,6 +576,7 @@ def evaluate(order: int, parts: int, words: Words, discounts: dict[int, Discount
     """The recursion for each token of a block, and the sums of its documents."""
 
     def run(key, left, right):
+        frugal()
         own = Block.of(blobs(left)[0])
         p = words.probability(own.counts)[own.tokens]
         for k in range(2, order + 1):
@@ -569,6 +593,7 @@ def evaluate(order: int, parts: int, words: Words, discounts: dict[int, Discount
             seen, history = counted.count[level.gram] > 0, level.history[level.gram]
             backed = np.where(wants[history], weight[history], 1.0) * p[level.at]
             p[level.at] = np.where(seen, counted.probability(level, discounts[k])[level.gram], backed)
+            del level, counted, seen, history, backed
         real, doc = own.place() > 0, own.document()
         known = own.counts[own.tokens]
         base_score = np.log10((known + 1) / (words.total + words.vocabulary + 1))

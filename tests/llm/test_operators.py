@@ -510,7 +510,7 @@ def test_large_wrappers_are_kept(spark, monkeypatch, bound):
     rows = [(n, f"https://{host}/{n}", f"<html><body>{frame}<div class='text'><p>Own {host} {n}</p></div></body></html>") for host, count in (("hot", 60), ("b", 8)) for n in range(count)]
     rows.append((None, None, "<p>alone</p>"))
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    assert len(pickle.dumps(html_extract.skeleton([r[2] for r in rows[:12]]), 5)) > 16_384
+    assert len(html_extract.written(html_extract.skeleton([r[2] for r in rows[:12]]))) > 8_000
     got = sorted((r.url or "", r.text) for r in html_extract.extract(df).collect())
     assert got == sorted([("", "alone"), *((u, f"Own {u.split('/')[2]} {n}") for n, u, _ in rows[:-1])])
 
@@ -536,6 +536,64 @@ def test_templates_are_of_all_pages(spark, monkeypatch, bound):
     assert {n: got[n] for n in want} == want
 
 
+def test_alignment_decides_where_names_say_nothing(spark):
+    """Neutral elements and classes: which block is the article only the pages together can tell."""
+    rows, want = [], {}
+    for n in range(9):
+        own = [f"Line {n} of {k} and more" for k in range(4)]
+        body = "<div class='a'><p>Home</p><p>Sections</p></div>" + f"<div class='b'><div class='c'><h2>Title {n}</h2>{''.join(f'<p>{t}</p>' for t in own)}<p>Read us every day</p></div></div>" + "<div class='d'><p>All rights are ours</p><p>Contact</p></div>"
+        rows.append((n, f"https://plain.org/{n}", f"<html><body>{body}</body></html>"))
+        want[n] = "\n\n".join([f"Title {n}", *own])
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+    assert all(html_extract.main_text(source, None) != want[n] for n, _, source in rows)
+
+
+def test_loose_names_stay_in_articles():
+    page = "<body><div class='social'>follow</div><article><section class='legal analysis'><p>Law</p></section><div class='social-history'><p>Then</p></div><div class='post-comments'><p>me too</p></div></article></body>"
+    assert html_extract.main_text(page, None) == "Law\n\nThen"
+    assert html_extract.main_text("<body><div class='social'>follow</div><p>text</p></body>", None) == "text"
+
+
+def test_skeletons_are_written_and_read():
+    top = html_extract.skeleton([PAGE.format(n=k) for k in range(3)])
+    assert html_extract.read(html_extract.written(top)) == top
+
+
+def test_deep_and_long_pages(spark):
+    deep = "<div>" * 20_000 + "{n} deep" + "</div>" * 20_000
+    rows = [(n, f"https://deep.org/{n}", deep.format(n=n)) for n in range(6)]
+    rows += [(10 + n, f"https://long.org/{n}", "<body>" + "".join(f"<p>{n} {k}</p>" for k in range(30_000)) + "</body>") for n in range(5)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()}
+    assert {n: got[n] for n in range(6)} == {n: f"{n} deep" for n in range(6)}
+    assert all(got[10 + n] == "\n\n".join(f"{n} {k}" for k in range(30_000)) for n in range(5))
+
+
+def naive_matching(a, b):
+    """Simple tree matching by its recurrence, without any memory."""
+    if not a or not b:
+        return 0
+    best = max(naive_matching(a[:-1], b), naive_matching(a, b[:-1]))
+    if a[-1].label == b[-1].label:
+        best = max(best, naive_matching(a[:-1], b[:-1]) + 1 + naive_matching(a[-1].children, b[-1].children))
+    return best
+
+
+def test_matching_is_brute_force(monkeypatch):
+    rng = random.Random(9)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1) if depth else ''}</{t}>" for t in rng.choices(("div", "span", "b"), k=rng.randint(0, 4)))
+
+    for _ in range(60):
+        a, b = (html_extract.fold(html_extract.parse(tree(2)).children) for _ in range(2))
+        want = naive_matching(a, b)
+        assert html_extract.matching(a, b, {})[0] == want
+        with monkeypatch.context() as m:
+            m.setattr(html_extract, "CELLS", 0)
+            assert html_extract.matching(a, b, {})[0] == want
+
+
 def test_tree_matching():
     def tree(s):
         return html_extract.fold(html_extract.parse(s).children)
