@@ -9,6 +9,8 @@ from difflib import SequenceMatcher
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessel.functions.prices import LOCAL_PROVIDERS, PRICES
+
 # ---------------------------------------------------------------------------------------------------------- hashes
 
 
@@ -63,7 +65,10 @@ def judge_verdict(answer: Column) -> Column:
 
 
 def judge_explanation(answer: Column) -> Column:
-    return F.trim(F.get(F.split(F.regexp_extract(answer, r"(?s)Explanation:\s*(.*)", 1), "###"), F.lit(0)))
+    """What stands behind "Explanation:" up to a ###; the whole answer if there is no such part."""
+    said = F.when(answer.rlike(r"(?s)Explanation:\s*."), F.regexp_extract(answer, r"(?s)Explanation:\s*(.+)", 1)).otherwise(answer)
+    first = F.get(F.split(said, "###"), F.lit(0))
+    return F.regexp_replace(first, r"^\s+|\s+$", "")
 
 
 def judge_parse(answer: Column) -> Column:
@@ -74,15 +79,15 @@ def judge_parse(answer: Column) -> Column:
 
 #: Words that tell a question's type, tried in this order.
 QUESTION_WORDS = (
-    ("multi_hop", ("relationship between", "how does", "connection", "impact of", "lead to")),
-    ("explanatory", ("why", "how", "explain", "describe")),
-    ("comparative", ("compare", "difference", "versus", " vs ", "better", "similar")),
-    ("definitional", ("what is", "what are", "define", "meaning of")),
+    ("multi_hop", ("and also", "in addition", "furthermore", "both")),
+    ("explanatory", ("how", "why", "explain")),
+    ("comparative", ("difference", "compare", "versus", "vs")),
+    ("definitional", ("what is", "define", "meaning of")),
 )
 
 
 def question_type(question: Column, allowed: tuple[str, ...] = ("multi_hop", "explanatory", "comparative", "definitional", "factual")) -> Column:
-    low, out = F.lower(question), F.lit("factual" if "factual" in allowed else allowed[0])
+    low, out = F.lower(question), F.lit("factual" if "factual" in allowed or not allowed else allowed[0])
     for kind, words in reversed(QUESTION_WORDS):
         if kind in allowed:
             hit = F.lit(False)
@@ -117,16 +122,18 @@ def _embedded(text: Column, pattern: str, kind: str) -> Column:
 
 # ------------------------------------------------------------------------------------------------------ personal data
 
-#: Whole-value patterns of personal data.
+#: Whole-value patterns of Unix and Windows paths, home folders, mail and IP addresses, and user names.
 PII_PATTERNS = (
-    r"^[\w.+-]+@[\w-]+\.[\w.-]+$",
-    r"^\+?[0-9][0-9\s().-]{7,}$",
-    r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$",
-    r"^[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{4}$",
-    r"^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}$",
+    r"^(/[^/\s]+)+/?$",
+    r"^[A-Za-z]:\\.*$",
+    r"^~[/\\].*$",
+    r"^[\w.+-]+@[\w.-]+\.\w+$",
+    r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$",
+    r"(?i)^user[_-]?\d+$",
+    r"(?i)^[a-z]{2,}\d{2,}$",
 )
 #: Names of fields that hold personal data.
-PII_KEYS = ("email", "phone", "ssn", "address", "name", "first_name", "last_name", "password", "token", "api_key", "secret", "credit_card", "ip", "ip_address", "user_id", "username")
+PII_KEYS = ("source", "source_uri", "source_path", "file_path", "path", "filename", "file", "user", "username", "user_id", "author", "email", "ip", "ip_address", "host", "hostname")
 
 
 def looks_like_pii(value: Column) -> Column:
@@ -151,6 +158,38 @@ def sanitized_map(values: Column, mode: str = "redact") -> Column:
     return F.transform_values(values, lambda k, v: F.when(F.lower(k).isin(keys) | looks_like_pii(v), sha256_hex(v) if mode == "hash" else F.lit("[REDACTED]")).otherwise(v))
 
 
+def _covered(value: object, mode: str, key: str | None = None) -> object:
+    """A JSON value: strings are covered, objects and lists of objects looked into, strings within lists left."""
+    import hashlib
+
+    if isinstance(value, str):
+        telling = (key or "").lower() in PII_KEYS or (len(value) >= 3 and any(re.match(p, value) for p in PII_PATTERNS))
+        return value if not telling else hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest() if mode == "hash" else "[REDACTED]"
+    if isinstance(value, dict):
+        return {k: _covered(v, mode, k) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_covered(v, mode) if isinstance(v, dict) else v for v in value]
+    return value
+
+
+def sanitized_json(text: Column, mode: str = "redact") -> Column:
+    """A JSON object with nested values, in Arrow batches; what isn't an object is left."""
+    import pandas as pd
+
+    def one(raw):
+        try:
+            value = json.loads(raw) if raw is not None else None
+        except ValueError:
+            return raw
+        return canonical(_covered(value, mode)) if isinstance(value, dict) else raw
+
+    @F.pandas_udf("string")
+    def run(part):
+        return pd.Series([one(t) for t in part], dtype="object")
+
+    return text if mode == "full" else run(text)
+
+
 # ----------------------------------------------------------------------------------------------------- tokens, prices
 
 
@@ -158,17 +197,25 @@ def estimated_tokens(text: Column) -> Column:
     return F.floor(F.char_length(F.coalesce(text, F.lit(""))) / 4).cast("long")
 
 
-def priced(usage: DataFrame, prices: DataFrame, *, local: tuple[str, ...] = ("local",)) -> DataFrame:
-    """Adds cost: price per 1,000 tokens by model, exact name first, then lower case, else 0; local providers are free.
+def priced(usage: DataFrame, custom: DataFrame | None = None, *, prices: tuple = PRICES, local: tuple[str, ...] = LOCAL_PROVIDERS) -> DataFrame:
+    """Adds cost: ``custom`` prices by the model's exact name come first, even for local providers; these cost nothing else.
+    Then the list's price by exact name, then by the name in lower case; unknown models cost nothing.
 
-    ``prices`` (model, input_price, output_price) is a list of models, a few thousand rows at most, and broadcast.
+    Prices (model, input_per_m, output_per_m) are for a million tokens.  Both lists are ones that people write, a few thousand
+    rows at most, and broadcast.
     """
-    exact = F.broadcast(prices.select(F.col("model").alias("__m"), F.struct("input_price", "output_price").alias("__p")))
-    low = F.broadcast(prices.select(F.lower("model").alias("__l"), F.struct("input_price", "output_price").alias("__q")).dropDuplicates(["__l"]))
-    joined = usage.join(exact, usage["model"] == F.col("__m"), "left").join(low, F.lower(usage["model"]) == F.col("__l"), "left")
-    price = F.coalesce("__p", "__q")
-    cost = F.when(F.col("provider").isin(*local), 0.0).otherwise((F.col("input_tokens") * F.coalesce(price["input_price"], F.lit(0.0)) + F.col("output_tokens") * F.coalesce(price["output_price"], F.lit(0.0))) / 1000)
-    return joined.withColumn("cost", cost).drop("__m", "__p", "__l", "__q")
+    spark = usage.sparkSession
+    listed = spark.createDataFrame(list(prices), "model string, input_per_m double, output_per_m double")
+    own = custom if custom is not None else listed.limit(0)
+
+    def side(df: DataFrame, key: str, name: str) -> DataFrame:
+        return F.broadcast(df.select(F.col("model").alias(key), F.struct("input_per_m", "output_per_m").alias(name)).dropDuplicates([key]))
+
+    joined = usage.join(side(own, "__c", "__x"), usage["model"] == F.col("__c"), "left").join(side(listed, "__m", "__p"), usage["model"] == F.col("__m"), "left").join(side(listed, "__l", "__q"), F.lower(usage["model"]) == F.col("__l"), "left")
+    free = F.struct(F.lit(0.0).alias("input_per_m"), F.lit(0.0).alias("output_per_m"))
+    price = F.coalesce(F.col("__x"), F.when(F.lower("provider").isin(*local), free), F.col("__p"), F.col("__q"), free)
+    cost = F.col("input_tokens") / 1_000_000 * price["input_per_m"] + F.col("output_tokens") / 1_000_000 * price["output_per_m"]
+    return joined.withColumn("cost", cost).drop("__c", "__x", "__m", "__p", "__l", "__q")
 
 
 # -------------------------------------------------------------------------------------------------------- similarity

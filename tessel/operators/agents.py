@@ -19,19 +19,31 @@ def bag_match(actual: DataFrame, expected: DataFrame, *, trace: str = "trace", t
     return a.join(b, [trace, tool, "__rn"], "left").withColumn("matched", F.col("expected_idx").isNotNull()).drop("__rn")
 
 
-def tool_metrics(actual: DataFrame, expected: DataFrame, *, trace: str = "trace", tool: str = "tool") -> DataFrame:
-    """precision, recall and f1 of each trace by counts of calls; both sides empty gives 1, one of them 0.
+def tool_metrics(actual: DataFrame, expected: DataFrame | None = None, *, trace: str = "trace", tool: str = "tool") -> DataFrame:
+    """precision, recall and f1 of each trace by counts of calls.  Without calls and expectations all are 1, without calls
+    0; where nothing is expected recall is 1.  Without ``expected`` (nothing is known of it) they are null.
 
     The bag intersection needs only counts of each name, so it is two small aggregates and a join of them.
     """
     a = actual.groupBy(trace, tool).agg(F.count("*").alias("__a"))
+    if expected is None:
+        none = F.lit(None).cast("double")
+        return a.groupBy(trace).agg(F.sum("__a").alias("n_actual")).withColumns({"precision": none, "recall": none, "f1": none})
     b = expected.groupBy(trace, tool).agg(F.count("*").alias("__b"))
     both = a.join(b, [trace, tool], "full_outer").select(trace, F.coalesce("__a", F.lit(0)).alias("a"), F.coalesce("__b", F.lit(0)).alias("b"))
     agg = both.groupBy(trace).agg(F.sum("a").alias("n_actual"), F.sum("b").alias("n_expected"), F.sum(F.least("a", "b")).alias("n_matched"))
     none = (F.col("n_actual") == 0) & (F.col("n_expected") == 0)
     p = F.when(none, 1.0).when(F.col("n_actual") == 0, 0.0).otherwise(F.try_divide("n_matched", "n_actual"))
-    r = F.when(none, 1.0).when(F.col("n_expected") == 0, 0.0).otherwise(F.try_divide("n_matched", "n_expected"))
-    return agg.withColumns({"precision": p, "recall": r}).withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
+    r = F.when(F.col("n_expected") == 0, 1.0).otherwise(F.try_divide("n_matched", "n_expected"))
+    counts = {"n_unnecessary": F.col("n_actual") - F.col("n_matched"), "n_missing": F.col("n_expected") - F.col("n_matched")}
+    return agg.withColumns({"precision": p, "recall": r} | counts).withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
+
+
+def argument_presence(matched: DataFrame, *, args: str = "args", required: str = "required_args") -> Column:
+    """Share of the required argument names (an array) that a call's arguments (a map) have; 1 where none is required."""
+    need = F.coalesce(F.col(required), F.array().cast("array<string>"))
+    have = F.size(F.filter(need, lambda n: F.coalesce(F.array_contains(F.map_keys(F.col(args)), n), F.lit(False))))
+    return F.when(F.size(need) == 0, 1.0).otherwise(have / F.size(need))
 
 
 def call_score(name_correct: Column, args_share: Column, success: Column) -> Column:
@@ -100,43 +112,63 @@ def goal_progress(scored: DataFrame, *, trace: str = "trace", order: str = "idx"
 REDUNDANT = "trace string, idx long, like_idx long, similarity double"
 
 
-def redundant_steps(steps: DataFrame, *, limit: float = 0.8, most: int = 2000) -> DataFrame:
-    """Steps whose content is like one that was kept before; a fold in order, so each trace is one group.
+#: Steps of a trace that one task compares at a time.
+PORTION = 500
+
+
+def _portions(steps: DataFrame) -> DataFrame:
+    """Steps with contents that aren't blank, by trace in portions of their order."""
+    rows = steps.select(F.col("trace").cast("string").alias("trace"), F.col("idx").cast("long").alias("idx"), "content")
+    number = F.row_number().over(Window.partitionBy("trace").orderBy("idx")) - 1
+    return rows.withColumn("portion", F.floor(number / PORTION).cast("long"))
+
 
-    ``most`` bounds a trace's steps (more is an error): the fold compares each with all kept ones."""
+def _pairs_like(rows: DataFrame, limit: float, apart: int) -> DataFrame:
+    """trace, idx, like_idx (the earlier step) and similarity of pairs of steps of like content.  Portions meet two by two,
+    each pair of them in a group of its own, so a trace of any length is spread over tasks."""
+    counts = rows.groupBy("trace").agg((F.max("portion") + 1).alias("portions"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1))
+    met = rows.join(counts, "trace").withColumn("other", other).withColumns({"low": F.least("portion", "other"), "high": F.greatest("portion", "other")})
 
     def run(group):
         import pandas as pd
 
-        if len(group) > most:
-            raise ValueError(f"a trace of {len(group)} steps")
-        kept, out = [], []
-        for idx, content in group.sort_values("idx")[["idx", "content"]].itertuples(index=False):
-            if not content or not content.strip():
-                continue
-            like = next(((k, r) for k, c in kept if (r := ratio(c, content)) >= limit), None)
-            if like:
-                out.append((str(group["trace"].iloc[0]), idx, like[0], like[1]))
-            else:
-                kept.append((idx, content))
+        own = list(group.sort_values("idx")[["idx", "content", "portion"]].itertuples(index=False))
+        low, high = int(group["low"].iloc[0]), int(group["high"].iloc[0])
+        name, out = str(group["trace"].iloc[0]), []
+        for n, (i, a, p) in enumerate(own):
+            for j, b, q in own[n + 1 :]:
+                if {p, q} == {low, high} and j - i > apart and (r := ratio(a or "", b or "")) >= limit:
+                    out.append((name, j, i, r))
         return pd.DataFrame(out, columns=["trace", "idx", "like_idx", "similarity"])
 
-    return steps.select(F.col("trace").cast("string").alias("trace"), F.col("idx").cast("long").alias("idx"), "content").groupBy("trace").applyInPandas(run, REDUNDANT)
+    return met.groupBy("trace", "low", "high").applyInPandas(run, REDUNDANT)
 
 
-def similar_thoughts(steps: DataFrame, *, limit: float = 0.85, most: int = 2000) -> DataFrame:
-    """Pairs of thoughts of a trace, not next to each other, of like content."""
+def redundant_steps(steps: DataFrame, *, limit: float = 0.8) -> DataFrame:
+    """Steps whose content is like one that was kept before (the first of these).
 
-    def run(group):
+    Likeness is found for all pairs of a trace's steps; which of them are kept is a fold over the like pairs alone."""
+    like = _pairs_like(_portions(steps.where("trim(coalesce(content, '')) <> ''")), limit, 0)
+
+    def fold(group):
         import pandas as pd
 
-        if len(group) > most:
-            raise ValueError(f"a trace of {len(group)} thoughts")
-        rows = list(group.sort_values("idx")[["idx", "content"]].itertuples(index=False))
-        out = [(str(group["trace"].iloc[0]), j, i, r) for n, (i, a) in enumerate(rows) for j, b in rows[n + 1 :] if j - i > 1 and (r := ratio(a or "", b or "")) >= limit]
+        gone, out = set(), []
+        for (name, idx), own in group.sort_values(["idx", "like_idx"]).groupby(["trace", "idx"], sort=True):
+            kept = [(k, r) for k, r in own[["like_idx", "similarity"]].itertuples(index=False) if k not in gone]
+            if kept:
+                gone.add(idx)
+                out.append((name, idx, *kept[0]))
         return pd.DataFrame(out, columns=["trace", "idx", "like_idx", "similarity"])
 
-    return steps.where("step_type = 'thought'").select(F.col("trace").cast("string").alias("trace"), F.col("idx").cast("long").alias("idx"), "content").groupBy("trace").applyInPandas(run, REDUNDANT)
+    return like.groupBy("trace").applyInPandas(fold, REDUNDANT)
+
+
+def similar_thoughts(steps: DataFrame, *, limit: float = 0.85) -> DataFrame:
+    """Pairs of thoughts of a trace, not next to each other, of like content in lower case and without outer spaces."""
+    thoughts = steps.where("step_type = 'thought'").withColumn("content", F.trim(F.lower("content")))
+    return _pairs_like(_portions(thoughts), limit, 1)
 
 
 # ------------------------------------------------------------------------------------------------------------- parsers

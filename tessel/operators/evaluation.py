@@ -10,7 +10,8 @@ from tessel.functions import retrieval as R
 MEASURES = ("precision", "recall", "mrr", "ndcg")
 #: Good and warning limits; a hallucination is better if lower.
 STATUS = {"precision": (0.8, 0.6), "recall": (0.8, 0.6), "mrr": (0.8, 0.5), "ndcg": (0.8, 0.6), "faithfulness": (0.8, 0.6), "relevance": (0.8, 0.6), "hallucination": (0.2, 0.4)}
-LOWER_IS_BETTER = ("latency_ms", "hallucination", "cost")
+LOWER_IS_BETTER = ("latency_ms", "avg_latency_ms", "total_latency_ms", "latency", "hallucination", "cost")
+LATENCY = "total_latency_ms"
 
 
 def score_runs(runs: DataFrame, k: int = 10, *, retrieved: str = "retrieved", relevant: str = "relevant") -> DataFrame:
@@ -97,18 +98,20 @@ def winners(summaries: DataFrame, *, config: str = "config", order: str = "confi
     return long.groupBy("metric").agg(best.alias("b")).select("metric", F.col(f"b.{config}").alias("winner"), F.col("b.value").alias("value"))
 
 
-def pairwise(summaries: DataFrame, *, config: str = "config", order: str = "config_idx", measures: tuple[str, ...] = MEASURES) -> DataFrame:
-    """Every two configurations by each measure: difference, change in per cent of the first, and the winner or tie.
+def pairwise(summaries: DataFrame, *, config: str = "config", order: str = "config_idx", measures: tuple[str, ...] = (*MEASURES, LATENCY)) -> DataFrame:
+    """Every two configurations by each measure: the first less the second, that in per cent of the second, and the winner or
+    tie.  Against a second of 0 the change is 100 or -100 per cent, of a latency 0.
 
     Configurations are a handful of rows; the pairs are of these, joined by the measure's name."""
     long = melted(summaries, [config, order], measures)
     a, b = long.alias("a"), long.alias("b")
     joined = a.join(b, (F.col("a.metric") == F.col("b.metric")) & (F.col(f"a.{order}") < F.col(f"b.{order}")))
-    diff = F.col("b.value") - F.col("a.value")
-    change = F.when(F.col("a.value") != 0, diff / F.abs(F.col("a.value")) * 100).otherwise(F.when(diff == 0, 0.0).otherwise(F.when(diff > 0, 100.0).otherwise(-100.0)))
+    diff = F.col("a.value") - F.col("b.value")
+    void = F.when(F.col("a.metric") == LATENCY, 0.0).when(diff > 0, 100.0).when(diff < 0, -100.0).otherwise(0.0)
+    change = F.when(F.col("b.value") != 0, diff / F.col("b.value") * 100).otherwise(void)
     good = _better(F.col("a.metric"), diff)
-    winner = F.when(good > 0, F.col(f"b.{config}")).when(good < 0, F.col(f"a.{config}")).otherwise("tie")
-    return joined.select(F.col("a.metric").alias("metric"), F.col(f"a.{config}").alias("config_a"), F.col(f"b.{config}").alias("config_b"), diff.alias("difference"), change.alias("change_pct"), winner.alias("winner"))
+    winner = F.when(good > 0, F.col(f"a.{config}")).when(good < 0, F.col(f"b.{config}")).otherwise("tie")
+    return joined.select(F.col("a.metric").alias("metric"), F.col(f"a.{config}").alias("config_a"), F.col(f"b.{config}").alias("config_b"), F.col("a.value").alias("value_a"), F.col("b.value").alias("value_b"), diff.alias("difference"), change.alias("percent_change"), winner.alias("winner"))
 
 
 # ----------------------------------------------------------------------------------------- gates, regressions, baselines
@@ -124,33 +127,57 @@ def gate(values: DataFrame, thresholds: DataFrame) -> DataFrame:
     return out.select("run", F.when(F.col("l") == 2, "FAIL").when(F.col("l") == 1, "WARN").otherwise("PASS").alias("status"), F.when(F.col("l") == 2, 1).when(F.col("l") == 1, 2).otherwise(0).alias("exit_code"), F.col("n_missed").cast("long").alias("n_missed"))
 
 
-def regressions(before: DataFrame, now: DataFrame, by: list[str], *, quality: float = 0.05, latency: float = 0.20) -> DataFrame:
-    """Measures (by, metric, value) that got worse than their threshold, relative to before; twice as much is critical.
-    A baseline of 0 is skipped; a measure that is missing now counts as 0."""
+def regressions(before: DataFrame, now: DataFrame, by: list[str], *, quality: float = 0.05, latency: float = 0.20, critical: float = 2.0, queries: str | None = None) -> DataFrame:
+    """Measures (by, metric, value) that got worse by more than their threshold, in per cent of before; more than ``critical``
+    times as much is critical.  A baseline of 0 is skipped; a measure that is missing now counts as 0.  With ``queries``
+    (a column of both sides) runs of different numbers of queries are an error."""
+    if queries:
+        kept = [*by, "metric", "value", queries]
+        now = now.select(*kept).join(before.groupBy(*by).agg(F.max(queries).alias("__q")), by, "left")
+        alike = F.when(F.col(queries) != F.col("__q"), F.raise_error(F.concat(F.lit("the baseline has "), F.col("__q").cast("string"), F.lit(" queries, now there are "), F.col(queries).cast("string"))).cast("boolean")).otherwise(True)
+        now = now.where(alike)
     a = before.select(*by, "metric", F.col("value").alias("baseline"))
     b = now.select(*by, "metric", F.col("value").alias("current"))
     joined = a.join(b, [*by, "metric"], "left").withColumn("current", F.coalesce("current", F.lit(0.0))).where("baseline <> 0")
-    change = (F.col("current") - F.col("baseline")) / F.abs("baseline")
+    change = (F.col("current") - F.col("baseline")) / F.col("baseline") * 100
     lower = F.col("metric").isin(*LOWER_IS_BETTER)
-    limit = F.when(F.col("metric") == "latency_ms", latency).otherwise(quality)
+    limit = F.when(F.col("metric").contains("latency"), latency * 100).otherwise(quality * 100)
     worse = F.when(lower, change).otherwise(-change)
-    return joined.withColumn("change", change).withColumn("severity", F.when(worse >= 2 * limit, "critical").when(worse >= limit, "warning")).where(F.col("severity").isNotNull())
+    return joined.withColumn("change_percent", change).withColumn("severity", F.when(worse > limit * critical, "critical").when(worse > limit, "warning")).where(F.col("severity").isNotNull())
+
+
+def mean_latency(results: DataFrame, by: list[str], *, latency: str = "latency_ms") -> DataFrame:
+    """Mean and total latency of each run's queries, as the measures latency_ms and total_latency_ms."""
+    found = results.groupBy(*by).agg(F.avg(F.col(latency).cast("double")).alias("latency_ms"), F.sum(F.col(latency).cast("double")).alias(LATENCY))
+    return melted(found, by, ("latency_ms", LATENCY))
+
+
+def baseline_of(history: DataFrame, config: str, testset_hash: str | None = None) -> DataFrame:
+    """The baseline record of a configuration; one of another test set is an error."""
+    found = history.where((F.col("config") == config) & F.coalesce(F.col("is_baseline"), F.lit(False)))
+    if testset_hash is None:
+        return found
+    other = F.raise_error(F.concat(F.lit("the baseline is of another test set: "), F.col("testset_hash"))).cast("boolean")
+    return found.where(F.when(F.col("testset_hash") != testset_hash, other).otherwise(True))
 
 
 def against_baseline(values: DataFrame, reference: DataFrame) -> DataFrame:
-    """Values (run, metric, value) against a reference list (metric, reference, weight), which is broadcast."""
+    """Values (run, metric, value) against a reference list (metric, reference), which is broadcast; measures that the list
+    lacks are skipped."""
     joined = values.join(F.broadcast(reference), "metric")
     ref, value = F.col("reference"), F.col("value")
-    change = F.when(ref != 0, (value - ref) / ref * 100).otherwise(F.when(value > 0, 100.0).when(value < 0, -100.0).otherwise(0.0))
-    return joined.withColumn("change_pct", change).withColumn("better", F.when(F.col("metric").isin(*LOWER_IS_BETTER), change < 0).otherwise(change > 0))
+    difference = value - ref
+    change = F.when(ref != 0, difference / ref * 100).otherwise(F.when(difference > 0, 100.0).when(difference < 0, -100.0).otherwise(0.0))
+    return joined.withColumn("change_pct", change).withColumn("better", F.when(F.col("metric").isin(*LOWER_IS_BETTER), difference < 0).otherwise(difference > 0))
 
 
 def baseline_verdict(compared: DataFrame) -> DataFrame:
-    """Weighted score -1..1 of each run and what it says."""
-    sign = F.when(F.col("change_pct") == 0, 0.0).when(F.col("better"), 1.0).otherwise(-1.0)
-    score = F.sum(sign * F.col("weight")) / F.sum("weight")
+    """Score -1..1 of each run, changes weighted by their size in per cent, and what it says."""
+    size = F.abs("change_pct")
+    total = F.sum(size)
+    score = F.when(total > 0, F.sum(F.when(F.col("better"), size).otherwise(-size)) / total).otherwise(0.0)
     out = compared.groupBy("run").agg(score.alias("score"))
-    return out.withColumn("verdict", F.when(F.col("score") > 0.2, "above").when(F.col("score") < -0.2, "below").otherwise("at"))
+    return out.withColumn("verdict", F.when(F.col("score") > 0.2, "better").when(F.col("score") < -0.2, "below").otherwise("comparable"))
 
 
 # --------------------------------------------------------------------------------------------------------- differences

@@ -80,19 +80,24 @@ def fired(metrics: DataFrame, rules: DataFrame) -> DataFrame:
 def cooled(alerts: DataFrame, minutes: float = 5.0) -> DataFrame:
     """Alerts that a cooldown of each rule lets through: a fold over the rule's alerts in order of time.
 
-    Only times are gathered for the fold, by rule and in batches of sorted rows, so a rule's alerts pass through as a
-    stream of 8-byte numbers."""
+    Of several alerts of a rule at one time the one of least value can pass.  The fold takes distinct times alone, eight
+    bytes each; a rule's times are folded in one task, since each depends on the one before."""
+    first = alerts.groupBy("name", "at").agg(F.min_by(F.struct(*alerts.columns), "value").alias("r"))
 
     def run(group):
-        rows = group.sort_values(["at", "value"], kind="stable").reset_index(drop=True)
-        last, keep = None, []
-        for at in rows["at"]:
-            ok = last is None or (at - last).total_seconds() >= minutes * 60
-            keep.append(ok)
-            last = at if ok else last
-        return rows[keep]
+        import numpy as np
+        import pandas as pd
 
-    return alerts.groupBy("name").applyInPandas(run, alerts.schema)
+        times = np.sort(group["at"].to_numpy("datetime64[us]"))
+        wait, k, kept = np.timedelta64(round(minutes * 60e6), "us"), 0, []
+        while k < len(times):
+            kept.append(times[k])
+            k = max(k + 1, int(np.searchsorted(times, times[k] + wait, "left")))
+        return pd.DataFrame({"name": group["name"].iloc[0], "at": pd.Series(kept)})
+
+    kind = {f.name: f.dataType.simpleString() for f in alerts.schema.fields}
+    passed = first.select("name", "at").groupBy("name").applyInPandas(run, f"name {kind['name']}, at {kind['at']}")
+    return first.join(passed, ["name", "at"], "left_semi").select("r.*")
 
 
 # ----------------------------------------------------------------------------------------------------------------- cost
@@ -110,8 +115,7 @@ def cost_summary(usage: DataFrame) -> DataFrame:
 def rotated(history: DataFrame, most: int, *, ts: str = "ts", baseline: str = "is_baseline", key: str = "id") -> DataFrame:
     """At most ``most`` records: every baseline, and the newest of the others.
 
-    The number of baselines is added to each row's rank by a scalar subquery; the newest are found by a top-k, which
-    never sorts the whole table."""
+    Baselines are counted when the plan is made; the newest are found by a top-k, which never sorts the whole table."""
     fixed = history.where(F.coalesce(F.col(baseline), F.lit(False)))
     room = max(0, most - fixed.count())
     newest = history.where(~F.coalesce(F.col(baseline), F.lit(False))).orderBy(F.desc(ts), F.desc(key)).limit(room)

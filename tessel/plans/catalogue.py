@@ -96,19 +96,21 @@ LONG = " UNION ALL ".join(f"SELECT {{by}}, '{m}' AS metric, {m} AS value FROM {{
 
 def configs(spark, d) -> DataFrame:
     """Configurations: the status of orders."""
-    means = E.summarise(with_priority(spark, d), ["o_orderstatus"])
-    return means.select(F.col("o_orderstatus").alias("config"), F.ascii("o_orderstatus").alias("config_idx"), *E.MEASURES)
+    rows = with_priority(spark, d).withColumn("latency_ms", F.size("retrieved").cast("double"))
+    means = E.summarise(rows, ["o_orderstatus"])
+    total = E.mean_latency(rows, ["o_orderstatus"]).where(F.col("metric") == E.LATENCY).select("o_orderstatus", F.col("value").alias(E.LATENCY))
+    return means.join(total, "o_orderstatus").select(F.col("o_orderstatus").alias("config"), F.ascii("o_orderstatus").alias("config_idx"), *E.MEASURES, E.LATENCY)
 
 
-CONFIGS = f"{RUN5}, {PRIORITY}, c AS (SELECT o_orderstatus AS config, ascii(o_orderstatus) AS config_idx, {MEANS} FROM scored JOIN o ON l_orderkey = o_orderkey GROUP BY 1, 2), long AS ({LONG.format(by='config, config_idx', of='c')})"
+CONFIGS = f"{RUN5}, {PRIORITY}, parts AS (SELECT l_orderkey, count(*) AS parts FROM one GROUP BY 1), c AS (SELECT o_orderstatus AS config, ascii(o_orderstatus) AS config_idx, {MEANS}, CAST(sum(parts) AS DOUBLE) AS total_latency_ms FROM scored JOIN o ON l_orderkey = o_orderkey JOIN parts USING (l_orderkey) GROUP BY 1, 2), long AS ({LONG.format(by='config, config_idx', of='c')} UNION ALL SELECT config, config_idx, 'total_latency_ms' AS metric, total_latency_ms AS value FROM c)"
 
 
 def config_rankings(spark, d):
-    return rounded(E.rankings(configs(spark, d)))
+    return rounded(E.rankings(configs(spark, d), measures=(*E.MEASURES, E.LATENCY)))
 
 
 def config_winner(spark, d):
-    return rounded(E.winners(configs(spark, d)))
+    return rounded(E.winners(configs(spark, d), measures=(*E.MEASURES, E.LATENCY)))
 
 
 def config_pairwise(spark, d):
@@ -139,12 +141,12 @@ def gating_status(spark, d):
     return E.gate(now.withColumnRenamed("o_orderpriority", "run"), limits)
 
 
-REFERENCE = (("precision", 0.25, 1.0), ("recall", 0.9, 1.0), ("mrr", 0.4, 0.5), ("ndcg", 0.4, 2.0))
+REFERENCE = (("precision", 0.25), ("recall", 0.9), ("mrr", 0.4), ("ndcg", 0.4))
 
 
 def _compared(spark, d):
     _, now = halves(spark, d)
-    return E.against_baseline(now.withColumnRenamed("o_orderpriority", "run"), spark.createDataFrame(list(REFERENCE), "metric string, reference double, weight double"))
+    return E.against_baseline(now.withColumnRenamed("o_orderpriority", "run"), spark.createDataFrame(list(REFERENCE), "metric string, reference double"))
 
 
 def baseline_compare(spark, d):
@@ -160,7 +162,7 @@ def _values(rows) -> str:
 
 
 NOW = f"{HALVES}, now AS (SELECT o_orderpriority AS run, metric, value FROM long WHERE NOT early)"
-BASE = f"{NOW}, b AS (SELECT run, n.metric, value, reference, weight, CASE WHEN reference <> 0 THEN (value - reference) / reference * 100 WHEN value > 0 THEN 100.0 WHEN value < 0 THEN -100.0 ELSE 0.0 END AS change_pct FROM now n JOIN {_values(REFERENCE)} r(metric, reference, weight) ON n.metric = r.metric)"
+BASE = f"{NOW}, b AS (SELECT run, n.metric, value, reference, CASE WHEN reference <> 0 THEN (value - reference) / reference * 100 WHEN value > 0 THEN 100.0 WHEN value < 0 THEN -100.0 ELSE 0.0 END AS change_pct FROM now n JOIN (VALUES ('precision', 0.25::DOUBLE), ('recall', 0.9::DOUBLE), ('mrr', 0.4::DOUBLE), ('ndcg', 0.4::DOUBLE)) r(metric, reference) ON n.metric = r.metric)"
 
 
 def _two_runs(spark, d):
@@ -190,9 +192,11 @@ DIFF = f"{RUN5}, {AFTER}, q AS (SELECT b.l_orderkey AS idx, " + ", ".join(f"b.{m
 
 
 def dataset_diff(spark, d):
+    """Two versions of the documents: the first lacks one source, the second one language; long texts were changed."""
     docs = read(spark, d, "documents").select("doc_id", "text", "lang", "source")
-    old = docs.where(F.col("doc_id") % 10 != 1)
-    new = docs.where(F.col("doc_id") % 10 != 2).withColumn("text", F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).withColumn("lang", F.when(F.col("doc_id") % 30 == 3, F.lit("xx")).otherwise(F.col("lang")))
+    long = F.char_length("text") > 2500
+    old = docs.where("source <> 'src1'")
+    new = docs.where("lang <> 'es'").withColumns({"text": F.when(long, F.concat("text", F.lit("!"))).otherwise(F.col("text")), "lang": F.when(long & (F.col("lang") == "fr"), F.lit("xx")).otherwise(F.col("lang"))})
     return E.dataset_diff(old, new, "doc_id", ["text", "lang", "source"])
 
 
@@ -201,9 +205,9 @@ def dataset_keys(spark, d):
     return docs.select("doc_id", E.content_key(F.col("text"), F.array("source", "lang"), F.col("lang")).alias("content_key"), X.sha256_short(F.col("text")).alias("short_hash"), X.combined_fingerprint(F.col("text"), F.col("lang"), F.col("source")).alias("fingerprint"))
 
 
-def _golden(spark, d, whole=False):
+def _golden(spark, d):
     docs = read(spark, d, "documents")
-    return docs.select(F.col("doc_id").cast("string").alias("id"), (F.col("text") if whole else F.substring("text", 1, 80)).alias("question"), F.col("source").alias("answer"), F.array("lang", "source").alias("tags"), F.array("source").alias("source_docs"), F.when(F.col("n_chars") > 2000, "hard").otherwise("easy").alias("difficulty"), F.lit(None).cast("string").alias("priority"), F.when(F.col("doc_id") % 3 == 0, "x").alias("validated_by"))
+    return docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("question"), F.col("source").alias("answer"), F.array("lang", "source").alias("tags"), F.array("source").alias("source_docs"), F.when(F.col("n_chars") > 2000, "hard").otherwise("easy").alias("difficulty"), F.lit(None).cast("string").alias("priority"), F.when(F.col("lang") != "en", "x").alias("validated_by"))
 
 
 def golden_filter(spark, d):
@@ -219,8 +223,10 @@ def golden_testset(spark, d):
 
 
 def golden_diff(spark, d):
-    golden = _golden(spark, d, whole=True).select("id", "question", "answer")
-    return E.dataset_diff(golden.where("id % 7 <> 0"), golden.where("id % 5 <> 0").withColumn("answer", F.when(F.col("id") % 11 == 0, "new").otherwise(F.col("answer"))), "id", ["question", "answer"])
+    golden = _golden(spark, d).select("id", "question", "answer", "tags")
+    old = golden.where("not array_contains(tags, 'src2')").select("id", "question", "answer")
+    new = golden.where("not array_contains(tags, 'de')").select("id", "question", F.when(F.array_contains("tags", "fr"), "new").otherwise(F.col("answer")).alias("answer"))
+    return E.dataset_diff(old, new, "id", ["question", "answer"])
 
 
 def doc_min_length(spark, d):
@@ -344,24 +350,27 @@ def steps(spark, d) -> DataFrame:
     """Events as steps: traces are users; purchases, clicks, ... are tools, views are thoughts, errors failed calls."""
     e = read(spark, d, "events")
     idx = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return e.select(F.col("user_id").alias("trace"), idx.alias("idx"), F.when(F.col("event_type") == "view", "thought").otherwise("action").alias("step_type"), F.col("event_type").alias("tool"), F.lit("").alias("args"), F.when(F.col("value") > 90, "failed").alias("error"), F.col("event_type").alias("content"))
+    return e.select(F.col("user_id").alias("trace"), idx.alias("idx"), F.when(F.col("event_type") == "view", "thought").otherwise("action").alias("step_type"), F.col("event_type").alias("tool"), F.lit("").alias("args"), F.when(F.col("value") > 90, "failed").alias("error"), F.col("event_type").alias("content"), "value")
 
 
-STEPS = "s AS (SELECT user_id AS trace, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx, CASE WHEN event_type = 'view' THEN 'thought' ELSE 'action' END AS step_type, event_type AS tool, CASE WHEN value > 90 THEN 'failed' END AS error FROM events)"
+STEPS = "s AS (SELECT user_id AS trace, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx, CASE WHEN event_type = 'view' THEN 'thought' ELSE 'action' END AS step_type, event_type AS tool, CASE WHEN value > 90 THEN 'failed' END AS error, value FROM events)"
 
 
 def _expected(spark, d):
-    return steps(spark, d).where("idx % 3 <> 0").select("trace", "tool", "idx")
+    """What was expected of a trace: its cheaper steps, and clicks in place of views."""
+    return steps(spark, d).where("value <= 60").select("trace", F.when(F.col("tool") == "view", "click").otherwise(F.col("tool")).alias("tool"), "idx")
+
+
+def _calls(spark, d):
+    return steps(spark, d).where("step_type = 'action'").select("trace", "tool", "idx")
 
 
 def tool_use_metrics(spark, d):
-    calls = steps(spark, d).where("step_type = 'action' and idx % 2 = 0")
-    return rounded(agents.tool_metrics(calls, _expected(spark, d)))
+    return rounded(agents.tool_metrics(_calls(spark, d), _expected(spark, d)))
 
 
 def tool_bag_match(spark, d):
-    calls = steps(spark, d).where("step_type = 'action' and idx % 2 = 0")
-    return agents.bag_match(calls, _expected(spark, d)).select("trace", "idx", "tool", "expected_idx", "matched")
+    return agents.bag_match(_calls(spark, d), _expected(spark, d)).select("trace", "idx", "tool", "expected_idx", "matched")
 
 
 def tool_success(spark, d):
@@ -403,9 +412,11 @@ def goal_progress(spark, d):
 
 
 def _judged(spark, d):
+    """Answers of a judge that quote the text, some without a verdict or an explanation."""
     c = read(spark, d, "conversations")
     n = F.char_length("text") % 7
-    return c.select("conv_id", "turn", F.concat(F.lit("Score: "), n.cast("string"), F.when(n == 3, " Verdict: partial").otherwise(F.lit("")), F.lit("\nExplanation: "), F.col("role"), F.lit(" ### end")).alias("answer"))
+    said = F.concat(F.lit("\nExplanation: "), "text", F.lit(" ### end"))
+    return c.select("conv_id", "turn", F.concat(F.lit("Score: "), n.cast("string"), F.when(n == 3, " Verdict: partial").otherwise(F.lit("")), F.when(n == 5, F.lit("")).otherwise(said)).alias("answer"))
 
 
 def judge_parse(spark, d):
@@ -420,7 +431,7 @@ def judge_overall(spark, d):
 def _claims(spark, d):
     c = read(spark, d, "conversations")
     claims = c.select(F.col("conv_id").alias("id"), (F.char_length("text") % 2 == 0).alias("supported"), F.col("turn")).where("turn > 0")
-    responses = c.groupBy(F.col("conv_id").alias("id")).agg(F.max(F.when(F.col("turn") == 0, F.substring("text", 1, 40))).alias("response"), F.max(F.when(F.col("conv_id") % 9 != 0, F.col("role"))).alias("context"))
+    responses = c.groupBy(F.col("conv_id").alias("id")).agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("response"), F.max(F.when(F.col("conv_id") % 9 != 0, F.col("role"))).alias("context"))
     return claims, responses
 
 
@@ -432,7 +443,7 @@ def hallucination(spark, d):
     return rounded(E.hallucination(*_claims(spark, d)))
 
 
-CLAIMS = "c AS (SELECT conv_id AS id, avg({share}) AS s FROM (SELECT conv_id, CASE WHEN length(text) % 2 = 0 THEN 1.0 ELSE 0.0 END AS ok FROM conversations WHERE turn > 0) GROUP BY 1), r AS (SELECT conv_id AS id, max(CASE WHEN turn = 0 THEN substr(text, 1, 40) END) AS response, max(CASE WHEN conv_id % 9 <> 0 THEN role END) AS context FROM conversations GROUP BY 1)"
+CLAIMS = "c AS (SELECT conv_id AS id, avg({share}) AS s FROM (SELECT conv_id, CASE WHEN length(text) % 2 = 0 THEN 1.0 ELSE 0.0 END AS ok FROM conversations WHERE turn > 0) GROUP BY 1), r AS (SELECT conv_id AS id, max(CASE WHEN turn = 0 THEN text END) AS response, max(CASE WHEN conv_id % 9 <> 0 THEN role END) AS context FROM conversations GROUP BY 1)"
 
 
 def question_types(spark, d):
@@ -440,14 +451,20 @@ def question_types(spark, d):
     return c.select("conv_id", "turn", X.question_type(F.concat(F.when(F.col("turn") % 3 == 0, "What is ").when(F.col("turn") % 3 == 1, "Why ").otherwise("Compare "), F.col("text"))).alias("question_type"))
 
 
-QUESTION_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(q, '{w}')" for w in words) + f" THEN '{kind}'" for kind, words in X.QUESTION_WORDS) + " ELSE 'factual' END"
+QUESTION_SQL = """
+    CASE WHEN contains(q, 'and also') OR contains(q, 'in addition') OR contains(q, 'furthermore') OR contains(q, 'both') THEN 'multi_hop'
+         WHEN contains(q, 'how') OR contains(q, 'why') OR contains(q, 'explain') THEN 'explanatory'
+         WHEN contains(q, 'difference') OR contains(q, 'compare') OR contains(q, 'versus') OR contains(q, 'vs') THEN 'comparative'
+         WHEN contains(q, 'what is') OR contains(q, 'define') OR contains(q, 'meaning of') THEN 'definitional'
+         ELSE 'factual' END
+"""
 
 
 def json_extract(spark, d):
     c = read(spark, d, "conversations")
-    noisy = F.concat(F.lit("Sure: "), F.format_string('{"turn": %d, "role": "%s"}', "turn", "role"), F.lit(" done"))
+    noisy = F.concat(F.lit("Sure: "), F.to_json(F.struct("turn", "role", "text")), F.lit(" done"))
     v = X.json_object(noisy)
-    return c.select("conv_id", "turn", F.try_variant_get(v, "$.role", "string").alias("role"), F.try_variant_get(v, "$.turn", "long").alias("parsed_turn"))
+    return c.select("conv_id", "turn", F.try_variant_get(v, "$.role", "string").alias("role"), F.try_variant_get(v, "$.text", "string").alias("text"), F.try_variant_get(v, "$.turn", "long").alias("parsed_turn"))
 
 
 def pii_sanitize(spark, d):
@@ -456,24 +473,33 @@ def pii_sanitize(spark, d):
     return hit.select("doc_id", "word", X.sanitized(F.col("word"), "hash").alias("hashed"), X.sanitized(F.col("word"), "redact").alias("redacted")).distinct()
 
 
-PRICES = (("m-user", 0.5, 1.5), ("m-assistant", 1.0, 2.0))
-
-
 def _usage(spark, d):
+    """Calls of models of the price list (one in capitals), of one that it lacks and of a local provider, and a price of our own."""
     c = read(spark, d, "conversations")
-    usage = c.select("conv_id", "turn", F.when(F.col("conv_id") % 4 == 0, "local").otherwise("hosted").alias("provider"), F.concat(F.lit("M-"), "role").alias("model"), X.estimated_tokens(F.col("text")).alias("input_tokens"), (X.estimated_tokens(F.col("text")) * 2).alias("output_tokens"))
-    return X.priced(usage, spark.createDataFrame(list(PRICES), "model string, input_price double, output_price double"))
+    tokens = X.estimated_tokens(F.col("text"))
+    model = F.when(F.col("role") == "user", "GPT-4o").when(F.col("role") == "assistant", "mistral-large-latest").otherwise("unlisted-model")
+    usage = c.select("conv_id", "turn", F.when(F.col("turn") == 0, "ollama").otherwise("hosted").alias("provider"), F.when(F.col("turn") == 3, "own-model").otherwise(model).alias("model"), tokens.alias("input_tokens"), (tokens * 2).alias("output_tokens"))
+    return X.priced(usage, spark.createDataFrame([("own-model", 4.0, 8.0)], "model string, input_per_m double, output_per_m double"))
 
 
 def token_cost(spark, d):
-    return rounded(_usage(spark, d))
+    return rounded(_usage(spark, d), 9)
 
 
 def cost_rollup(spark, d):
-    return rounded(M.cost_summary(_usage(spark, d)), 4)
-
-
-USAGE = f"u AS (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 THEN 'local' ELSE 'hosted' END AS provider, 'M-' || role AS model, CAST(length(coalesce(text, '')) // 4 AS BIGINT) AS input_tokens, CAST(length(coalesce(text, '')) // 4 * 2 AS BIGINT) AS output_tokens FROM conversations), c AS (SELECT u.*, CASE WHEN provider = 'local' THEN 0.0 ELSE (input_tokens * coalesce(input_price, 0.0) + output_tokens * coalesce(output_price, 0.0)) / 1000 END AS cost FROM u LEFT JOIN {_values(PRICES)} p(m, input_price, output_price) ON lower(u.model) = p.m)"
+    return rounded(M.cost_summary(_usage(spark, d)), 8)
+
+
+USAGE = """
+    u AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'ollama' ELSE 'hosted' END AS provider,
+                 CASE WHEN turn = 3 THEN 'own-model' WHEN role = 'user' THEN 'GPT-4o' WHEN role = 'assistant' THEN 'mistral-large-latest' ELSE 'unlisted-model' END AS model,
+                 CAST(length(coalesce(text, '')) // 4 AS BIGINT) AS input_tokens, CAST(length(coalesce(text, '')) // 4 * 2 AS BIGINT) AS output_tokens FROM conversations),
+    c AS (SELECT *, CASE WHEN model = 'own-model' THEN (input_tokens * 4.0 + output_tokens * 8.0) / 1000000
+                         WHEN provider = 'ollama' THEN 0.0
+                         WHEN model = 'GPT-4o' THEN (input_tokens * 2.5 + output_tokens * 10.0) / 1000000
+                         WHEN model = 'mistral-large-latest' THEN (input_tokens * 2.0 + output_tokens * 6.0) / 1000000
+                         ELSE 0.0 END AS cost FROM u)
+"""
 
 R6 = ", ".join(f"round({m}, 6) AS {m}" for m in E.MEASURES)
 
@@ -484,21 +510,21 @@ _PAIRS: dict[str, tuple[object, str | None]] = {
     "eval_summary": (eval_summary, f"WITH {RUN5}, {PRIORITY} SELECT o_orderpriority, count(*) AS n_queries, {', '.join(f'round(avg({m}), 6) AS {m}' for m in E.MEASURES)} FROM scored JOIN o ON l_orderkey = o_orderkey GROUP BY 1"),
     "eval_summary_ranges": (eval_summary_ranges, f"WITH {RUN5}, {PRIORITY}, j AS (SELECT * FROM scored JOIN o ON l_orderkey = o_orderkey), long AS ({LONG.format(by='o_orderpriority', of='j')}), a AS (SELECT o_orderpriority, metric, avg(value) AS average, min(value) AS least, max(value) AS most FROM long GROUP BY 1, 2) SELECT o_orderpriority, metric, round(average, 6) AS average, round(least, 6) AS least, round(most, 6) AS most, {STATUS_SQL} AS status FROM a"),
     "eval_overall_status": (eval_overall_status, f"WITH {RUN5}, {PRIORITY}, j AS (SELECT * FROM scored JOIN o ON l_orderkey = o_orderkey), long AS ({LONG.format(by='o_orderpriority', of='j')}), a AS (SELECT o_orderpriority, metric, avg(value) AS average FROM long GROUP BY 1, 2), s AS (SELECT *, {STATUS_SQL} AS status FROM a) SELECT o_orderpriority, CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_or(status = 'warn') THEN 'warn' ELSE 'pass' END AS overall FROM s GROUP BY 1"),
-    "config_rankings": (config_rankings, f"WITH {CONFIGS} SELECT config, config_idx, metric, round(value, 6) AS value, row_number() OVER (PARTITION BY metric ORDER BY value DESC, config_idx) AS rank FROM long"),
-    "config_winner": (config_winner, f"WITH {CONFIGS}, r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, config_idx) AS rk FROM long) SELECT metric, config AS winner, round(value, 6) AS value FROM r WHERE rk = 1"),
-    "config_pairwise": (config_pairwise, f"WITH {CONFIGS} SELECT a.metric, a.config AS config_a, b.config AS config_b, round(b.value - a.value, 6) AS difference, round(CASE WHEN a.value <> 0 THEN (b.value - a.value) / abs(a.value) * 100 WHEN b.value = a.value THEN 0.0 WHEN b.value > a.value THEN 100.0 ELSE -100.0 END, 6) AS change_pct, CASE WHEN b.value > a.value THEN b.config WHEN b.value < a.value THEN a.config ELSE 'tie' END AS winner FROM long a JOIN long b ON a.metric = b.metric AND a.config_idx < b.config_idx"),
-    "regression_alerts": (regression_alerts, f"WITH {HALVES}, j AS (SELECT a.o_orderpriority, a.metric, a.value AS baseline, coalesce(b.value, 0.0) AS current FROM long a LEFT JOIN long b ON b.o_orderpriority = a.o_orderpriority AND b.metric = a.metric AND NOT b.early WHERE a.early AND a.value <> 0), g AS (SELECT *, (current - baseline) / abs(baseline) AS change FROM j) SELECT o_orderpriority, metric, round(baseline, 6) AS baseline, round(current, 6) AS current, round(change, 6) AS change, CASE WHEN -change >= 0.001 THEN 'critical' ELSE 'warning' END AS severity FROM g WHERE -change >= 0.0005"),
+    "config_rankings": (config_rankings, f"WITH {CONFIGS} SELECT config, config_idx, metric, round(value, 6) AS value, row_number() OVER (PARTITION BY metric ORDER BY CASE WHEN metric = 'total_latency_ms' THEN -value ELSE value END DESC, config_idx) AS rank FROM long"),
+    "config_winner": (config_winner, f"WITH {CONFIGS}, r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY CASE WHEN metric = 'total_latency_ms' THEN -value ELSE value END DESC, config_idx) AS rk FROM long) SELECT metric, config AS winner, round(value, 6) AS value FROM r WHERE rk = 1"),
+    "config_pairwise": (config_pairwise, f"WITH {CONFIGS}, p AS (SELECT a.metric, a.config AS config_a, b.config AS config_b, a.value AS value_a, b.value AS value_b, a.value - b.value AS difference, CASE WHEN a.metric = 'total_latency_ms' THEN b.value - a.value ELSE a.value - b.value END AS gain FROM long a JOIN long b ON a.metric = b.metric AND a.config_idx < b.config_idx) SELECT metric, config_a, config_b, round(value_a, 6) AS value_a, round(value_b, 6) AS value_b, round(difference, 6) AS difference, round(CASE WHEN value_b <> 0 THEN difference / value_b * 100 WHEN metric = 'total_latency_ms' OR difference = 0 THEN 0.0 WHEN difference > 0 THEN 100.0 ELSE -100.0 END, 6) AS percent_change, CASE WHEN gain > 0 THEN config_a WHEN gain < 0 THEN config_b ELSE 'tie' END AS winner FROM p"),
+    "regression_alerts": (regression_alerts, f"WITH {HALVES}, j AS (SELECT a.o_orderpriority, a.metric, a.value AS baseline, coalesce(b.value, 0.0) AS current FROM long a LEFT JOIN long b ON b.o_orderpriority = a.o_orderpriority AND b.metric = a.metric AND NOT b.early WHERE a.early AND a.value <> 0), g AS (SELECT *, (current - baseline) / baseline * 100 AS change_percent FROM j) SELECT o_orderpriority, metric, round(baseline, 6) AS baseline, round(current, 6) AS current, round(change_percent, 6) AS change_percent, CASE WHEN change_percent < -0.1 THEN 'critical' ELSE 'warning' END AS severity FROM g WHERE change_percent < -0.05"),
     "gating_status": (gating_status, f"WITH {NOW}, g AS (SELECT run, CASE WHEN value < threshold AND stable THEN 2 WHEN value < threshold THEN 1 ELSE 0 END AS l FROM now n JOIN {_values(THRESHOLDS)} t(metric, threshold, stable) ON n.metric = t.metric) SELECT run, CASE max(l) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARN' ELSE 'PASS' END AS status, CASE max(l) WHEN 2 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS exit_code, CAST(sum(CASE WHEN l > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_missed FROM g GROUP BY 1"),
     "baseline_compare": (baseline_compare, f"WITH {BASE} SELECT run, metric, round(value, 6) AS value, reference, round(change_pct, 6) AS change_pct, change_pct > 0 AS better FROM b"),
-    "baseline_verdict": (baseline_verdict, f"WITH {BASE}, s AS (SELECT run, sum(CASE WHEN change_pct = 0 THEN 0.0 WHEN change_pct > 0 THEN weight ELSE -weight END) / sum(weight) AS score FROM b GROUP BY 1) SELECT run, round(score, 6) AS score, CASE WHEN score > 0.2 THEN 'above' WHEN score < -0.2 THEN 'below' ELSE 'at' END AS verdict FROM s"),
+    "baseline_verdict": (baseline_verdict, f"WITH {BASE}, s AS (SELECT run, CASE WHEN sum(abs(change_pct)) > 0 THEN sum(change_pct) / sum(abs(change_pct)) ELSE 0.0 END AS score FROM b GROUP BY 1) SELECT run, round(score, 6) AS score, CASE WHEN score > 0.2 THEN 'better' WHEN score < -0.2 THEN 'below' ELSE 'comparable' END AS verdict FROM s"),
     "query_diff": (query_diff, f"WITH {DIFF} SELECT idx, {', '.join(f'round(d_{m}, 6) AS d_{m}' for m in E.MEASURES)}, round(mean_delta, 6) AS mean_delta, change FROM k"),
     "diff_summary": (diff_summary, f"WITH {DIFF} SELECT count(*) AS n, round(avg(CASE WHEN change = 'improved' THEN 1.0 ELSE 0.0 END), 6) AS improvement_rate, round(avg(CASE WHEN change = 'degraded' THEN 1.0 ELSE 0.0 END), 6) AS degradation_rate FROM k"),
-    "dataset_diff": (dataset_diff, "SELECT doc_id, CASE doc_id % 10 WHEN 1 THEN 'added' WHEN 2 THEN 'removed' WHEN 3 THEN 'modified' ELSE 'unchanged' END AS change, CASE WHEN doc_id % 10 = 3 THEN CASE WHEN doc_id % 30 = 3 THEN 'text,lang' ELSE 'text' END END AS fields FROM documents"),
+    "dataset_diff": (dataset_diff, "WITH a AS (SELECT doc_id, text, lang, source FROM documents WHERE source <> 'src1'), b AS (SELECT doc_id, CASE WHEN length(text) > 2500 THEN text || '!' ELSE text END AS text, CASE WHEN length(text) > 2500 AND lang = 'fr' THEN 'xx' ELSE lang END AS lang, source FROM documents WHERE lang <> 'es'), j AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.doc_id IS NULL AS fresh, b.doc_id IS NULL AS gone, concat_ws(',', CASE WHEN a.text IS DISTINCT FROM b.text THEN 'text' END, CASE WHEN a.lang IS DISTINCT FROM b.lang THEN 'lang' END, CASE WHEN a.source IS DISTINCT FROM b.source THEN 'source' END) AS fields FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id) SELECT doc_id, CASE WHEN fresh THEN 'added' WHEN gone THEN 'removed' WHEN fields <> '' THEN 'modified' ELSE 'unchanged' END AS change, CASE WHEN NOT fresh AND NOT gone AND fields <> '' THEN fields END AS fields FROM j"),
     "dataset_keys": (dataset_keys, "SELECT doc_id, sha256(text || chr(1) || array_to_string(list_sort([source, lang]), chr(2)) || chr(1) || lang) AS content_key, substr(sha256(text), 1, 16) AS short_hash, sha256(text || ':' || lang || ':' || source) AS fingerprint FROM documents"),
-    "golden_filter": (golden_filter, "SELECT CAST(doc_id AS VARCHAR) AS id, substr(text, 1, 80) AS question FROM documents WHERE (lang IN ('de', 'src3') OR source IN ('de', 'src3')) AND n_chars > 2000 AND doc_id % 3 = 0"),
+    "golden_filter": (golden_filter, "SELECT CAST(doc_id AS VARCHAR) AS id, text AS question FROM documents WHERE (lang IN ('de', 'src3') OR source IN ('de', 'src3')) AND n_chars > 2000 AND lang <> 'en'"),
     "golden_tags": (golden_tags, "SELECT DISTINCT tag FROM (SELECT lang AS tag FROM documents UNION ALL SELECT source FROM documents) WHERE tag <> ''"),
-    "golden_testset": (golden_testset, "SELECT substr(text, 1, 80) AS text, source AS docs, source AS expected_answer, CASE WHEN n_chars > 2000 THEN 'hard' ELSE 'easy' END AS difficulty FROM documents"),
-    "golden_diff": (golden_diff, "SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 7 = 0 THEN 'added' WHEN doc_id % 5 = 0 THEN 'removed' WHEN doc_id % 11 = 0 THEN 'modified' ELSE 'unchanged' END AS change, CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 <> 0 AND doc_id % 11 = 0 THEN 'answer' END AS fields FROM documents WHERE NOT (doc_id % 7 = 0 AND doc_id % 5 = 0)"),
+    "golden_testset": (golden_testset, "SELECT text, source AS docs, source AS expected_answer, CASE WHEN n_chars > 2000 THEN 'hard' ELSE 'easy' END AS difficulty FROM documents"),
+    "golden_diff": (golden_diff, "WITH a AS (SELECT doc_id, text AS question, source AS answer FROM documents WHERE lang <> 'src2' AND source <> 'src2'), b AS (SELECT doc_id, text AS question, CASE WHEN lang = 'fr' OR source = 'fr' THEN 'new' ELSE source END AS answer FROM documents WHERE lang <> 'de' AND source <> 'de'), j AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.doc_id IS NULL AS fresh, b.doc_id IS NULL AS gone, concat_ws(',', CASE WHEN a.question IS DISTINCT FROM b.question THEN 'question' END, CASE WHEN a.answer IS DISTINCT FROM b.answer THEN 'answer' END) AS fields FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id) SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN fresh THEN 'added' WHEN gone THEN 'removed' WHEN fields <> '' THEN 'modified' ELSE 'unchanged' END AS change, CASE WHEN NOT fresh AND NOT gone AND fields <> '' THEN fields END AS fields FROM j"),
     "doc_min_length": (doc_min_length, "SELECT doc_id, CAST(length(text) AS INTEGER) AS length FROM documents WHERE length(text) >= 1000"),
     "doc_pairs_budget": (doc_pairs_budget, "WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM (SELECT DISTINCT doc_id FROM documents)), p AS (SELECT a.doc_id AS a, b.doc_id AS b, row_number() OVER (ORDER BY a.i, b.i) AS pair_no FROM n a JOIN n b ON a.i < b.i AND b.i <= 51) SELECT CAST(pair_no AS INTEGER) AS pair_no, a, b FROM p WHERE pair_no <= 50"),
     "vector_topk_cosine": (vector_topk_cosine, "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rk FROM s) SELECT query_id, id, round(score, 5) AS score FROM r WHERE rk <= 5"),
@@ -513,8 +539,8 @@ _PAIRS: dict[str, tuple[object, str | None]] = {
     "history_rotation": (history_rotation, f"WITH {HISTORY}, n AS (SELECT *, row_number() OVER (ORDER BY ts DESC, id DESC) AS rk FROM h WHERE NOT is_baseline), b AS (SELECT * FROM h WHERE is_baseline) SELECT id, config, is_baseline FROM b UNION ALL SELECT id, config, is_baseline FROM n WHERE rk <= greatest(0, 400 - (SELECT count(*) FROM b))"),
     "history_by_config": (history_by_config, f"WITH {HISTORY} SELECT config, count(*) AS runs, strftime(max(ts), '%Y-%m-%d') AS latest, CAST(sum(CASE WHEN is_baseline THEN 1 ELSE 0 END) AS BIGINT) AS baselines FROM h GROUP BY 1"),
     "history_latest": (history_latest, f"WITH {HISTORY}, n AS (SELECT *, row_number() OVER (PARTITION BY config ORDER BY ts DESC, id DESC) AS rk FROM h) SELECT config, id, is_baseline FROM n WHERE rk = 1"),
-    "tool_use_metrics": (tool_use_metrics, f"WITH {STEPS}, a AS (SELECT trace, tool, count(*) AS a FROM s WHERE step_type = 'action' AND idx % 2 = 0 GROUP BY 1, 2), b AS (SELECT trace, tool, count(*) AS b FROM s WHERE idx % 3 <> 0 GROUP BY 1, 2), j AS (SELECT coalesce(a.trace, b.trace) AS trace, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM a FULL JOIN b ON a.trace = b.trace AND a.tool = b.tool), g AS (SELECT trace, CAST(sum(a) AS BIGINT) AS n_actual, CAST(sum(b) AS BIGINT) AS n_expected, CAST(sum(least(a, b)) AS BIGINT) AS n_matched FROM j GROUP BY 1), p AS (SELECT *, CASE WHEN n_actual = 0 AND n_expected = 0 THEN 1.0 WHEN n_actual = 0 THEN 0.0 ELSE n_matched / CAST(n_actual AS DOUBLE) END AS p, CASE WHEN n_actual = 0 AND n_expected = 0 THEN 1.0 WHEN n_expected = 0 THEN 0.0 ELSE n_matched / CAST(n_expected AS DOUBLE) END AS r FROM g) SELECT trace, n_actual, n_expected, n_matched, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1 FROM p"),
-    "tool_bag_match": (tool_bag_match, f"WITH {STEPS}, a AS (SELECT trace, idx, tool, row_number() OVER (PARTITION BY trace, tool ORDER BY idx) AS rn FROM s WHERE step_type = 'action' AND idx % 2 = 0), b AS (SELECT trace, idx, tool, row_number() OVER (PARTITION BY trace, tool ORDER BY idx) AS rn FROM s WHERE idx % 3 <> 0) SELECT a.trace, a.idx, a.tool, b.idx AS expected_idx, b.idx IS NOT NULL AS matched FROM a LEFT JOIN b ON a.trace = b.trace AND a.tool = b.tool AND a.rn = b.rn"),
+    "tool_use_metrics": (tool_use_metrics, f"WITH {STEPS}, x AS (SELECT trace, idx, CASE WHEN tool = 'view' THEN 'click' ELSE tool END AS tool FROM s WHERE value <= 60), a AS (SELECT trace, tool, count(*) AS a FROM s WHERE step_type = 'action' GROUP BY 1, 2), b AS (SELECT trace, tool, count(*) AS b FROM x GROUP BY 1, 2), j AS (SELECT coalesce(a.trace, b.trace) AS trace, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM a FULL JOIN b ON a.trace = b.trace AND a.tool = b.tool), g AS (SELECT trace, CAST(sum(a) AS BIGINT) AS n_actual, CAST(sum(b) AS BIGINT) AS n_expected, CAST(sum(least(a, b)) AS BIGINT) AS n_matched FROM j GROUP BY 1), p AS (SELECT *, CASE WHEN n_actual > 0 THEN n_matched / CAST(n_actual AS DOUBLE) WHEN n_expected > 0 THEN 0.0 ELSE 1.0 END AS p, CASE WHEN n_expected > 0 THEN n_matched / CAST(n_expected AS DOUBLE) ELSE 1.0 END AS r FROM g) SELECT trace, n_actual, n_expected, n_matched, n_actual - n_matched AS n_unnecessary, n_expected - n_matched AS n_missing, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1 FROM p"),
+    "tool_bag_match": (tool_bag_match, f"WITH {STEPS}, x AS (SELECT trace, idx, CASE WHEN tool = 'view' THEN 'click' ELSE tool END AS tool FROM s WHERE value <= 60), a AS (SELECT trace, idx, tool, row_number() OVER (PARTITION BY trace, tool ORDER BY idx) AS rn FROM s WHERE step_type = 'action'), b AS (SELECT trace, idx, tool, row_number() OVER (PARTITION BY trace, tool ORDER BY idx) AS rn FROM x) SELECT a.trace, a.idx, a.tool, b.idx AS expected_idx, b.idx IS NOT NULL AS matched FROM a LEFT JOIN b ON a.trace = b.trace AND a.tool = b.tool AND a.rn = b.rn"),
     "tool_success": (tool_success, f"WITH {STEPS}, g AS (SELECT trace, coalesce(avg(CASE WHEN step_type = 'action' THEN CASE WHEN error IS NULL THEN 1.0 ELSE 0.0 END END), 1.0) AS ok, CAST(sum(CASE WHEN step_type = 'action' THEN 1 ELSE 0 END) AS BIGINT) AS n_calls FROM s GROUP BY 1) SELECT trace, round(ok, 6) AS success_rate, round(1 - ok, 6) AS error_rate, n_calls FROM g"),
     "agent_loops": (agent_loops, f"WITH {STEPS}, l AS (SELECT *, CASE WHEN step_type = 'action' THEN tool END AS sig, lag(CASE WHEN step_type = 'action' THEN tool END) OVER (PARTITION BY trace ORDER BY idx) AS prev FROM s) SELECT trace, idx, tool FROM l WHERE sig = prev"),
     "agent_dead_ends": (agent_dead_ends, f"WITH {STEPS}, l AS (SELECT *, lead(CASE WHEN step_type = 'action' THEN tool END, 1) OVER w AS n1, lead(CASE WHEN step_type = 'action' THEN tool END, 2) OVER w AS n2, count(*) OVER (PARTITION BY trace) AS n FROM s WINDOW w AS (PARTITION BY trace ORDER BY idx)) SELECT trace, idx, tool FROM l WHERE step_type = 'action' AND error IS NOT NULL AND n >= 2 AND NOT coalesce(n1 = tool, false) AND NOT coalesce(n2 = tool, false)"),
@@ -523,15 +549,22 @@ _PAIRS: dict[str, tuple[object, str | None]] = {
     "agent_efficiency": (agent_efficiency, f"WITH {STEPS}, l AS (SELECT *, CASE WHEN step_type = 'action' THEN tool END AS sig, lag(CASE WHEN step_type = 'action' THEN tool END) OVER (PARTITION BY trace ORDER BY idx) AS prev FROM s) SELECT trace, round(least(greatest(least(1.0, 50.0 / count(*)) - 0.15 * sum(CASE WHEN sig = prev THEN 1 ELSE 0 END), 0.0), 1.0), 6) AS efficiency FROM l GROUP BY 1"),
     "step_transitions": (step_transitions, f"WITH {STEPS}, l AS (SELECT trace, idx, tool AS content, lead(tool) OVER w AS next_content, lead(idx) OVER w AS next_idx FROM s WINDOW w AS (PARTITION BY trace ORDER BY idx)) SELECT * FROM l WHERE next_idx IS NOT NULL"),
     "goal_progress": (goal_progress, "WITH l AS (SELECT user_id AS trace, ts, event_id, CAST(value AS DOUBLE) AS p, lag(CAST(value AS DOUBLE)) OVER w AS q, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT trace, round(max(CASE WHEN rk = 1 THEN p END), 6) AS progress, bool_and(coalesce(p >= q, true)) AS monotonic FROM l GROUP BY 1"),
-    "judge_parse": (judge_parse, "WITH n AS (SELECT conv_id, turn, role, CAST(length(text) % 7 AS INTEGER) AS k FROM conversations), r AS (SELECT *, least(greatest(k, 1), 5) AS raw FROM n) SELECT conv_id, turn, raw, (raw - 1) / 4.0 AS score, CASE WHEN k = 3 THEN 'PARTIAL' WHEN raw >= 4 THEN 'PASS' WHEN raw <= 2 THEN 'FAIL' ELSE 'PARTIAL' END AS verdict, role AS explanation FROM r"),
+    "judge_parse": (judge_parse, r"WITH n AS (SELECT conv_id, turn, text, CAST(length(text) % 7 AS INTEGER) AS k FROM conversations), r AS (SELECT *, least(greatest(k, 1), 5) AS raw FROM n) SELECT conv_id, turn, raw, (raw - 1) / 4.0 AS score, CASE WHEN k = 3 THEN 'PARTIAL' WHEN raw >= 4 THEN 'PASS' WHEN raw <= 2 THEN 'FAIL' ELSE 'PARTIAL' END AS verdict, CASE WHEN k = 5 THEN 'Score: 5' ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END AS explanation FROM r"),
     "judge_overall": (judge_overall, "WITH n AS (SELECT conv_id, least(greatest(CAST(length(text) % 7 AS INTEGER), 1), 5) AS raw FROM conversations) SELECT conv_id AS id, round(avg((raw - 1) / 4.0), 6) AS overall_score, CASE WHEN bool_or(raw <= 2) THEN 'FAIL' WHEN bool_or(raw = 3) THEN 'PARTIAL' ELSE 'PASS' END AS overall_verdict FROM n GROUP BY 1"),
     "faithfulness": (faithfulness, f"WITH {CLAIMS.format(share='ok')} SELECT r.id, round(CASE WHEN trim(coalesce(response, '')) = '' THEN 1.0 WHEN trim(coalesce(context, '')) = '' THEN 0.0 ELSE coalesce(s, 1.0) END, 6) AS score FROM r LEFT JOIN c ON r.id = c.id"),
     "hallucination": (hallucination, f"WITH {CLAIMS.format(share='1 - ok')} SELECT r.id, round(CASE WHEN trim(coalesce(response, '')) = '' THEN 0.0 WHEN trim(coalesce(context, '')) = '' THEN 1.0 ELSE coalesce(s, 0.0) END, 6) AS score FROM r LEFT JOIN c ON r.id = c.id"),
     "question_types": (question_types, f"WITH q AS (SELECT conv_id, turn, lower(CASE turn % 3 WHEN 0 THEN 'What is ' WHEN 1 THEN 'Why ' ELSE 'Compare ' END || text) AS q FROM conversations) SELECT conv_id, turn, {QUESTION_SQL} AS question_type FROM q"),
-    "json_extract": (json_extract, "SELECT conv_id, turn, role, CAST(turn AS BIGINT) AS parsed_turn FROM conversations"),
-    "pii_sanitize": (pii_sanitize, "WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '[ \\n]')) AS word FROM documents) SELECT DISTINCT doc_id, word, sha256(word) AS hashed, '[REDACTED]' AS redacted FROM w WHERE length(word) >= 3 AND (" + " OR ".join(f"regexp_matches(word, '{p}')" for p in X.PII_PATTERNS) + ")"),
-    "token_cost": (token_cost, f"WITH {USAGE} SELECT conv_id, turn, provider, model, input_tokens, output_tokens, round(cost, 6) AS cost FROM c"),
-    "cost_rollup": (cost_rollup, f"WITH {USAGE} SELECT provider, model, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(cost), 4) AS cost, count(*) AS calls FROM c GROUP BY GROUPING SETS ((provider, model), ())"),
+    "json_extract": (json_extract, "SELECT conv_id, turn, role, text, CAST(turn AS BIGINT) AS parsed_turn FROM conversations"),
+    "pii_sanitize": (pii_sanitize, r"""
+        WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '[ \n]')) AS word FROM documents)
+        SELECT DISTINCT doc_id, word, sha256(word) AS hashed, '[REDACTED]' AS redacted FROM w
+        WHERE length(word) >= 3 AND (
+            regexp_matches(word, '^(/[^/\s]+)+/?$') OR regexp_matches(word, '^[A-Za-z]:\\.*$') OR regexp_matches(word, '^~[/\\].*$')
+            OR regexp_matches(word, '^[\w.+-]+@[\w.-]+\.\w+$') OR regexp_matches(word, '^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$')
+            OR regexp_matches(word, '^user[_-]?\d+$', 'i') OR regexp_matches(word, '^[a-z]{2,}\d{2,}$', 'i'))
+    """),
+    "token_cost": (token_cost, f"WITH {USAGE} SELECT conv_id, turn, provider, model, input_tokens, output_tokens, round(CAST(cost AS DOUBLE), 9) AS cost FROM c"),
+    "cost_rollup": (cost_rollup, f"WITH {USAGE} SELECT provider, model, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(CAST(sum(cost) AS DOUBLE), 8) AS cost, count(*) AS calls FROM c GROUP BY GROUPING SETS ((provider, model), ())"),
 }
 
 QUERIES = {name: query for name, (query, _) in _PAIRS.items()}

@@ -63,6 +63,15 @@ def test_judge_parse(spark):
     assert (got[0].raw, got[0].score, got[0].verdict, got[0].explanation) == (5, 1.0, "FAIL", "good")
     assert (got[1].raw, got[1].verdict) == (3, "PARTIAL")
     assert got[2].raw == 1
+    assert got[1].explanation == "nothing" and got[2].explanation == "Score: 10"
+
+
+@pytest.mark.parametrize("question, kind", [("What is X and also Y?", "multi_hop"), ("Both of them?", "multi_hop"), ("Why is it so?", "explanatory"), ("Please explain", "explanatory"), ("The difference of A and B", "comparative"), ("A vs B", "comparative"), ("Define it", "definitional"), ("When was it?", "factual"), ("Somehow done", "explanatory")])
+def test_question_types(spark, question, kind):
+    df = spark.createDataFrame([(question,)], "q string")
+    assert df.select(X.question_type(F.col("q"))).first()[0] == kind
+    assert df.select(X.question_type(F.col("q"), ("comparative",))).first()[0] == "comparative"
+    assert df.select(X.question_type(F.col("q"), ())).first()[0] == "factual"
 
 
 def test_embedded_json(spark):
@@ -74,12 +83,66 @@ def test_embedded_json(spark):
     assert got[3].o is None and got[3].l is None
 
 
-def test_pii(spark):
-    df = spark.createDataFrame([("a.b@example.org",), ("10.0.0.1",), ("word",), ("ab",)], "v string")
-    got = [r.s for r in df.select(X.sanitized(F.col("v")).alias("s")).collect()]
-    assert got == ["[REDACTED]", "[REDACTED]", "word", "ab"]
-    m = spark.createDataFrame([({"email": "x", "note": "hello"},)], "m map<string,string>").select(X.sanitized_map(F.col("m")).alias("m")).first().m
-    assert m == {"email": "[REDACTED]", "note": "hello"}
+@pytest.mark.parametrize("value, covered", [("/home/alice/a.txt", True), ("/", False), ("C:\\Users\\x", True), ("~/notes", True), ("a.b+c@example.org", True), ("10.0.0.1", True), ("user_12", True), ("User-7", True), ("user", False), ("alice42", True), ("a1", False), ("word", False), ("+49 30 123456", False), ("123-45-6789", False), ("", False)])
+def test_pii(spark, value, covered):
+    df = spark.createDataFrame([(value,)], "v string")
+    got = df.select(X.sanitized(F.col("v")), X.sanitized(F.col("v"), "hash"), X.sanitized(F.col("v"), "full"), X.sanitized(F.col("v"), key="Source")).first()
+    assert got[0] == ("[REDACTED]" if covered else value) and (len(got[1]) == 64) == covered and got[2] == value and got[3] == "[REDACTED]"
+
+
+def test_nested_pii(spark):
+    m = spark.createDataFrame([({"email": "x", "note": "hello", "k": "10.1.2.3"},)], "m map<string,string>").select(X.sanitized_map(F.col("m")).alias("m")).first().m
+    assert m == {"email": "[REDACTED]", "note": "hello", "k": "[REDACTED]"}
+    raw = {"a": {"path": "x", "n": 1}, "b": [{"host": "h"}, "user_12", "plain"], "c": ["bob123"]}
+    df = spark.createDataFrame([(json.dumps(raw),), ("no json",), ("[1]",), (None,)], "t string")
+    got = [r[0] for r in df.select(X.sanitized_json(F.col("t"))).collect()]
+    assert json.loads(got[0]) == {"a": {"path": "[REDACTED]", "n": 1}, "b": [{"host": "[REDACTED]"}, "user_12", "plain"], "c": ["bob123"]}
+    assert got[1:] == ["no json", "[1]", None]
+
+
+def test_prices(spark):
+    usage = spark.createDataFrame([("openai", "gpt-4o", 1_000_000, 500_000), ("openai", "GPT-4o", 1_000_000, 0), ("ollama", "gpt-4o", 1_000_000, 0), ("Local", "mine", 1_000_000, 0), ("x", "unknown", 9, 9)], "provider string, model string, input_tokens long, output_tokens long")
+    custom = spark.createDataFrame([("mine", 3.0, 6.0)], "model string, input_per_m double, output_per_m double")
+    got = {(r.provider, r.model): r.cost for r in X.priced(usage, custom).collect()}
+    assert got == {("openai", "gpt-4o"): 7.5, ("openai", "GPT-4o"): 2.5, ("ollama", "gpt-4o"): 0.0, ("Local", "mine"): 3.0, ("x", "unknown"): 0.0}
+
+
+def test_pairwise(spark):
+    df = spark.createDataFrame([("a", 1, 0.8, 0.5, 0.0, 0.4, 100.0), ("b", 2, 0.4, 0.5, 0.3, 0.8, 50.0)], "config string, config_idx int, precision double, recall double, mrr double, ndcg double, total_latency_ms double")
+    got = {r.metric: (r.difference, r.percent_change, r.winner) for r in E.pairwise(df).collect()}
+    assert got["precision"] == (pytest.approx(0.4), pytest.approx(100.0), "a") and got["recall"] == (0.0, 0.0, "tie")
+    assert got["mrr"] == (pytest.approx(-0.3), pytest.approx(-100.0), "b") and got["ndcg"][1:] == (pytest.approx(-50.0), "b")
+    assert got["total_latency_ms"] == (50.0, 100.0, "b")
+
+
+def long(spark, *rows):
+    return spark.createDataFrame(rows, "run string, metric string, value double, n_queries long")
+
+
+def test_regressions(spark):
+    before = long(spark, *[("r", m, v, 10) for m, v in (("precision", 0.5), ("recall", 0.5), ("mrr", 0.5), ("ndcg", 0.0), ("latency_ms", 100.0), ("total_latency_ms", 100.0))])
+    now = long(spark, *[("r", m, v, 10) for m, v in (("precision", 0.475), ("recall", 0.46), ("mrr", 0.4), ("ndcg", 0.0), ("latency_ms", 125.0), ("total_latency_ms", 141.0))])
+    got = {r.metric: r.severity for r in E.regressions(before, now, ["run"], quality=0.05).collect()}
+    assert got.pop("precision", None) in (None, "warning")  # 5 per cent, but for the last bit
+    assert got == {"recall": "warning", "mrr": "critical", "latency_ms": "warning", "total_latency_ms": "critical"}
+    exact = E.regressions(long(spark, ("r", "precision", 1.0, 1), ("r", "recall", 1.0, 1)), long(spark, ("r", "precision", 0.75, 1), ("r", "recall", 0.5, 1)), ["run"], quality=0.25).collect()
+    assert [(r.metric, r.severity) for r in exact] == [("recall", "warning")]  # at the limits nothing is beyond them
+    assert E.regressions(before, now, ["run"], queries="n_queries").count() == E.regressions(before, now, ["run"]).count()
+    with pytest.raises(Exception, match="10 queries, now there are 9"):
+        E.regressions(before, now.withColumn("n_queries", F.lit(9)), ["run"], queries="n_queries").collect()
+
+
+def test_baselines(spark):
+    reference = spark.createDataFrame([("precision", 0.5), ("recall", 0.5), ("latency_ms", 100.0), ("ndcg", 0.0)], "metric string, reference double")
+    values = spark.createDataFrame([("a", "precision", 0.6), ("a", "recall", 0.45), ("a", "latency_ms", 150.0), ("b", "ndcg", 0.2), ("b", "other", 1.0), ("c", "recall", 0.5)], "run string, metric string, value double")
+    got = {r.run: (r.score, r.verdict) for r in E.baseline_verdict(E.against_baseline(values, reference)).collect()}
+    assert got["a"] == (pytest.approx((20 - 10 - 50) / 80), "below") and got["b"] == (1.0, "better") and got["c"] == (0.0, "comparable")
+    history = spark.createDataFrame([("c", "h1", True), ("c", "h2", False)], "config string, testset_hash string, is_baseline boolean")
+    assert E.baseline_of(history, "c", "h1").count() == 1 and E.baseline_of(history, "x").count() == 0
+    with pytest.raises(Exception, match="another test set"):
+        E.baseline_of(history, "c", "h2").collect()
+    means = {r.metric: r.value for r in E.mean_latency(spark.createDataFrame([("r", 10.0), ("r", 30.0)], "run string, latency_ms double"), ["run"]).collect()}
+    assert means == {"latency_ms": 20.0, "total_latency_ms": 40.0}
 
 
 def test_canonical_json(spark):
@@ -105,10 +168,35 @@ def test_agents(spark):
     assert sorted(r.idx for r in agents.dead_ends(s).collect()) == [2, 4]
     m = agents.tool_metrics(s.where("tool is not null").select("trace", "tool"), spark.createDataFrame([("t", "a"), ("t", "c")], "trace string, tool string")).first()
     assert (m.precision, m.recall) == (pytest.approx(1 / 3), 0.5)
+    tools = lambda *names: spark.createDataFrame([("t", n) for n in names], "trace string, tool string")
+    got = agents.tool_metrics(tools("a", "b"), tools().limit(0)).first()
+    assert (got.precision, got.recall, got.f1, got.n_unnecessary, got.n_missing) == (0.0, 1.0, 0.0, 2, 0)
+    got = agents.tool_metrics(tools().limit(0), tools("a")).first()
+    assert (got.precision, got.recall, got.f1, got.n_missing) == (0.0, 0.0, 0.0, 1)
+    got = agents.tool_metrics(tools("a")).first()
+    assert (got.n_actual, got.precision, got.recall, got.f1) == (1, None, None, None)
+    share = spark.createDataFrame([({"q": "1"}, ["q", "k"]), ({"q": "1"}, []), (None, ["q"])], "args map<string,string>, required_args array<string>")
+    assert [r[0] for r in share.select(agents.argument_presence(share)).collect()] == [0.5, 1.0, 0.0]
     assert agents.success_rates(s).first().success_rate == pytest.approx(1 / 3)
     assert sorted((r.idx, r.like_idx) for r in agents.redundant_steps(s).collect()) == [(2, 1), (3, 1), (4, 1)]
 
 
+@pytest.mark.parametrize("portion", [500, 3])
+def test_like_steps_of_long_traces(spark, monkeypatch, portion):
+    monkeypatch.setattr(agents, "PORTION", portion)
+    words = ["look at the map again", "Look at the map again ", "count all the houses", "look at the maps again", "  ", "count all houses", "sing", "look at the map again!", None, "count all the houses"]
+    s = steps(spark, [("t", k, "thought", None, None, None, w) for k, w in enumerate(words)] + [("u", 0, "thought", None, None, None, "sing")])
+    kept, want = [], []
+    for k, w in enumerate(words):
+        if w and w.strip():
+            like = next((i for i in kept if X.ratio(words[i], w) >= 0.8), None)
+            kept, want = (kept + [k], want) if like is None else (kept, want + [(k, like)])
+    assert sorted((r.idx, r.like_idx) for r in agents.redundant_steps(s).collect()) == want
+    low = [(w or "").lower().strip(" ") for w in words]
+    pairs = [(j, i) for i in range(len(words)) for j in range(i + 2, len(words)) if X.ratio(low[i], low[j]) >= 0.85]
+    assert sorted((r.idx, r.like_idx) for r in agents.similar_thoughts(s).collect()) == sorted(pairs)
+
+
 def test_react_and_cot():
     got = agents.react_steps("Thought: look\nAction: search\nAction Input: {'q': 1}\nObservation: found\nFinal Answer: yes")
     assert [s["step_type"] for s in got] == ["thought", "action", "observation", "final_answer"]
@@ -140,6 +228,37 @@ def test_vectors(spark):
     assert vectors.deleted(v, spark.createDataFrame([(1,)], "id int")).count() == 3
 
 
+def test_vectors_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 8))
+    x[100:130] = x[5]  # many equal ones: ties go to the smaller id
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id int, embedding array<double>").repartition(5)
+    q = v.where("id % 20 = 5").withColumnRenamed("id", "query_id")
+    n = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = np.round(n @ n.T, 9)
+    want = {i: sorted(range(400), key=lambda j: (-score[i, j], j))[:7] for i in range(5, 400, 20)}
+    whole = lambda df: {i: [r.id for r in sorted((r for r in rows if r.query_id == i), key=lambda r: r["rank"])] for rows in [df.collect()] for i in want}
+    assert whole(vectors.top_k(q, v, 7)) == want
+    monkeypatch.setattr(vectors, "BLOCK", 6)
+    monkeypatch.setattr(vectors, "VECTORS", 90)
+    assert whole(vectors.top_k(q, v, 7)) == want
+    near = whole(vectors.top_k_approximate(q, v, 7, dimensions=8, bits=4, probes=8))
+    assert sum(len(set(near[i]) & set(want[i])) for i in want) >= 0.9 * 7 * len(want)
+
+
+def test_percentiles_of_groups(spark):
+    rows = [(k % 3, float((k * 7919) % 1000) if k % 3 else 5.0) for k in range(1500)] + [(7, 1.0), (7, 2.0), (8, float("nan")), (9, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {r.g: r for r in quantiles.latency_percentiles(df, "v", ["g"]).collect()}
+    for g in (1, 2):
+        q = statistics.quantiles([v for a, v in rows if a == g], n=100)
+        assert (got[g].p50, got[g].p95, got[g].p99) == (pytest.approx(q[49]), pytest.approx(q[94]), pytest.approx(q[98]))
+    assert (got[0].p50, got[0].p99, got[0].n) == (5.0, 5.0, 500) and (got[7].p50, got[7].p95) == (1.0, 2.0)
+    assert 9 not in got and math.isnan(got[8].p50)
+
+
 def test_llm_and_cache(spark):
     p = spark.createDataFrame([("a",), ("b",), ("a",)], "prompt string")
     empty = spark.createDataFrame([], "key string, answer string")
