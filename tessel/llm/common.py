@@ -72,29 +72,34 @@ def input_bytes(docs: DataFrame) -> int:
     return found if found < 1 << 55 else 0
 
 
-def frugal() -> None:
-    """Lets large arrays of this worker go back to the machine as soon as they are free."""
+def _allocator(name: str, *args: int) -> None:
     import ctypes
 
     try:
-        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        getattr(ctypes.CDLL(None), name)(*args)
     except (AttributeError, OSError):  # another C library
         pass
 
 
+def steady() -> None:
+    """Lets this worker's arrays reuse its memory, instead of asking the machine for each; :func:`trimmed` gives it back."""
+    _allocator("mallopt", -3, 1 << 30)  # M_MMAP_THRESHOLD
+    _allocator("mallopt", -1, 1 << 30)  # M_TRIM_THRESHOLD
+
+
+def trimmed() -> None:
+    _allocator("malloc_trim", 0)
+
+
 def released() -> None:
     """Gives memory that a worker holds but doesn't use back to the machine; workers outlive their tasks."""
-    import ctypes
     import gc
 
     import pyarrow as pa
 
     gc.collect()
     pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # another C library
-        pass
+    trimmed()
 
 
 def partitions(spark: SparkSession) -> int:

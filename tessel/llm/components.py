@@ -2,6 +2,12 @@
 
 Each round sends every vertex's larger neighbours, then its smaller ones, to the least it knows; the table converges to
 one star for each component.  Links stay in tables throughout, and each round's table is written to the shared folder.
+
+A vertex of many links is one row on one side of each join, so that an adaptive plan can split the other side, and sums are
+made before rows are shuffled.
+
+Nulls: a link with a null end is dropped, as is one of a vertex with itself.  Repeated links, in either direction, count
+once.  An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ salt is 0 but for texts that have more copies than a share of a partition: these
 
 Nulls: a null text is empty; rows of null identifier sort below all others and stay only in groups without identifier.
 Rows repeated with the same identifier belong to one group, are counted each, and all with that identifier are kept
-only once (one of them).  An empty table gives an empty result.  Columns other than the two named are ignored by
+only once (one of them).  Very long texts are compared and hashed whole.  An empty table gives an empty result.  Columns other than the two named are ignored by
 :func:`content_sort`; :func:`deduplicate` carries them.
 """
 

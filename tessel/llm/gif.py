@@ -5,7 +5,7 @@ palette.  The reader is a full one: logical screen, global and local palettes, i
 deferred clears, graphic control (delay, disposal to background or previous, transparency), extensions and trailer.
 
 Nulls: a null text is an empty payload (one row of spaces); a null or broken file gives null frames and its fault in
-``error``.  Repeated rows give equal files; an empty table an empty result; other columns are ignored.
+``error``.  Very long texts are stored whole, in as many frames as they take.  Repeated rows give equal files; an empty table an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -314,11 +314,11 @@ def text_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).mapInArrow(run, MEDIA)
 
 
-FRAME = "index int, time_ms long, delay_ms long, left int, top int, width int, height int, disposal int, histogram array<long>"
+FRAME = "index int, time_ms long, delay_ms long, left int, top int, width int, height int, disposal int, histogram array<long>, own array<long>"
 
 
 def decoded_frames(media: DataFrame, *, media_col: str = "media", samples: bool = True, slice_rows: int = 64) -> DataFrame:
-    """Adds frames (timed, each with the colour histogram of what is shown then), payload (the red samples of the frames'
+    """Adds frames (timed, each with the colour histograms of what is shown then and of its own region), payload (the red samples of the frames'
     own regions in order, if ``samples``) and error; the columns of the input are carried, but for these names."""
     carried = [c for c in media.columns if c not in ("frames", "payload", "error")]
     rows = media.select(*[F.col(f"`{c}`") for c in carried])
@@ -340,7 +340,9 @@ def decoded_frames(media: DataFrame, *, media_col: str = "media", samples: bool
                         if data is None:
                             raise Broken("null")
                         for f in read_gif(data):
-                            own.append({n: f[n] for n in ("index", "time_ms", "delay_ms", "left", "top", "width", "height", "disposal")} | {"histogram": histogram(f["canvas"]).tolist()})
+                            shown = histogram(f["canvas"]).tolist()
+                            region = shown if f["region"].shape == f["canvas"].shape else histogram(f["region"]).tolist()
+                            own.append({n: f[n] for n in ("index", "time_ms", "delay_ms", "left", "top", "width", "height", "disposal")} | {"histogram": shown, "own": region})
                             if samples:
                                 parts.append(f["region"][..., 0].tobytes())
                         errors.append(None)

@@ -30,7 +30,8 @@ from __future__ import annotations
 import math
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.blocks import blobs, documents, mixed, runs, spans
-from tessel.llm.common import forget, frugal, input_bytes, partitions, released, stored
+from tessel.llm.common import forget, input_bytes, partitions, released, steady, stored, trimmed
 
 TRUSTED = 5
 ORDER = 3
@@ -76,6 +77,25 @@ def loose(data: bytes | memoryview) -> list[np.ndarray]:
     return out
 
 
+def thrifty(run):
+    """A group's function that gives the memory it took back to the machine."""
+
+    def freed(*tables):
+        steady()
+        try:
+            return run(*tables)
+        finally:
+            trimmed()
+
+    def of_table(key, table):
+        return freed(key, table)
+
+    def of_tables(key, left, right):
+        return freed(key, left, right)
+
+    return of_table if run.__code__.co_argcount == 2 else of_tables
+
+
 def small(numbers: np.ndarray) -> np.ndarray:
     """Numbers from 0 on in the least unsigned type that holds them."""
     return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
@@ -187,7 +207,7 @@ def read_blocks(rows: DataFrame, parts: int) -> DataFrame:
     """Blocks: documents and tokens (kind 0), and to each part its words with their counts in training (kind 1)."""
 
     def run(batches):
-        frugal()
+        steady()
         here, number = TaskContext.get().partitionId(), 0
         start, end = _symbols()
 
@@ -215,6 +235,7 @@ def read_blocks(rows: DataFrame, parts: int) -> DataFrame:
             if size >= BLOCK or len(held) >= BLOCK_DOCS:
                 yield from block(held)
                 size = 0
+                trimmed()
         if held:
             yield from block(held)
         released()
@@ -245,8 +266,8 @@ def number_words(parts: int):
     """To each block the words' numbers and counts; a part's words have numbers of their own, frequent ones low."""
     start, _ = _symbols()
 
+    @thrifty
     def run(key, table):
-        frugal()
         blocks, asked = table.column("block").to_pylist(), [loose(x) for x in blobs(table)]
         words = np.concatenate([x[0] for x in asked])
         order = np.argsort(words, kind="stable")
@@ -279,6 +300,7 @@ class Block:
     tokens: np.ndarray
     names: np.ndarray
     counts: np.ndarray
+    grams: dict[int, np.ndarray] = field(default_factory=dict)
 
     def data(self) -> bytes:
         return tight(self.ids, self.null, self.train, self.lengths, small(self.tokens), self.names, small(self.counts))
@@ -288,21 +310,53 @@ class Block:
         ids, null, train, lengths, tokens, names, counts = loose(data)
         return Block(ids, null, train, lengths, tokens.astype(np.int32), names, counts.astype(np.int64))
 
+    @cached_property
     def document(self) -> np.ndarray:
         """Of each token; starts count as tokens."""
         return np.repeat(np.arange(len(self.ids), dtype=np.int32), self.lengths + 1)
 
+    @cached_property
     def place(self) -> np.ndarray:
         """Of each token in its text; the start's is 0."""
         sizes = self.lengths + 1
         return np.arange(len(self.tokens), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
 
+    def kinds(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens that end an n-gram of k, the number of each one's n-gram (by history, then word), and of each n-gram one
+        such token.  The numbers are kept, for histories of longer ones."""
+        at = np.flatnonzero(self.place >= k - 1).astype(np.int32)
+        before = self.tokens if k == 2 else self.gram(k - 1)
+        key = before[at - 1].astype(np.uint64)
+        key *= np.uint64(len(self.names))
+        key += self.tokens[at].astype(np.uint64)
+        bits = max(1, len(at) - 1).bit_length()
+        if int(key.max(initial=0)).bit_length() + bits <= 64:  # places ride along, so numbers are sorted and not places
+            key <<= np.uint64(bits)
+            key |= np.arange(len(at), dtype=np.uint64)
+            key.sort()
+            order = (key & np.uint64((1 << bits) - 1)).astype(np.int32)
+            key >>= np.uint64(bits)
+        else:
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+        first, size = runs(key)
+        gram = np.empty(len(order), np.int32)
+        gram[order] = np.repeat(np.arange(len(first), dtype=np.int32), size)
+        self.grams[k] = np.empty(len(self.tokens), np.int32)
+        self.grams[k][at] = gram
+        return at, gram, at[order[first]]
+
+    def gram(self, k: int) -> np.ndarray:
+        if k not in self.grams:
+            self.kinds(k)
+        return self.grams[k]
+
 
 def named(parts: int):
     """Puts what the parts told of a block's words to its tokens."""
 
+    @thrifty
     def run(key, left, right):
-        frugal()
         name = key[0].as_py()
         ids, null, train, lengths, words, tokens = loose(blobs(left)[0])
         order, at = word_order(words, parts)
@@ -348,30 +402,12 @@ class Level:
 
     @staticmethod
     def of(own: Block, k: int, parts: int) -> Level:
-        v = np.uint64(len(own.names))
-        at = np.flatnonzero(own.place() >= k - 1).astype(np.int32)
-        key = own.tokens[at - k + 1].astype(np.uint64)
-        for j in range(k - 2, -1, -1):
-            key *= v
-            key += own.tokens[at - j].astype(np.uint64)
-        order = np.argsort(key)
-        kinds = key[order]
-        first, size = runs(kinds)
-        kinds = kinds[first]
-        gram = np.empty(len(order), np.int32)
-        gram[order] = np.repeat(np.arange(len(first), dtype=np.int32), size)
-        del order, key
-        count = np.bincount(gram[own.train[own.document()[at]]], minlength=len(kinds)).astype(np.int32)
-        before, word = np.divmod(kinds, v)
-        word = word.astype(np.int32)
-        first, size = runs(before)
+        at, gram, one = own.kinds(k)
+        count = np.bincount(gram[own.train[own.document[at]]], minlength=len(one)).astype(np.int32)
+        word = own.tokens[one]
+        first, size = runs((own.tokens if k == 2 else own.gram(k - 1))[one - 1])
         history = np.repeat(np.arange(len(first), dtype=np.int32), size)
-        rest, local = before[first], []
-        del before, kinds
-        for _ in range(k - 2):
-            rest, last = np.divmod(rest, v)
-            local.insert(0, last.astype(np.int32))
-        local.insert(0, rest.astype(np.int32))
+        local = [own.tokens[one[first] - j] for j in range(k - 1, 0, -1)]
         # How often a history can have been seen: no more than its rarest word (the start: than there are texts).
         most = np.full(len(first), np.iinfo(np.int64).max)
         for x in local:
@@ -401,7 +437,7 @@ class Level:
 
 def ask_counts(blocks: DataFrame, k: int, parts: int) -> DataFrame:
     def run(batches):
-        frugal()
+        steady()
         for name, raw in documents(batches, 1):
             own = Block.of(raw)
             del raw
@@ -418,6 +454,7 @@ def ask_counts(blocks: DataFrame, k: int, parts: int) -> DataFrame:
 
             yield from sent(name, messages())
             own = level = None
+            trimmed()
         released()
 
     return blocks.mapInArrow(run, ROWS)
@@ -437,10 +474,10 @@ def same_units(names: list[np.ndarray], salt: np.ndarray) -> np.ndarray:
     return out
 
 
+@thrifty
 def give_counts(key, table):
     """To each block: its n-grams' counts, which of them it stands for, each unit's sum, whether one of its n-grams is
     discounted, and whether any block backs off from it."""
-    frugal()
     blocks, asked = table.column("block").to_pylist(), [loose(x) for x in blobs(table)]
     fans = [x[0].astype(np.int64) for x in asked]
     fan, word, count, salt = (np.concatenate(x) for x in (fans, [x[1] for x in asked], [x[2].astype(np.int64) for x in asked], [x[3].astype(np.int64) for x in asked]))
@@ -516,8 +553,8 @@ def ask_weights(k: int, parts: int, words: Words, discounts: dict[int, Discounts
     """For each unit that somebody backs off from, what the block stands for of its probabilities (of this length and of
     the one below), and whether the block wants the sums."""
 
+    @thrifty
     def run(key, left, right):
-        frugal()
         own = Block.of(blobs(left)[0])
         level = Level.of(own, k, parts)
         counted = Counted.of(level, of_length(right, k))
@@ -528,12 +565,10 @@ def ask_weights(k: int, parts: int, words: Words, discounts: dict[int, Discounts
             lower = Level.of(own, k - 1, parts)
             lower_p = Counted.of(lower, of_length(right, k - 1)).probability(lower, discounts[k - 1])
             # The n-gram without its first word ends at the same token.
-            of_token = np.empty(len(own.tokens), np.int32)
-            of_token[lower.at] = lower.gram
             shorter = np.empty(len(level.word), np.int32)
-            shorter[level.gram] = of_token[level.at]
+            shorter[level.gram] = own.gram(k - 1)[level.at]
             below = lower_p[shorter]
-            del lower, lower_p, of_token, shorter
+            del lower, lower_p, shorter
         mine = counted.stands & counted.wanted[level.unit]
         units = len(level.owner)
         mass, base = np.bincount(level.unit[mine], p[mine], units), np.bincount(level.unit[mine], below[mine], units)
@@ -552,6 +587,7 @@ def ask_weights(k: int, parts: int, words: Words, discounts: dict[int, Discounts
     return run
 
 
+@thrifty
 def give_weights(key, table):
     """To each block the sums of the units it wants."""
     blocks, asked = table.column("block").to_pylist(), [loose(x) for x in blobs(table)]
@@ -575,8 +611,8 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score
 def evaluate(order: int, parts: int, words: Words, discounts: dict[int, Discounts]):
     """The recursion for each token of a block, and the sums of its documents."""
 
+    @thrifty
     def run(key, left, right):
-        frugal()
         own = Block.of(blobs(left)[0])
         p = words.probability(own.counts)[own.tokens]
         for k in range(2, order + 1):
@@ -594,7 +630,7 @@ def evaluate(order: int, parts: int, words: Words, discounts: dict[int, Discount
             backed = np.where(wants[history], weight[history], 1.0) * p[level.at]
             p[level.at] = np.where(seen, counted.probability(level, discounts[k])[level.gram], backed)
             del level, counted, seen, history, backed
-        real, doc = own.place() > 0, own.document()
+        real, doc = own.place > 0, own.document
         known = own.counts[own.tokens]
         base_score = np.log10((known + 1) / (words.total + words.vocabulary + 1))
         n = len(own.ids)

@@ -26,7 +26,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = gif.text_media(_read(spark, sf_dir, "documents"))
     read = gif.decoded_frames(media)
-    total = F.aggregate("frames", F.array_repeat(F.lit(0).cast("long"), 3 * gif.BINS), lambda a, f: F.zip_with(a, f["histogram"], lambda x, y: x + y))
+    total = F.aggregate("frames", F.array_repeat(F.lit(0).cast("long"), 3 * gif.BINS), lambda a, f: F.zip_with(a, f["own"], lambda x, y: x + y))
     return read.select(
         "doc_id",
         "n_bytes",

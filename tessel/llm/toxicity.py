@@ -10,8 +10,9 @@ bounded sample of labelled rows (at most about ``SAMPLE``, by a hash of the iden
 hold it behind at least ``CONTEXTS`` different words (copies of one text have one context) far more often than chance
 would put it there.
 
-Nulls: a null text is empty, has no hits and the score of a text without hits; rows without a label aren't learned
-from.  Repeated rows are scored each; an empty table gives an empty result, and without usable labels the base lexicon
+Nulls: a null text is empty, has no hits and the score of a text without hits; rows without a label, and with one other
+than 0 and 1, aren't learned from; of several labels of an identifier the highest counts.  Very long texts are matched
+whole.  Overlapping words count each; a word inside an exception phrase doesn't.  Repeated rows are scored each; an empty table gives an empty result, and without usable labels the base lexicon
 and curve stand.  :func:`score` keeps no other columns; :func:`clean` keeps all of the input's.
 """
 
@@ -24,12 +25,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.llm.common import stored
+from tessel.llm.common import released, steady, stored
 
 SAMPLE = 30_000
 CONTEXTS = 5
@@ -147,7 +149,7 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train=None, sample: int = SAMPLE) -> Lexicon:
     """A lexicon from at most about ``sample`` labelled rows; ``train`` is a condition on the identifier column."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     if train is not None:
         known = known.where(train)
     known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
@@ -219,8 +221,9 @@ def score(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", text_col
     """doc_id, score (0 to 1) and hits of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady()
         own = lexicon.automaton()
-        for batch in batches:
+        for batch in (whole.slice(k, 1024) for whole in batches for k in range(0, whole.num_rows, 1024)):
             found = [measure(fold(t), own) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([lexicon.probability(x, n) for x, n, _ in found], pa.float64()), pa.array([n for _, _, n in found], pa.int32())], names=SCORED.names)
 
@@ -231,10 +234,11 @@ def clean(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text", limit: f
     """The rows below the limit, with all their columns."""
 
     @F.pandas_udf("double")
-    def probability(part):
-        import pandas as pd
-
+    def probability(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        steady()
         own = lexicon.automaton()
-        return pd.Series([lexicon.probability(*measure(fold(t or ""), own)[:2]) for t in part], dtype="float64")
+        for part in parts:
+            yield pd.Series([lexicon.probability(*measure(fold(t or ""), own)[:2]) for t in part], dtype="float64")
+        released()
 
     return docs.where(probability(F.col(text_col)) < limit)

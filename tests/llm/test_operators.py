@@ -153,6 +153,35 @@ def test_gif_round_trip(data):
     assert b"".join(f["region"][..., 0].tobytes() for f in gif.read_gif(gif.write_gif(payload))) == payload
 
 
+def plain_lzw(stream, least):
+    """LZW as the format describes it, bit by bit, with a table of strings."""
+    bits = [b >> k & 1 for b in stream for k in range(8)]
+    clear, end, at, out = 1 << least, (1 << least) + 1, 0, b""
+    table, width, last = {}, least + 1, None
+    while at + width <= len(bits):
+        code = sum(bit << k for k, bit in enumerate(bits[at : at + width]))
+        at += width
+        if code == clear:
+            table, width, last = {k: bytes([k]) for k in range(clear)} | {clear: b"", end: b""}, least + 1, None
+            continue
+        if code == end:
+            return out
+        entry = table[code] if code in table else last + last[:1]
+        if last is not None and len(table) < 4096:
+            table[len(table)] = last + entry[:1]
+            if len(table) == 1 << width and width < 12:
+                width += 1
+        out, last = out + entry, entry
+    return out
+
+
+def test_lzw_against_a_plain_decoder():
+    rng = random.Random(1)
+    for data in (b"", b"a", bytes(7000), rng.randbytes(9000), b"abc " * 2500, bytes(range(256)) * 30, " ".join(rng.choices(("word", "and", "another"), k=4000)).encode()):
+        stream = gif.lzw_encode(data)
+        assert plain_lzw(stream, 8) == data == gif.lzw_decode(stream, 8, len(data))
+
+
 def test_gif_rules():
     """Local palettes, transparency, disposal to background and previous, interlacing."""
     import struct
@@ -182,7 +211,9 @@ def test_gif_operator(spark, edge, nothing):
     assert len(rows) == len(EDGE) and all(r.error is None for r in rows)
     for r, (i, t) in zip(sorted(rows, key=lambda r: (r.doc_id or 0, r.n_bytes)), sorted(EDGE, key=lambda e: (e[0] or 0, len(e[1] or ""))), strict=True):
         assert (r.doc_id, r.n_bytes, bytes(r.payload)) == (i, len((t or "").encode()), gif.padded((t or "").encode()))
-        assert sum(r.frames[0].histogram[:16]) == len(r.payload) if len(r.frames) == 1 else True
+        want = Counter(b >> 4 for b in r.payload)
+        assert [sum(f.own[k] for f in r.frames) for k in range(16)] == [want[k] for k in range(16)]
+        assert sum(sum(f.own[:16]) for f in r.frames) == len(r.payload) and len(r.frames) == math.ceil(len(r.payload) / 192 / 128)
     assert gif.decoded_frames(gif.text_media(nothing)).count() == 0
     broken = spark.createDataFrame([(1, bytearray(b"GIF89a?")), (2, None)], "doc_id long, media binary")
     assert all(r.frames is None and r.error for r in gif.decoded_frames(broken).collect())
@@ -214,6 +245,27 @@ def test_folding():
     assert toxicity.measure(toxicity.fold("trash in a trash can"), own)[2] == 1
 
 
+def test_hits_are_those_of_a_plain_search():
+    rng = random.Random(5)
+    words = ["ab", "abc", "b", "ca", "cab", "a b"]
+    for _ in range(300):
+        lexicon = toxicity.Lexicon({w: 1.0 + k for k, w in enumerate(rng.sample(words[:-1], 3))}, tuple(rng.sample(("ab c", "b a", "cab b"), 1)))
+        text = "".join(rng.choices("abc  ", k=rng.randint(0, 30)))
+        stands = lambda n, w: text.startswith(w, n) and not (n and text[n - 1].isalpha()) and not text[n + len(w) : n + len(w) + 1].isalpha()  # noqa: E731, B023
+        spared = [(n, n + len(p)) for p in lexicon.exceptions for n in range(len(text)) if stands(n, p)]
+        want = sorted((n, n + len(w), x) for w, x in lexicon.weights.items() for n in range(len(text)) if stands(n, w) and not any(a <= n and n + len(w) <= b for a, b in spared))
+        assert sorted(toxicity.hits(text, lexicon.automaton())) == want
+
+
+def test_other_labels_are_ignored(spark):
+    rows = [(n, "you idiot there" if n % 2 else "a fine day") for n in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    odd = spark.createDataFrame([(0, 2), (1, -1), (2, None), (None, 1)], "doc_id long, toxic int")
+    assert toxicity.learn(docs, labels.union(odd)) == toxicity.learn(docs, labels)
+    assert toxicity.learn(docs, odd) == toxicity.base()
+
+
 def test_toxicity(spark, sf_dir, edge, nothing):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -268,17 +320,45 @@ def test_url_limit_is_of_all_readings(spark):
     names = ["".join(rng.choices(url_filter.SEEDS, k=2) if n % 10 == 0 else rng.choices("abcdeghiklmnopqrstuvwxyz", k=9)) for n in range(1500)]
     rows = [(n, f"http://{name}.zone.test/{n}") for n, name in enumerate(names)]
     urls = url_filter.ruled(url_filter.split_urls(spark.createDataFrame(rows, "page_id long, url string"), id_col="page_id", url_col="url"), url_filter.RULES)
-    model = url_filter.fit(urls, sample=40)
+    model = url_filter.fit(urls, contexts=400)
+    assert len(model.accepted.table) <= 400
     texts = {url_filter.reading(r.host, r.path) for r in urls.select("host", "path").collect()}
     scores = [model.score(t) for t in texts if not url_filter.seeded(t, url_filter.SEEDS)]
     assert len(scores) > 1000 and sum(x > model.limit for x in scores) <= url_filter.FALSE * len(scores)
 
 
-def test_markov_adds_up():
-    m = url_filter.Markov(["^abc$", "^abd$"], alphabet=96)
-    signs = set("abcd$") | {chr(33 + k) for k in range(91) if chr(33 + k) not in "abcd$^"}
-    for context in ("", "a", "ab", "zz"):
-        assert sum(m.probability(context, s) for s in list(signs)[:96]) <= 1 + 1e-9
+def test_markov_adds_up_over_all_bytes():
+    texts = [url_filter.signs(t) for t in ("^abc$", "^abd$", "^größe$", "^漢字$")]
+    m = url_filter.Markov(Counter(url_filter.follow(texts)))
+    for context in ("", "a", "ab", "zz", texts[2][:4], texts[3][1:3]):
+        assert sum(m.probability(context, chr(k)) for k in range(256)) == pytest.approx(1)
+
+
+def test_markov_is_the_definition():
+    """Witten-Bell by its recurrence, counted from the strings each time."""
+    texts = ["^abab$", "^abc$", "^ca$"]
+    m = url_filter.Markov(Counter(url_filter.follow(texts, 2)), order=2)
+
+    def p(context, sign):
+        after = [t[k] for t in texts for k in range(1, len(t)) if t[max(0, k - len(context)) : k] == context and k >= len(context)]
+        lower = p(context[1:], sign) if context else 1 / 256
+        return (after.count(sign) + len(set(after)) * lower) / (len(after) + len(set(after))) if after else lower
+
+    for context in ("", "a", "b", "ab", "ba", "^a", "ca"):
+        for sign in "abc$z":
+            assert m.probability(context, sign) == pytest.approx(p(context, sign))
+
+
+def test_ratio_judges_beyond_the_seed_words(spark):
+    """Unseen names that are like the seeds fall, though no seed word stands in them; a clean one with a seed word passes."""
+    rng = random.Random(4)
+    rows = [(n, f"http://{''.join(rng.choices(('tion', 'the', 'an', 're', 'ing', 'her', 'on'), k=3))}.zone.test/page/{n}") for n in range(1500)]
+    rows += [(2000 + n, "http://blog.thereanon-free.zone.test/page/9") for n in range(3)] + [(3000, "http://casinos24.zone.test/1"), (3001, "http://pokerz-lotterys.zone.test/1"), (3002, "http://thetioning.zone.test/page/1")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages).collect()}
+    assert not any(url_filter.seeded(url_filter.reading(u.split("/")[2], "/1"), url_filter.SEEDS) for i, u in rows if i in (3000, 3001))
+    assert got[3000] == "block" == got[3001] and got[3002] == "allow"
+    assert [got[2000 + n] for n in range(3)] == ["allow"] * 3 and url_filter.filter_urls(pages.union(pages)).count() == 2 * len(rows)
 
 
 # ---------------------------------------------------------------------------------------------------------- n-gram join
@@ -658,9 +738,48 @@ def test_spans_and_viterbi():
 def test_scripts():
     weights = np.zeros((1, 2))
     m = language_id.Model(["en", "ru"], {}, weights, {"Latin": np.array([True, False]), "Cyrillic": np.array([False, True])})
-    (lang, score, found), (other, _, spans) = language_id.judged(["привет мир", "hello there friends and all привет мой дорогой друг и все остальные"], m)
-    assert lang == "ru"
-    assert {s["lang"] for s in spans} <= {"en", "ru"} and other in ("en", "ru")
+    (lang, _, _), (other, _, spans), (ascii_only, _, _) = language_id.judged(["привет мир", "hello there friends and all привет мой дорогой друг и все остальные", "hello there friends"], m)
+    assert lang == "ru" and ascii_only == "en" and other in ("en", "ru")
+    assert {s["lang"] for s in spans} == {"en", "ru"}
+    late = language_id.Model(["aa", "zz"], {}, weights, {"Latin": np.array([False, True]), "Cyrillic": np.array([True, False])})
+    assert [x[0] for x in language_id.judged(["hello there friends", "héllo thére"], late)] == ["zz", "zz"]
+
+
+def test_word_scores_are_sums_over_grams():
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdeéж漢"), rng.integers(1, 9))) for _ in range(400)] + ["x", "\U0001f600x"]
+    known = sorted({g for w in words[:120] for g in language_id.grams(w)})
+    weights = np.vstack([-rng.exponential(1, (len(known), 3)), np.zeros((1, 3))])
+    m = language_id.Model(["a", "b", "c"], {g: k for k, g in enumerate(known)}, weights, {})
+    for collisions in (20, 4):  # and with a table in which nearly all features share places
+        language_id.Codes.SLOTS, m.codes = collisions, None
+        got = m.score(words)
+        for w, row in zip(words, got, strict=True):
+            want = sum((weights[m.features[g]] for g in language_id.grams(w) if g in m.features), np.zeros(3)) / 2
+            assert row == pytest.approx(np.maximum(want - want.max(), -language_id.MOST))
+    language_id.Codes.SLOTS = 20
+
+
+def test_viterbi_is_the_best_of_all_paths():
+    from itertools import product
+
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        n, k = int(rng.integers(1, 7)), 3
+        scores = -rng.exponential(3, (n, k))
+        worth = lambda path: scores[np.arange(n), list(path)].sum() - 4.0 * sum(a != b for a, b in zip(path, path[1:], strict=False))
+        assert worth(language_id.viterbi(scores, 4.0)) == pytest.approx(max(map(worth, product(range(k), repeat=n))))
+
+
+def test_small_languages_are_learned(spark):
+    rng = random.Random(3)
+    text = lambda letters: " ".join("".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(25))
+    rows = [(n, text("abcdefgh"), "big") for n in range(3000)] + [(5000 + n, text("γδεζηθικ"), "el") for n in range(12)] + [(6000 + n, text("ßstuvwxyz"), "small") for n in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs, sample=300, features=900)
+    assert model.languages == ["big", "el", "small"] and len(model.features) <= 900
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()}
+    assert all(got[i] == lang for i, _, lang in rows if lang != "big")
 
 
 # --------------------------------------------------------------------------------------------------------- whole queries
@@ -683,6 +802,96 @@ def test_jaccard_query(spark, sf_dir):
     assert got == brute(rows)
 
 
+COLUMNS = {
+    "op1": {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"},
+    "op2": {"doc_id": "bigint", "keep_id": "bigint", "group_size": "bigint", "kept": "boolean", "text_sha256": "string"},
+    "op3": {"doc_id": "bigint", "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string"},
+    "op4": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+    "op5": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op6": {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"},
+    "op7": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
+    "op8": {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"},
+    "op9": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
+    "op10": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_queries_give_the_columns_and_digests(spark, sf_dir, name):
+    number = name.split("_")[0]
+    out = queries.QUERIES[name](spark, sf_dir)
+    kinds = dict(out.dtypes)
+    assert {c: kinds.get(c) for c in COLUMNS[number]} == COLUMNS[number]
+    rows = out.collect()
+    table, key = ("pages", "page_id") if number in ("op6", "op9") else ("documents", "doc_id")
+    given = {r[key]: r for r in spark.read.parquet(f"{sf_dir}/{table}.parquet").collect()}
+    assert {r[key] for r in rows} == set(given) and (number == "op1" or len(rows) == len(given))
+    divisor = {"op5": (3, 1), "op8": (7, 2), "op10": (4, 2)}.get(number)
+    for r in rows:
+        text = (given[r[key]]["text"] or "") if table == "documents" else ""
+        if divisor:
+            assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % divisor[0] == divisor[1])
+        if number == "op2":
+            assert r.text_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        if number == "op3":
+            payload = gif.padded(text.encode())
+            assert (r.payload_sha256, r.tail_crc32, r.payload_bytes) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(payload))
+            assert r.media_sha256 == hashlib.sha256(gif.write_gif(payload)).hexdigest()
+        if number == "op4":
+            assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        if number == "op5":
+            assert r.predicted == int(r.score >= 0.7)
+        if number == "op9":
+            assert r.n_chars == len(r.text)
+
+
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    """Stages on an empty table, and on rows with null identifiers, null and empty texts, repeats and clashing columns."""
+    import corpus_pipeline as C
+
+    rows = [(i, t, "en", "s", len(t or ""), "k") for i, t in EDGE] + [(10 + n, " ".join(f"{w}{n % 3}" for w in ("some", "words", "of", "prose", "and", "others", "that", "follow", "them")) + f" {n // 3}", "en", "s", 9, "k") for n in range(9)] + [(None, None, None, None, None, None)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, kept string"
+    spark.createDataFrame([(10, 1, 0), (11, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    for docs in (spark.createDataFrame(rows, kind), spark.createDataFrame([], kind)):
+        docs = docs.withColumns({"hi": F.lit(1), "cell": F.lit("c"), "id": F.lit(0), "sequence_id": F.lit("s"), "score": F.lit("x")})
+        columns, before = docs.columns, docs.count()
+        for name, stage in C.STAGES[:-1]:
+            docs = stage(spark, docs, f"file://{tmp_path}")
+            assert docs.columns == columns, name
+            assert docs.count() <= before
+        packed = C.STAGES[-1][1](spark, docs, f"file://{tmp_path}")
+        assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_stages_are_their_operators_by_brute_force(spark, sf_dir):
+    """What the stages keep, each held against a plain version on the same input."""
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    stages = dict(C.STAGES)
+    kept = stages["language_id"](spark, docs, sf_dir)
+    model = language_id.learn(docs, train=remainder("doc_id", 4) != 2)
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    judged = dict(zip(rows, language_id.judged(list(rows.values()), model), strict=True))
+    assert {r.doc_id for r in kept.collect()} == {i for i, (lang, score, _) in judged.items() if lang != "und" and score >= language_id.LEAST}
+    civil = stages["toxicity"](spark, kept, sf_dir)
+    lexicon = toxicity.learn(kept, labels, train=remainder("doc_id", 3) != 1)
+    own = lexicon.automaton()
+    rows = {r.doc_id: r.text for r in kept.collect()}
+    assert {r.doc_id for r in civil.collect()} == {i for i, t in rows.items() if lexicon.probability(*toxicity.measure(toxicity.fold(t or ""), own)[:2]) < toxicity.LIMIT}
+    rows, last = {r.doc_id: r.text for r in civil.collect()}, {}
+    for i in sorted(rows):
+        last[rows[i]] = i
+    single = stages["exact_dedup"](spark, civil, sf_dir)
+    assert {r.doc_id for r in single.collect()} == set(last.values())
+    apart = stages["ngram_jaccard_join"](spark, single, sf_dir)
+    least = brute([(r.doc_id, r.text) for r in single.collect()])
+    assert {r.doc_id for r in apart.collect()} == {i for i, c in least.items() if i == c}
+    packed = stages["best_fit_packing"](spark, apart, sf_dir).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in apart.collect()}
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as C
 
