@@ -30,6 +30,19 @@ def distinct_of(golden: DataFrame, column: str) -> DataFrame:
     return golden.select(column).where(F.col(column).isNotNull() & (F.col(column) != "")).distinct()
 
 
+def by_category(queries: DataFrame, category: str) -> DataFrame:
+    return queries.where(F.col("metadata")["category"] == category)
+
+
+def by_difficulty(queries: DataFrame, difficulty: str) -> DataFrame:
+    return queries.where(F.col("metadata")["difficulty"] == difficulty)
+
+
+def found(rows: DataFrame, name: str, key: str = "id") -> DataFrame:
+    """The row of an identifier, if there is one."""
+    return rows.where(F.col(key) == name).limit(1)
+
+
 def as_testset(golden: DataFrame) -> DataFrame:
     return golden.select(F.col("question").alias("text"), F.coalesce("source_docs", F.array().cast("array<string>")).alias("ground_truth_docs"), F.col("answer").alias("expected_answer"), F.create_map(F.lit("id"), F.col("id"), F.lit("difficulty"), F.coalesce("difficulty", F.lit(""))).alias("metadata"))
 
@@ -63,21 +76,32 @@ def fake_provider(prompts: list[str]) -> list[str]:
     return [f"answer {crc32(p.encode()) % 10_000}" for p in prompts]
 
 
-def answered(prompts: DataFrame, provider: Provider = fake_provider, *, prompt: str = "prompt", retries: int = 1) -> DataFrame:
-    """Adds answer and error; a provider that still fails after its retries leaves null and the error, for each batch."""
+def answered(prompts: DataFrame, provider: Provider = fake_provider, *, prompt: str = "prompt", retries: int = 1, delay: float = 0.0) -> DataFrame:
+    """Adds answer and error.  A batch is asked at once; if that still fails after its retries (with a constant delay before
+    each) its prompts are asked one by one, and each that fails has null and its own error."""
+
+    def asked(texts: list[str], times: int) -> tuple[list | None, str | None]:
+        import time
+
+        error = None
+        for n in range(times):
+            if n:
+                time.sleep(delay)
+            try:
+                return list(provider(texts)), None
+            except Exception as fault:  # noqa: BLE001  whatever a provider throws is a row's error
+                error = f"{type(fault).__name__}: {fault}"
+        return None, error
 
     def run(batches):
         for batch in batches:
-            error = None
-            for _ in range(retries + 1):
-                try:
-                    batch = batch.assign(answer=provider(batch[prompt].tolist()), error=None)
-                    break
-                except Exception as fault:  # noqa: BLE001  whatever a provider throws is a row's error
-                    error = f"{type(fault).__name__}: {fault}"
-            else:
-                batch = batch.assign(answer=None, error=error)
-            yield batch
+            texts = batch[prompt].tolist()
+            answers, error = asked(texts, retries + 1)
+            errors: list[str | None] = [None] * len(texts)
+            if answers is None:
+                single = [asked([t], 1) for t in texts] if len(texts) > 1 else [(None, error)] * len(texts)
+                answers, errors = [a[0] if a else None for a, _ in single], [e for _, e in single]
+            yield batch.assign(answer=answers, error=errors)
 
     kept = prompts.select(*[c for c in prompts.columns if c not in ("answer", "error")])
     return kept.mapInPandas(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, answer string, error string")

@@ -6,11 +6,13 @@ those with a returned line are relevant.  Events are traces and agent steps, con
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.functions import quantiles, text as X
-from tessel.operators import agents, datasets, evaluation as E, monitoring as M, vectors
+from tessel.operators import agents, datasets, evaluation as E, judging as J, monitoring as M, running, vectors
 
 K = 5
 #: Orders before this year are the earlier half.
@@ -501,6 +503,120 @@ USAGE = """
                          ELSE 0.0 END AS cost FROM u)
 """
 
+# --------------------------------------------------------------------------------------- models that answer by plain rules
+
+
+def part_of(prompt: str, mark: str) -> str:
+    """What stands behind a mark, up to the next one."""
+    text = prompt.split(mark, 1)[1] if mark in prompt else ""
+    for other in (J.RESPONSE, J.CONTEXT, J.CLAIM, J.QUESTION, J.STEP, J.NEXT):
+        text = text.split(other, 1)[0]
+    return text
+
+
+def plain_claims(prompts: list[str]) -> list[str]:
+    """Lists sentences as claims (in some noise); a claim is supported if the context has its first word."""
+    out = []
+    for p in prompts:
+        if J.CLAIM in p:
+            ok = part_of(p, J.CLAIM).split(" ")[0] in part_of(p, J.CONTEXT)
+            out.append(f'Well: {{"supported": {str(ok).lower()}, "reasoning": "by rule"}}')
+        else:
+            out.append("Claims: " + json.dumps(part_of(p, J.RESPONSE).split(". "), ensure_ascii=False))
+    return out
+
+
+def plain_scores(prompts: list[str]) -> list[str]:
+    return [json.dumps({"score": len(part_of(p, J.RESPONSE)) / 500}) for p in prompts]
+
+
+def plain_judge(prompts: list[str]) -> list[str]:
+    return [f"Score: {1 + (len(part_of(p, J.RESPONSE)) + p.index('.')) % 5}" for p in prompts]
+
+
+def plain_transitions(prompts: list[str]) -> list[str]:
+    return [json.dumps({"is_coherent": part_of(p, J.STEP) != part_of(p, J.NEXT)}) for p in prompts]
+
+
+def plain_questions(prompts: list[str]) -> list[str]:
+    return ['["first?", " ", "third?", "fourth?"]' for _ in prompts]
+
+
+def plain_checks(prompts: list[str]) -> list[str]:
+    """Fails for some texts, and for a whole batch that holds one."""
+    sizes = [len(part_of(p, J.CONTEXT)) for p in prompts]
+    if any(n % 17 == 0 for n in sizes):
+        raise RuntimeError("no answer")
+    return [json.dumps({"is_valid": n % 2 == 1}) for n in sizes]
+
+
+def _responses(spark, d):
+    c = read(spark, d, "conversations")
+    at = lambda n: F.max(F.when(F.col("turn") == n, F.col("text")))
+    return c.groupBy(F.col("conv_id").alias("id")).agg(at(0).alias("context"), at(0).alias("question"), at(1).alias("response"))
+
+
+RESPONSES = "r AS (SELECT conv_id AS id, max(CASE WHEN turn = 0 THEN text END) AS context, max(CASE WHEN turn = 1 THEN text END) AS response FROM conversations GROUP BY 1)"
+SAID = f"{RESPONSES}, l AS (SELECT id, context, unnest(string_split(response, '. ')) AS claim FROM r WHERE trim(coalesce(response, '')) <> '' AND trim(coalesce(context, '')) <> ''), c AS (SELECT * FROM l WHERE claim <> ''), s AS (SELECT id, count(*) AS n, sum(CASE WHEN contains(context, split_part(claim, ' ', 1)) THEN 1 ELSE 0 END) AS k FROM c GROUP BY 1), j AS (SELECT r.*, coalesce(n, 0) AS n, k FROM r LEFT JOIN s ON r.id = s.id)"
+
+
+def claim_faithfulness(spark, d):
+    return rounded(J.faithfulness(_responses(spark, d), plain_claims))
+
+
+def claim_hallucination(spark, d):
+    return rounded(J.hallucination(_responses(spark, d), plain_claims))
+
+
+def answer_relevance(spark, d):
+    return rounded(J.relevance(_responses(spark, d), plain_scores).select("id", "score"))
+
+
+def judge_criteria(spark, d):
+    return J.judged(_responses(spark, d), plain_judge).drop("error")
+
+
+def agent_coherence(spark, d):
+    return rounded(J.coherence(steps(spark, d), plain_transitions))
+
+
+def multihop_questions(spark, d):
+    return J.multihop_questions(read(spark, d, "documents"), 120, plain_questions)
+
+
+def adversarial_questions(spark, d):
+    return J.adversarial_questions(read(spark, d, "documents"), 14, plain_questions)
+
+
+def validated_questions(spark, d):
+    docs = read(spark, d, "documents")
+    asked = docs.select("doc_id", F.lit(1).alias("no"), F.concat(F.lit("About "), "source", F.lit("?")).alias("question"))
+    return J.validated_questions(asked, docs, plain_checks)
+
+
+def plain_pipeline(question: str) -> tuple[list[str], str]:
+    n = int(question)
+    if n % 13 == 0:
+        raise LookupError("nothing there")
+    return [str(n % 7), str(n % 5), str(n % 3)], f"answer {n}"
+
+
+def evaluate_pipeline(spark, d):
+    asked = read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("text"), F.array((F.col("c_custkey") % 7).cast("string")).alias("ground_truth_docs"))
+    done = running.evaluate(asked, plain_pipeline, 3, retries=1, delay=0.0)
+    return rounded(done.select("text", "answer", "attempts", F.coalesce("error", F.lit("")).alias("error"), *E.MEASURES))
+
+
+def lookup_stats(spark, d):
+    c = read(spark, d, "conversations")
+    keyed = c.select("role", running.cache_key(F.col("text"), F.array("role")).alias("key"))
+    return rounded(running.cache_stats(keyed, keyed.where("role = 'user'").select("key").distinct()))
+
+
+def mean_latencies(spark, d):
+    return rounded(E.mean_latency(traces(spark, d), ["tenant"]), 4)
+
+
 R6 = ", ".join(f"round({m}, 6) AS {m}" for m in E.MEASURES)
 
 _PAIRS: dict[str, tuple[object, str | None]] = {
@@ -565,6 +681,17 @@ _PAIRS: dict[str, tuple[object, str | None]] = {
     """),
     "token_cost": (token_cost, f"WITH {USAGE} SELECT conv_id, turn, provider, model, input_tokens, output_tokens, round(CAST(cost AS DOUBLE), 9) AS cost FROM c"),
     "cost_rollup": (cost_rollup, f"WITH {USAGE} SELECT provider, model, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(CAST(sum(cost) AS DOUBLE), 8) AS cost, count(*) AS calls FROM c GROUP BY GROUPING SETS ((provider, model), ())"),
+    "claim_faithfulness": (claim_faithfulness, f"WITH {SAID} SELECT id, round(CASE WHEN trim(coalesce(response, '')) = '' THEN 1.0 WHEN trim(coalesce(context, '')) = '' THEN 0.0 WHEN n = 0 THEN 1.0 ELSE k / CAST(n AS DOUBLE) END, 6) AS score, CAST(n AS BIGINT) AS n_claims, CASE WHEN trim(coalesce(response, '')) = '' THEN 'Empty response has no claims to verify.' WHEN trim(coalesce(context, '')) = '' THEN 'No context provided to verify claims against.' WHEN n = 0 THEN 'No verifiable claims found in the response.' WHEN k = n THEN 'All claims in the response are supported by the context.' WHEN k = 0 THEN 'None of the claims in the response are supported by the context.' ELSE CAST(k AS VARCHAR) || ' out of ' || CAST(n AS VARCHAR) || ' claims are supported by the context.' END AS reasoning FROM j"),
+    "claim_hallucination": (claim_hallucination, f"WITH {SAID} SELECT id, round(CASE WHEN trim(coalesce(response, '')) = '' THEN 0.0 WHEN trim(coalesce(context, '')) = '' THEN 1.0 WHEN n = 0 THEN 0.0 ELSE 1 - k / CAST(n AS DOUBLE) END, 6) AS score, CAST(n AS BIGINT) AS n_claims FROM j"),
+    "answer_relevance": (answer_relevance, f"WITH {RESPONSES} SELECT id, round(CASE WHEN trim(coalesce(response, '')) = '' THEN 0.0 WHEN trim(coalesce(context, '')) = '' THEN 1.0 ELSE least(length(response) / 500.0, 1.0) END, 6) AS score FROM r"),
+    "judge_criteria": (judge_criteria, f"WITH {RESPONSES}, j AS (SELECT id, criteria, CAST(1 + (length(coalesce(response, '')) + length('Judge the response by ' || criteria)) % 5 AS INTEGER) AS raw FROM r CROSS JOIN (VALUES ('faithfulness'), ('relevance'), ('hallucination'), ('completeness')) v(criteria)) SELECT id, criteria, raw, (raw - 1) / 4.0 AS score, CASE WHEN raw >= 4 THEN 'PASS' WHEN raw <= 2 THEN 'FAIL' ELSE 'PARTIAL' END AS verdict, 'Score: ' || CAST(raw AS VARCHAR) AS explanation FROM j"),
+    "agent_coherence": (agent_coherence, f"WITH {STEPS}, l AS (SELECT trace, tool, lead(tool) OVER (PARTITION BY trace ORDER BY idx) AS next_tool, lead(idx) OVER (PARTITION BY trace ORDER BY idx) AS next_idx FROM s) SELECT trace, round(coalesce(avg(CASE WHEN next_idx IS NOT NULL THEN CASE WHEN tool <> next_tool THEN 1.0 ELSE 0.0 END END), 1.0), 6) AS score FROM l GROUP BY 1"),
+    "multihop_questions": (multihop_questions, "WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM (SELECT DISTINCT doc_id FROM documents WHERE length(text) >= 100)), p AS (SELECT a.doc_id AS a, b.doc_id AS b, row_number() OVER (ORDER BY a.i, b.i) AS pair_no FROM n a JOIN n b ON a.i < b.i AND b.i <= 51) SELECT a, b, 0 AS no, 'first?' AS question FROM p WHERE pair_no <= 50"),
+    "adversarial_questions": (adversarial_questions, "SELECT kind, expected, no, question FROM (VALUES ('out_of_scope', 'refuse'), ('ambiguous', 'clarify'), ('misleading', 'correct'), ('boundary', 'handle_gracefully')) k(kind, expected) CROSS JOIN (VALUES (0, 'first?'), (2, 'third?')) q(no, question)"),
+    "validated_questions": (validated_questions, "SELECT doc_id, 1 AS no, 'About ' || source || '?' AS question FROM documents WHERE length(text) % 17 = 0 OR length(text) % 2 = 1"),
+    "evaluate_pipeline": (evaluate_pipeline, "WITH c AS (SELECT c_custkey AS n, c_custkey % 13 = 0 AS fails, CASE WHEN c_custkey % 5 = c_custkey % 7 THEN 1 ELSE 0 END AS second, CASE WHEN c_custkey % 3 = c_custkey % 7 THEN 1 ELSE 0 END AS third FROM customer) SELECT CAST(n AS VARCHAR) AS text, CASE WHEN fails THEN '' ELSE 'answer ' || CAST(n AS VARCHAR) END AS answer, CASE WHEN fails THEN 2 ELSE 1 END AS attempts, CASE WHEN fails THEN 'LookupError: nothing there' ELSE '' END AS error, round(CASE WHEN fails THEN 0.0 ELSE (1 + second + third) / 3.0 END, 6) AS precision, CASE WHEN fails THEN 0.0 ELSE 1.0 END AS recall, CASE WHEN fails THEN 0.0 ELSE 1.0 END AS mrr, round(CASE WHEN fails THEN 0.0 ELSE 1 + second / log2(CAST(3 AS DOUBLE)) + third / 2.0 END, 6) AS ndcg FROM c"),
+    "lookup_stats": (lookup_stats, "WITH k AS (SELECT text || '/' || role AS key, role FROM conversations), c AS (SELECT DISTINCT key FROM k WHERE role = 'user'), j AS (SELECT k.key, c.key IS NOT NULL AS hit FROM k LEFT JOIN c ON k.key = c.key) SELECT CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS hits, CAST(sum(CASE WHEN hit THEN 0 ELSE 1 END) AS BIGINT) AS misses, (SELECT count(*) FROM c) AS size, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM j"),
+    "mean_latencies": (mean_latencies, f"WITH {TRACES}, g AS (SELECT tenant, avg(latency_ms) AS a, sum(latency_ms) AS b FROM t GROUP BY 1) SELECT tenant, 'latency_ms' AS metric, round(a, 4) AS value FROM g UNION ALL SELECT tenant, 'total_latency_ms', round(b, 4) FROM g"),
 }
 
 QUERIES = {name: query for name, (query, _) in _PAIRS.items()}

@@ -73,3 +73,26 @@ def reasoning_trace(steps: DataFrame, *, trace: str = "trace", order: str = "idx
     line = F.concat(F.lit("["), F.col("step_type"), F.lit("] "), F.coalesce("content", F.lit("")))
     listed = steps.groupBy(trace).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))).alias("r"))
     return listed.select(trace, F.array_join(F.transform("r", lambda x: x["l"]), "\n").alias("text"))
+
+
+def ascii_tree(steps: DataFrame, *, trace: str = "trace", order: str = "idx") -> DataFrame:
+    """A trajectory as indented lines for each trace, the last with a corner; made in the table."""
+    sign = F.when(F.col("error").isNotNull(), "x").when(F.col("step_type") == "final_answer", "*").otherwise("-")
+    text = F.regexp_replace(F.substring(F.coalesce("content", F.lit("")), 1, 60), r"\s+", " ")
+    line = F.concat(sign, F.lit(" ["), F.col("step_type"), F.lit("] "), F.when(F.col("step_type") == "action", F.concat("tool", F.lit(": "))).otherwise(F.lit("")), text)
+    listed = steps.groupBy(trace).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))).alias("r"))
+    lines = F.transform("r", lambda x, i: F.concat(F.when(i == F.size("r") - 1, "`-").otherwise("|-"), x["l"]))
+    return listed.select(trace, F.array_join(lines, "\n").alias("text"))
+
+
+def trajectory_html(steps: DataFrame, *, trace: str = "trace", order: str = "idx") -> DataFrame:
+    """A trajectory as an ordered list for each trace, escaped; made in the table."""
+
+    def escaped(c):
+        for sign, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            c = F.replace(c, F.lit(sign), F.lit(code))
+        return c
+
+    item = F.concat(F.lit('<li class="'), F.col("step_type"), F.when(F.col("error").isNotNull(), " failed").otherwise(F.lit("")), F.lit('">'), escaped(F.coalesce("content", F.lit(""))), F.when(F.col("error").isNotNull(), F.concat(F.lit(" <em>"), escaped(F.col("error")), F.lit("</em>"))).otherwise(F.lit("")), F.lit("</li>"))
+    listed = steps.groupBy(trace).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("l")))).alias("r"))
+    return listed.select(trace, F.concat(F.lit("<ol>"), F.array_join(F.transform("r", lambda x: x["l"]), ""), F.lit("</ol>")).alias("html"))

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 TRACES = "id string, ts timestamp, tenant string, query_hash string, latency_ms double, success boolean, error_type string, metadata map<string,string>"
 
 
+#: Days of a batch that are named in the scan of the table.
+DAYS = 400
+
+
 def checked_traces(raw: DataFrame) -> DataFrame:
     """Traces as they come, with an id, a time, and an empty map where metadata is null."""
     return raw.where(F.col("id").isNotNull() & F.col("ts").isNotNull()).withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
@@ -18,7 +22,11 @@ def append_traces(traces: DataFrame, path: str) -> None:
     spark = traces.sparkSession
     fresh = checked_traces(traces).dropDuplicates(["id"]).withColumn("day", F.to_date("ts"))
     if exists(spark, path):
-        fresh = fresh.join(spark.read.parquet(path).select("id", "day"), ["id", "day"], "left_anti")
+        days = [r["day"] for r in fresh.select("day").distinct().limit(DAYS + 1).collect()]
+        held = spark.read.parquet(path).select("id", "day")
+        # Only the folders of these days are read; a batch of more days than that is a backfill, held against all.
+        held = held.where(F.col("day").isin(days)) if len(days) <= DAYS else held
+        fresh = fresh.join(held, ["id", "day"], "left_anti")
     fresh.write.mode("append").partitionBy("day").parquet(path)
 
 

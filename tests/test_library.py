@@ -360,3 +360,104 @@ def test_cli(spark, sf_dir, capsys, tmp_path):
     assert cli.main(["run", "nothing", sf_dir], spark) == 3
     spark.createDataFrame([("q", ["a"], ["b"])], "query_id string, retrieved array<string>, relevant array<string>").write.parquet(str(tmp_path / "runs"))
     assert cli.main(["--json", "evaluate", str(tmp_path / "runs"), "--fail-under", "0.5"], spark) == 1
+
+
+def test_pipeline_retries_and_limits(spark):
+    import time
+
+    from tessel.operators import running
+
+    def pipeline(question):
+        if question == "slow":
+            time.sleep(1.5)
+        if question == "bad":
+            raise ValueError("no")
+        return ["a", "b"], f"said {question}"
+
+    q = spark.createDataFrame([("x", ["a"]), ("bad", ["a"]), ("slow", ["a"])], "text string, ground_truth_docs array<string>").coalesce(1)
+    got = {r.text: r for r in running.evaluate(q, pipeline, 2, retries=1, delay=0.01, timeout=0.3, concurrency=2).collect()}
+    assert (got["x"].precision, got["x"].answer, got["x"].error, got["x"].attempts) == (0.5, "said x", None, 1)
+    assert got["bad"].precision == 0 and got["bad"].error == "ValueError: no" and got["bad"].attempts == 2 and got["bad"].answer == ""
+    assert "timed out" in got["slow"].error and got["slow"].ndcg == 0
+    both = running.compare(q.where("text = 'x'"), {"one": pipeline, "two": lambda t: ([], "")}, 2)
+    assert {r.config: r.recall for r in both.collect()} == {"one": 1.0, "two": 0.0}
+    assert [r["text"] for r in running.evaluate_stream(q.where("text = 'x'"), pipeline, 2)] == ["x"]
+
+
+def test_runs(spark):
+    from tessel.operators import running
+
+    runs = running.created(spark, "r1", "set", 5, "f").unionByName(running.created(spark, "r2", "set", 5, "f"))
+    runs = running.moved(runs, "r1", "running")
+    done = running.moved(runs, "r1", "completed", metrics={"mrr": 0.5}, duration_ms=3)
+    got = {r.run_id: r for r in done.collect()}
+    assert (got["r1"].status, got["r1"].metrics, got["r1"].duration_ms, got["r2"].status) == ("completed", {"mrr": 0.5}, 3.0, "pending")
+    with pytest.raises(Exception, match="can't become running from completed"):
+        running.moved(done, "r1", "running").collect()
+    assert running.moved(runs, "r2", "failed", error="x").where("run_id = 'r2'").first().error == "x"
+
+
+def test_registry_and_config(spark, tmp_path):
+    from tessel.registry import Registry, name_of
+    from tessel.sources import config
+
+    class QuickLLM:
+        is_local = True
+
+    r = Registry()
+    assert r.add(QuickLLM, "llm") == "quick" and r.get("Quick") is QuickLLM and r.names("llm", local=True) == ["quick"] and r.names("evaluator") == []
+    assert name_of(type("ChromaVectorStore", (), {})) == "chroma" and r.scan("tessel.none") == []
+    with pytest.raises(KeyError, match="no adapter"):
+        r.get("other")
+    with pytest.raises(ValueError):
+        r.add(QuickLLM, "thing")
+    assert config.gating(spark).count() == 7
+    (tmp_path / "g.json").write_text('{"gating": {"stable": {"mrr": 0.4}}}')
+    assert [tuple(x) for x in config.gating(spark, str(tmp_path / "g.json")).collect()] == [("mrr", 0.4, True)]
+    (tmp_path / "e.json").write_text("  ")
+    assert config.gating(spark, str(tmp_path / "e.json")).count() == 7
+    config.write_gating(config.gating(spark), str(tmp_path / "out"))
+    assert config.gating(spark, str(tmp_path / "out")).count() == 7
+
+
+def test_trajectories(spark):
+    s = steps(spark, [("t", 1, "thought", None, None, None, "a <b>"), ("t", 2, "action", "find", "", "bad & gone", "c\nd"), ("t", 3, "final_answer", None, None, None, None)])
+    assert reports.ascii_tree(s).first().text == "|-- [thought] a <b>\n|-x [action] find: c d\n`-* [final_answer] "
+    html = reports.trajectory_html(s).first().html
+    assert "a &lt;b&gt;" in html and "<em>bad &amp; gone</em>" in html and html.startswith("<ol>")
+
+
+def test_judging_of_faults(spark):
+    from tessel.operators import judging as J
+
+    rows = spark.createDataFrame([("a", "ctx", "q", "One. Two"), ("b", "", "q", "x"), ("c", "ctx", "", "x"), ("d", "ctx", "q", "  ")], "id string, context string, question string, response string")
+
+    def broken(prompts):
+        return ["not a list" for _ in prompts]
+
+    got = {r.id: (r.score, r.n_claims) for r in J.faithfulness(rows, broken).collect()}
+    assert got == {"a": (1.0, 0), "b": (0.0, 0), "c": (1.0, 0), "d": (1.0, 0)}
+    assert {r.id: r.score for r in J.hallucination(rows, broken).collect()} == {"a": 0.0, "b": 1.0, "c": 0.0, "d": 0.0}
+    assert {r.id: r.score for r in J.relevance(rows, broken).collect()} == {"a": 0.0, "b": 0.0, "c": 1.0, "d": 0.0}
+    assert {r.raw for r in J.judged(rows, broken).collect()} == {3} and J.judge_overall(rows, broken).count() == 4
+    assert J.fallback_model(["p7", "m"], ["m:latest", "x"]) == "m:latest" and J.fallback_model(["z"], ["m"]) is None
+    one = steps(spark, [("t", 1, "thought", None, None, None, "a")])
+    assert J.coherence(one, broken).first().score == 1.0
+
+
+def test_some_prompts_fail(spark):
+    def half(prompts):
+        if any(p.startswith("x") for p in prompts):
+            raise RuntimeError("down")
+        return [p.upper() for p in prompts]
+
+    p = spark.createDataFrame([("a",), ("x1",), ("b",)], "prompt string").coalesce(1)
+    assert {r.prompt: (r.answer, bool(r.error)) for r in datasets.answered(p, half).collect()} == {"a": ("A", False), "b": ("B", False), "x1": (None, True)}
+
+
+def test_traces_are_appended_by_their_days(spark, tmp_path):
+    path = str(tmp_path / "traces")
+    rows = spark.createDataFrame([(str(k), dt.datetime(2024, 1, 1 + k % 3), "t", None, 1.0, True, None, None) for k in range(9)], store.TRACES)
+    store.append_traces(rows, path)
+    store.append_traces(rows.unionByName(rows.limit(1).withColumn("id", F.lit("new"))), path)
+    assert spark.read.parquet(path).count() == 10
