@@ -151,8 +151,10 @@ def test_canonical_json(spark):
 
 
 def test_medical():
-    assert medical.normalised("Pt w/ HTN and c/o SOB b.i.d.") == "Pt with hypertension and complains of shortness of breath twice daily"
-    assert "multiple sclerosis" in medical.normalised("MS with a demyelination lesion")
+    assert medical.normalised("Pt w/ HTN and c/o SOB b.i.d") == "Pt with hypertension and complains of shortness of breath twice a day"
+    assert medical.normalised("q.12.h N/V/D 2° to Hgb loss, A&Ox3 c\u0304 XYZ", {"XYZ": "a thing"}) == "every 12 hours nausea, vomiting, and diarrhea secondary to hemoglobin loss, alert and oriented times three with a thing"
+    assert medical.normalised("US of the abdomen") == "ultrasound of the abdomen" and medical.normalised("he told US so") == "he told US so"
+    assert "multiple sclerosis" in medical.normalised("MS with a demyelinating lesion")
     assert "mitral stenosis" in medical.normalised("MS with a loud murmur of the valve")
     assert medical.normalised("heart rate (HR) was HR 80") == "heart rate (HR) was HR 80"
     assert medical.normalised(None) is None
