@@ -62,9 +62,11 @@ def _ordered(trace: str, order: str):
 
 
 def loops(steps: DataFrame, *, trace: str = "trace", order: str = "idx") -> DataFrame:
-    """Tool calls with the name and arguments of the step just before; any other step in between ends the run."""
+    """Tool calls with the name and arguments of the step just before (``start``); any other step in between ends the run."""
     call = F.when(F.col("step_type") == "action", F.concat_ws("\u0001", "tool", F.coalesce("args", F.lit(""))))
-    return steps.withColumn("__s", call).withColumn("__p", F.lag("__s").over(_ordered(trace, order))).where("__s = __p").drop("__s", "__p")
+    w = _ordered(trace, order)
+    rows = steps.withColumn("__s", call).withColumns({"__p": F.lag("__s").over(w), "start": F.lag(order).over(w)})
+    return rows.where("__s = __p").drop("__s", "__p")
 
 
 def dead_ends(steps: DataFrame, *, trace: str = "trace", order: str = "idx") -> DataFrame:
@@ -76,9 +78,14 @@ def dead_ends(steps: DataFrame, *, trace: str = "trace", order: str = "idx") ->
     return rows.where((F.col("step_type") == "action") & F.col("error").isNotNull() & ~again & (F.col("__n") >= 2)).drop("__n1", "__n2", "__n")
 
 
-def failures(steps: DataFrame, *, trace: str = "trace", order: str = "idx") -> DataFrame:
-    """Tool errors, loops and dead ends, in the order of steps and then of these kinds."""
-    kinds = ((0, "tool_error", "error", steps.where((F.col("step_type") == "action") & F.col("error").isNotNull())), (1, "loop", "warning", loops(steps, trace=trace, order=order)), (2, "dead_end", "warning", dead_ends(steps, trace=trace, order=order)))
+def failures(steps: DataFrame, *, trace: str = "trace", order: str = "idx", similar: float | None = None) -> DataFrame:
+    """Tool errors, loops (where they start) and dead ends, in the order of steps and then of these kinds.  With ``similar``
+    thoughts of like content, not next to each other, are loops too."""
+    looped = loops(steps, trace=trace, order=order).select(trace, F.col("start").alias(order), "tool")
+    if similar is not None:
+        again = similar_thoughts(steps.withColumnsRenamed({trace: "trace", order: "idx"}), limit=similar)
+        looped = looped.unionByName(again.select(F.col("trace").alias(trace), F.col("like_idx").cast(steps.schema[order].dataType).alias(order), F.lit(None).cast("string").alias("tool")))
+    kinds = ((0, "tool_error", "error", steps.where((F.col("step_type") == "action") & F.col("error").isNotNull())), (1, "loop", "warning", looped), (2, "dead_end", "warning", dead_ends(steps, trace=trace, order=order)))
     out = None
     for n, kind, severity, rows in kinds:
         part = rows.select(trace, order, F.lit(n).alias("kind_no"), F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), "tool")
@@ -86,6 +93,12 @@ def failures(steps: DataFrame, *, trace: str = "trace", order: str = "idx") -> D
     return out
 
 
+def counts_by(steps: DataFrame, column: str, *, trace: str = "trace") -> DataFrame:
+    """How many steps of each trace have each value of a column (tool: calls of each tool; step_type: steps of each kind)."""
+    rows = steps.where("step_type = 'action'") if column == "tool" else steps
+    return rows.groupBy(trace, column).agg(F.count("*").alias("n"))
+
+
 def summary(steps: DataFrame, *, trace: str = "trace") -> DataFrame:
     """Steps, calls, failed calls, thoughts and distinct tools of each trace."""
     action = F.col("step_type") == "action"

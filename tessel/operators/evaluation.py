@@ -203,7 +203,10 @@ def diff_rates(diff: DataFrame) -> DataFrame:
 
 
 def dataset_diff(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """key, change (added, removed, modified, unchanged) and the fields that changed; a repeated key is an error."""
+    """key, change (added, removed, modified, unchanged) and the fields that changed; a repeated key is an error.  Lists are
+    compared without regard to their order; metadata counts only if it is among the fields."""
+    ordered = {f.name: F.array_sort(f.name) for f in old.schema.fields if f.name in fields and f.dataType.typeName() == "array"}
+    old, new = old.withColumns(ordered), new.withColumns(ordered)
     a = old.groupBy(key).agg(F.first(F.struct(*fields)).alias("__a"), F.count("*").alias("__ca"))
     b = new.groupBy(key).agg(F.first(F.struct(*fields)).alias("__b"), F.count("*").alias("__cb"))
     joined = a.join(b, key, "full_outer")

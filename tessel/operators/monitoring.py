@@ -127,6 +127,11 @@ def with_baseline(history: DataFrame, config: str, record: object, *, key: str =
     return history.withColumn("is_baseline", F.when(F.col("config") == config, F.col(key) == record).otherwise(F.col("is_baseline")))
 
 
+def without(history: DataFrame, ids: list) -> DataFrame:
+    """The records but for those of the given identifiers."""
+    return history.where(~F.col("id").isin(ids))
+
+
 def by_config(history: DataFrame) -> DataFrame:
     return history.groupBy("config").agg(F.count("*").alias("runs"), F.max("ts").alias("latest"), F.sum(F.coalesce(F.col("is_baseline"), F.lit(False)).cast("long")).alias("baselines"))
 

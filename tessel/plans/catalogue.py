@@ -395,6 +395,10 @@ def trajectory_summary(spark, d):
     return agents.summary(steps(spark, d))
 
 
+def tool_counts(spark, d):
+    return agents.counts_by(steps(spark, d), "tool")
+
+
 def agent_efficiency(spark, d):
     s = steps(spark, d)
     n = agents.summary(s)
@@ -660,9 +664,10 @@ _PAIRS: dict[str, tuple[object, str | None]] = {
     "tool_success": (tool_success, f"WITH {STEPS}, g AS (SELECT trace, coalesce(avg(CASE WHEN step_type = 'action' THEN CASE WHEN error IS NULL THEN 1.0 ELSE 0.0 END END), 1.0) AS ok, CAST(sum(CASE WHEN step_type = 'action' THEN 1 ELSE 0 END) AS BIGINT) AS n_calls FROM s GROUP BY 1) SELECT trace, round(ok, 6) AS success_rate, round(1 - ok, 6) AS error_rate, n_calls FROM g"),
     "agent_loops": (agent_loops, f"WITH {STEPS}, l AS (SELECT *, CASE WHEN step_type = 'action' THEN tool END AS sig, lag(CASE WHEN step_type = 'action' THEN tool END) OVER (PARTITION BY trace ORDER BY idx) AS prev FROM s) SELECT trace, idx, tool FROM l WHERE sig = prev"),
     "agent_dead_ends": (agent_dead_ends, f"WITH {STEPS}, l AS (SELECT *, lead(CASE WHEN step_type = 'action' THEN tool END, 1) OVER w AS n1, lead(CASE WHEN step_type = 'action' THEN tool END, 2) OVER w AS n2, count(*) OVER (PARTITION BY trace) AS n FROM s WINDOW w AS (PARTITION BY trace ORDER BY idx)) SELECT trace, idx, tool FROM l WHERE step_type = 'action' AND error IS NOT NULL AND n >= 2 AND NOT coalesce(n1 = tool, false) AND NOT coalesce(n2 = tool, false)"),
-    "agent_failures": (agent_failures, f"WITH {STEPS}, l AS (SELECT *, CASE WHEN step_type = 'action' THEN tool END AS sig, lag(CASE WHEN step_type = 'action' THEN tool END) OVER w AS prev, lead(CASE WHEN step_type = 'action' THEN tool END, 1) OVER w AS n1, lead(CASE WHEN step_type = 'action' THEN tool END, 2) OVER w AS n2, count(*) OVER (PARTITION BY trace) AS n FROM s WINDOW w AS (PARTITION BY trace ORDER BY idx)) SELECT trace, idx, 'tool_error' AS kind, 'error' AS severity FROM l WHERE step_type = 'action' AND error IS NOT NULL UNION ALL SELECT trace, idx, 'loop', 'warning' FROM l WHERE sig = prev UNION ALL SELECT trace, idx, 'dead_end', 'warning' FROM l WHERE step_type = 'action' AND error IS NOT NULL AND n >= 2 AND NOT coalesce(n1 = tool, false) AND NOT coalesce(n2 = tool, false)"),
+    "agent_failures": (agent_failures, f"WITH {STEPS}, l AS (SELECT *, CASE WHEN step_type = 'action' THEN tool END AS sig, lag(CASE WHEN step_type = 'action' THEN tool END) OVER w AS prev, lag(idx) OVER w AS prev_idx, lead(CASE WHEN step_type = 'action' THEN tool END, 1) OVER w AS n1, lead(CASE WHEN step_type = 'action' THEN tool END, 2) OVER w AS n2, count(*) OVER (PARTITION BY trace) AS n FROM s WINDOW w AS (PARTITION BY trace ORDER BY idx)) SELECT trace, idx, 'tool_error' AS kind, 'error' AS severity FROM l WHERE step_type = 'action' AND error IS NOT NULL UNION ALL SELECT trace, prev_idx, 'loop', 'warning' FROM l WHERE sig = prev UNION ALL SELECT trace, idx, 'dead_end', 'warning' FROM l WHERE step_type = 'action' AND error IS NOT NULL AND n >= 2 AND NOT coalesce(n1 = tool, false) AND NOT coalesce(n2 = tool, false)"),
     "trajectory_summary": (trajectory_summary, f"WITH {STEPS} SELECT trace, count(*) AS n_steps, CAST(sum(CASE WHEN step_type = 'action' THEN 1 ELSE 0 END) AS BIGINT) AS n_actions, CAST(sum(CASE WHEN step_type = 'action' AND error IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_failed, CAST(sum(CASE WHEN step_type = 'thought' THEN 1 ELSE 0 END) AS BIGINT) AS n_thoughts, count(DISTINCT CASE WHEN step_type = 'action' THEN tool END) AS n_tools FROM s GROUP BY 1"),
     "agent_efficiency": (agent_efficiency, f"WITH {STEPS}, l AS (SELECT *, CASE WHEN step_type = 'action' THEN tool END AS sig, lag(CASE WHEN step_type = 'action' THEN tool END) OVER (PARTITION BY trace ORDER BY idx) AS prev FROM s) SELECT trace, round(least(greatest(least(1.0, 50.0 / count(*)) - 0.15 * sum(CASE WHEN sig = prev THEN 1 ELSE 0 END), 0.0), 1.0), 6) AS efficiency FROM l GROUP BY 1"),
+    "tool_counts": (tool_counts, f"WITH {STEPS} SELECT trace, tool, count(*) AS n FROM s WHERE step_type = 'action' GROUP BY 1, 2"),
     "step_transitions": (step_transitions, f"WITH {STEPS}, l AS (SELECT trace, idx, tool AS content, lead(tool) OVER w AS next_content, lead(idx) OVER w AS next_idx FROM s WINDOW w AS (PARTITION BY trace ORDER BY idx)) SELECT * FROM l WHERE next_idx IS NOT NULL"),
     "goal_progress": (goal_progress, "WITH l AS (SELECT user_id AS trace, ts, event_id, CAST(value AS DOUBLE) AS p, lag(CAST(value AS DOUBLE)) OVER w AS q, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT trace, round(max(CASE WHEN rk = 1 THEN p END), 6) AS progress, bool_and(coalesce(p >= q, true)) AS monotonic FROM l GROUP BY 1"),
     "judge_parse": (judge_parse, r"WITH n AS (SELECT conv_id, turn, text, CAST(length(text) % 7 AS INTEGER) AS k FROM conversations), r AS (SELECT *, least(greatest(k, 1), 5) AS raw FROM n) SELECT conv_id, turn, raw, (raw - 1) / 4.0 AS score, CASE WHEN k = 3 THEN 'PARTIAL' WHEN raw >= 4 THEN 'PASS' WHEN raw <= 2 THEN 'FAIL' ELSE 'PARTIAL' END AS verdict, CASE WHEN k = 5 THEN 'Score: 5' ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END AS explanation FROM r"),

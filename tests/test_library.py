@@ -166,7 +166,11 @@ def steps(spark, rows):
 
 def test_agents(spark):
     s = steps(spark, [("t", 1, "action", "a", "", None, "x"), ("t", 2, "action", "a", "", "bad", "x"), ("t", 3, "thought", None, None, None, "x"), ("t", 4, "action", "b", "", "bad", "x")])
-    assert [r.idx for r in agents.loops(s).collect()] == [2]
+    assert [(r.start, r.idx) for r in agents.loops(s).collect()] == [(1, 2)]
+    assert sorted((r.idx, r.kind) for r in agents.failures(s).collect()) == [(1, "loop"), (2, "dead_end"), (2, "tool_error"), (4, "dead_end"), (4, "tool_error")]
+    thoughts = steps(spark, [("t", k, "thought" if k % 2 else "observation", None, None, None, " Look again") for k in range(1, 5)])
+    assert [(r.trace, r.idx, r.kind) for r in agents.failures(thoughts, similar=0.85).collect()] == [("t", 1, "loop")]
+    assert {(r.tool, r.n) for r in agents.counts_by(s, "tool").collect()} == {("a", 2), ("b", 1)}
     assert sorted(r.idx for r in agents.dead_ends(s).collect()) == [2, 4]
     m = agents.tool_metrics(s.where("tool is not null").select("trace", "tool"), spark.createDataFrame([("t", "a"), ("t", "c")], "trace string, tool string")).first()
     assert (m.precision, m.recall) == (pytest.approx(1 / 3), 0.5)
@@ -221,6 +225,12 @@ def test_repeated_key_is_an_error(spark):
         E.dataset_diff(a, a, "key", ["v"]).collect()
 
 
+def test_lists_are_compared_without_order(spark):
+    kind = "key string, docs array<string>, answer string"
+    a, b = spark.createDataFrame([("k", ["x", "y"], "1"), ("m", ["x"], "1")], kind), spark.createDataFrame([("k", ["y", "x"], "1"), ("m", ["z"], "2")], kind)
+    assert {r.key: (r.change, r.fields) for r in E.dataset_diff(a, b, "key", ["docs", "answer"]).collect()} == {"k": ("unchanged", None), "m": ("modified", "docs,answer")}
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, [2.0, 0.0])], "id int, embedding array<float>")
     q = spark.createDataFrame([(9, [1.0, 0.0])], "query_id int, embedding array<float>")
