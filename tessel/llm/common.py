@@ -25,7 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.conf.get("spark.tessel.own.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessel-")
         spark.conf.set("spark.tessel.own.dir", found)
