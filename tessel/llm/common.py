@@ -68,9 +68,10 @@ def forget(spark: SparkSession, *frames: DataFrame) -> None:
 
 
 def input_bytes(docs: DataFrame) -> int:
-    """The planner's estimate of what a table holds; 0 where it has none."""
-    found = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return found if found < 1 << 55 else 0
+    """What the tables hold that a frame reads, as the planner knows it; 0 of those where it doesn't."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    found = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(n for n in found if n < 1 << 55)
 
 
 def _allocator(name: str, *args: int) -> None:
